@@ -1,0 +1,4 @@
+"""Intentionally empty: every time column in the data model is a day or month offset.
+
+There is no event time to watermark or window on, so no streaming operator is provided.
+"""
