@@ -18,9 +18,9 @@ def humanise(name: Column | str) -> Column:
 
 def percent(share: Column | str, digits: int = 1) -> Column:
     """``0.0813`` -> ``8.1%``; NULL -> ``n/a``."""
-    return F.coalesce(
-        F.concat(F.format_string(f"%.{digits}f", _column(share) * F.lit(100.0)), F.lit("%")), F.lit("n/a")
-    )
+    share = _column(share)
+    text = F.concat(F.format_string(f"%.{digits}f", share * F.lit(100.0)), F.lit("%"))
+    return F.when(share.isNotNull(), text).otherwise("n/a")
 
 
 def currency(amount: Column | str) -> Column:

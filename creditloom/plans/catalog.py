@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from creditloom.plans import feature_queries  # noqa: F401  (registers its queries)
+from creditloom.plans import feature_queries, segment_queries  # noqa: F401  (importing registers them)
 from creditloom.plans.registry import REGISTRY, Query
 
 

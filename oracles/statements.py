@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from oracles import features
+from oracles import features, segments
 
-STATEMENTS: dict[str, str] = {**features.STATEMENTS}
+STATEMENTS: dict[str, str] = {**features.STATEMENTS, **segments.STATEMENTS}
