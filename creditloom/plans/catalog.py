@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from creditloom.plans import feature_queries, segment_queries  # noqa: F401  (importing registers them)
+from creditloom.plans import (  # noqa: F401  (importing registers them)
+    evaluation_queries,
+    feature_queries,
+    sampling_queries,
+    segment_queries,
+)
 from creditloom.plans.registry import REGISTRY, Query
 
 

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from oracles import features, segments
+from oracles import evaluation, features, segments
 
-STATEMENTS: dict[str, str] = {**features.STATEMENTS, **segments.STATEMENTS}
+STATEMENTS: dict[str, str] = {**features.STATEMENTS, **segments.STATEMENTS, **evaluation.STATEMENTS}
