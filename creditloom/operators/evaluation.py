@@ -7,6 +7,7 @@ after calibration the ladder is short. Only quantities defined by row position (
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -88,14 +89,35 @@ def ks_statistic(scored: DataFrame, label: str = "y", score: str = "p") -> DataF
     return ladder_metric(score_ladder(scored, label, score), ks_statistic=_ks())
 
 
-def ranking_metrics(scored: DataFrame, label: str = "y", score: str = "p") -> DataFrame:
-    """ROC-AUC, average precision and KS from one ladder."""
-    return ladder_metric(
-        score_ladder(scored, label, score),
-        roc_auc=_roc_auc(),
-        average_precision=_average_precision(),
-        ks_statistic=_ks(),
+def ranking_metrics(scored: DataFrame, label: str = "y", score: str = "p", by: Sequence[str] = ()) -> DataFrame:
+    """ROC-AUC, average precision and KS from one ladder, for all rows or per group.
+
+    With ``by``, all groups share one ordering (group first, then score), from which each group's own start is
+    subtracted; groups are expected to be few, such as the folds of a study.
+    """
+    metrics = {"roc_auc": _roc_auc(), "average_precision": _average_precision(), "ks_statistic": _ks()}
+    if not by:
+        return ladder_metric(score_ladder(scored, label, score), **metrics)
+    counts = scored.groupBy(*by, F.col(score).alias("score")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos")
+    )
+    order = [*[F.col(c).asc() for c in by], F.col("score").desc()]
+    ladder = running_totals(counts, order, ["n", "pos"])
+    starts = ladder.groupBy(*by).agg(
+        F.min("n_before").alias("n_start"),
+        F.min("pos_before").alias("pos_start"),
+        F.sum("n").alias("n_group"),
+        F.sum("pos").alias("pos_group"),
+    )
+    own = ladder.join(starts, list(by)).withColumns(
+        {
+            "n_before": F.col("n_before") - F.col("n_start"),
+            "pos_before": F.col("pos_before") - F.col("pos_start"),
+            "n_total": F.col("n_group"),
+            "pos_total": F.col("pos_group"),
+        }
     )
+    return own.groupBy(*by).agg(*[c.alias(name) for name, c in metrics.items()])
 
 
 def roc_curve(scored: DataFrame, label: str = "y", score: str = "p", points: int = ROC_POINTS) -> DataFrame:

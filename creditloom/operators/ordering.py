@@ -20,7 +20,8 @@ _ROW_BITS = 33
 _ROW_MASK = (1 << _ROW_BITS) - 1
 
 
-def _stored_in_order(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+def stored_in_order(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """``df`` range-partitioned and stored, with each row's partition (``_block``) and place (``_slot``)."""
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
     return materialise(ordered.withColumn("_slot", F.monotonically_increasing_id()), "ordered").withColumn(
         "_block", F.shiftright("_slot", _ROW_BITS)
@@ -47,14 +48,14 @@ def global_position(df: DataFrame, order: Sequence[Column]) -> DataFrame:
 
     ``order`` must end in a unique key.
     """
-    ordered = _with_offsets(_stored_in_order(df, order), {"n": F.count(F.lit(1))})
+    ordered = _with_offsets(stored_in_order(df, order), {"n": F.count(F.lit(1))})
     position = F.col("_n_before") + F.col("_slot").bitwiseAND(F.lit(_ROW_MASK))
     return ordered.withColumn("position", position).drop("_slot", "_block", "_n_before")
 
 
 def running_totals(df: DataFrame, order: Sequence[Column], columns: Sequence[str]) -> DataFrame:
     """Add, for each whole-number column ``c``, ``c_before`` (sum over earlier rows) and ``c_total``."""
-    ordered = _with_offsets(_stored_in_order(df, order), {c: F.sum(c) for c in columns})
+    ordered = _with_offsets(stored_in_order(df, order), {c: F.sum(c) for c in columns})
     inside = Window.partitionBy("_block").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
     totals = {f"{c}_before": F.col(f"_{c}_before") + F.coalesce(F.sum(c).over(inside), zero) for c in columns}

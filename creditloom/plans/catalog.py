@@ -5,6 +5,8 @@ from __future__ import annotations
 from creditloom.plans import (  # noqa: F401  (importing registers them)
     evaluation_queries,
     feature_queries,
+    ingest_queries,
+    model_queries,
     sampling_queries,
     segment_queries,
 )

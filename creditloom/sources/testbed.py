@@ -207,13 +207,13 @@ class Testbed(Mapping[str, DataFrame]):
     }
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self._spark = spark
-        self._sf_dir = sf_dir.rstrip("/")
+        self.spark = spark
+        self.location = sf_dir.rstrip("/")
         self._built: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
         """A generated table, with its schema stated so that opening it costs no Spark job."""
-        return self._spark.read.schema(_RAW_SCHEMAS[name]).parquet(f"{self._sf_dir}/{name}.parquet")
+        return self.spark.read.schema(_RAW_SCHEMAS[name]).parquet(f"{self.location}/{name}.parquet")
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
