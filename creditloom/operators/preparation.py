@@ -20,8 +20,6 @@ UNSEEN = -1.0
 MAX_CATEGORIES = 20
 INFREQUENT = "infrequent"
 
-_COLUMNS_PER_SCAN = 25
-
 
 # --- categorical codes -------------------------------------------------------------------------------------
 
@@ -53,11 +51,8 @@ def encode_categoricals(df: DataFrame, codes: StringIndexerModel) -> DataFrame:
 
 def fit_medians(train: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Exact median per numeric column; a column without values gets 0."""
-    medians = dict.fromkeys(columns, 0.0)
-    for start in range(0, len(columns), _COLUMNS_PER_SCAN):
-        chunk = list(columns[start : start + _COLUMNS_PER_SCAN])
-        medians |= {r["column_name"]: r["value"] for r in exact_quantiles(train, chunk, [0.5]).collect()}
-    return medians
+    found = exact_quantiles(train, columns, [0.5]).collect()
+    return dict.fromkeys(columns, 0.0) | {r["column_name"]: r["value"] for r in found}
 
 
 def fit_modes(train: DataFrame, columns: Sequence[str]) -> dict[str, str]:

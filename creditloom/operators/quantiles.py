@@ -13,11 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_ACCURACY = 20_000
-# Twice the guaranteed rank error on both sides.
-_MARGIN = 2.0 / _ACCURACY
+_FEW_COLUMNS = 10
+_FINE, _COARSE = 10_000, 2_000
 
-_VALUE_TYPE = "struct<slot: int, value: double>"
+_SCHEMA = "column_name string, probability double, value double"
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
@@ -25,88 +24,72 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
 
     NULLs are ignored, like in an aggregate.
     """
-    asked = [(c, p) for c in columns for p in probabilities]
-    brackets = _brackets(df, asked)
-    asked = [a for a in asked if a in brackets]
+    spark = df.sparkSession
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    accuracy = _FINE if len(columns) <= _FEW_COLUMNS else _COARSE
+    # Twice the sketch's guaranteed rank error on both sides.
+    margin = 2.0 / accuracy
+    bounds = [b for p in probabilities for b in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    # One row: the brackets of every column.
+    sketched = numbers.agg(
+        *[F.percentile_approx(c, bounds, accuracy).alias(f"b{i}") for i, c in enumerate(columns)]
+    ).first()
+    asked = [
+        (c, float(p), found[2 * i], found[2 * i + 1])
+        for c, found in zip(columns, sketched)
+        if found
+        for i, p in enumerate(probabilities)
+    ]
     if not asked:
-        return df.sparkSession.createDataFrame([], "column_name string, probability double, value double")
-
-    numbers = {a: F.col(a[0]).cast("double") for a in asked}
-    low = {a: F.lit(brackets[a][0]) for a in asked}
-    high = {a: F.lit(brackets[a][1]) for a in asked}
+        return spark.createDataFrame([], _SCHEMA)
 
-    def entry(slot: int) -> F.Column:
-        a = asked[slot]
-        return F.struct(
+    # Each value falls below, inside or above each bracket of its column.
+    placed = [
+        F.struct(
             F.lit(slot).alias("slot"),
-            F.lit(a[0]).alias("column_name"),
-            F.lit(float(a[1])).alias("probability"),
-            F.col(f"n{slot}").alias("n"),
-            F.col(f"below{slot}").alias("below"),
-            F.col(f"under{slot}").alias("under"),
-            F.col(f"above{slot}").alias("above"),
+            F.when(F.col(c) < low, -1).when(F.col(c) <= high, 0).when(F.col(c) > high, 1).alias("zone"),
+            F.col(c).alias("value"),
         )
-
-    sums = []
-    for slot, a in enumerate(asked):
-        x = numbers[a]
-        sums += [
-            F.count(x).alias(f"n{slot}"),
-            F.count_if(x < low[a]).alias(f"below{slot}"),
+        for slot, (c, _, low, high) in enumerate(asked)
+    ]
+    tallies = (
+        numbers.select(F.inline(F.array(*placed)))
+        .filter(F.col("zone").isNotNull())
+        .groupBy("slot", "zone", F.when(F.col("zone") == 0, F.col("value")).alias("inside"))
+        .agg(
+            F.count(F.lit(1)).alias("rows"),
             # The neighbours just outside the bracket, needed when a quantile falls between two rows.
-            F.max(F.when(x < low[a], x)).alias(f"under{slot}"),
-            F.min(F.when(x > high[a], x)).alias(f"above{slot}"),
-        ]
-    # One row per asked quantile.
-    facts = df.agg(*sums).select(F.inline(F.array(*[entry(slot) for slot in range(len(asked))])))
-
-    inside = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    numbers[a].between(low[a], high[a]),
-                    F.struct(F.lit(slot).alias("slot"), numbers[a].alias("value")),
-                ).cast(_VALUE_TYPE)
-                for slot, a in enumerate(asked)
-            ]
+            F.max("value").alias("largest"),
+            F.min("value").alias("smallest"),
         )
     )
-    counted = (
-        df.select(F.explode(inside).alias("item"))
-        .groupBy("item.slot", "item.value")
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
-    ordered = Window.partitionBy("slot").orderBy("value")
-    steps = counted.select("slot", "value", F.sum("rows").over(ordered).alias("upto"), "rows")
-
-    place = (F.col("n") - 1) * F.col("probability")
-    left, right = F.floor(place), F.ceil(place)
-    first = F.col("below") + F.col("upto") - F.col("rows")
-    last = F.col("below") + F.col("upto") - 1
-    located = steps.join(F.broadcast(facts), "slot").withColumns(
-        {
-            "at_left": F.when(left.between(first, last), F.col("value")),
-            "at_right": F.when(right.between(first, last), F.col("value")),
-        }
+    # The distinct values of one bracket: a fraction of a percent of the rows.
+    upwards = Window.partitionBy("slot").orderBy("zone", "inside")
+    everything = Window.partitionBy("slot")
+    steps = tallies.withColumns(
+        {"upto": F.sum("rows").over(upwards), "n": F.sum("rows").over(everything)}
     )
-    found = located.groupBy("slot", "column_name", "probability", "n", "below", "under", "above").agg(
-        F.max("at_left").alias("at_left"), F.max("at_right").alias("at_right")
+    slots = spark.createDataFrame(
+        [(slot, c, p) for slot, (c, p, _, _) in enumerate(asked)],
+        "slot int, column_name string, probability double",
     )
-    lower = F.coalesce("at_left", F.when(left < F.col("below"), F.col("under")).otherwise(F.col("above")))
-    upper = F.coalesce("at_right", F.when(right < F.col("below"), F.col("under")).otherwise(F.col("above")))
-    return found.select(
-        "column_name", "probability", (lower + (upper - lower) * (place - left)).alias("value")
+    place = (F.col("n") - 1) * F.col("probability")
+    first, last = F.col("upto") - F.col("rows"), F.col("upto") - 1
+
+    def at(rank):
+        # Below a bracket only its largest value can be wanted, above it only the smallest.
+        value = F.when(F.col("zone") < 0, F.col("largest")).otherwise(F.col("smallest"))
+        return F.max(F.when(rank.between(first, last), value))
+
+    # One row per asked quantile on the broadcast side.
+    found = (
+        steps.join(F.broadcast(slots), "slot")
+        .groupBy("column_name", "probability")
+        .agg(
+            at(F.floor(place)).alias("left"),
+            at(F.ceil(place)).alias("right"),
+            F.max(place - F.floor(place)).alias("part"),
+        )
     )
-
-
-def _brackets(df: DataFrame, asked: Sequence[tuple[str, float]]) -> dict[tuple[str, float], tuple[float, float]]:
-    """A value range around each quantile: one scan, one row on the driver."""
-    row = df.agg(
-        *[
-            F.percentile_approx(
-                F.col(c).cast("double"), [max(p - _MARGIN, 0.0), min(p + _MARGIN, 1.0)], _ACCURACY
-            ).alias(f"b{slot}")
-            for slot, (c, p) in enumerate(asked)
-        ]
-    ).first()
-    return {a: tuple(row[slot]) for slot, a in enumerate(asked) if row[slot] is not None}
+    value = F.col("left") + (F.col("right") - F.col("left")) * F.col("part")
+    return found.select("column_name", "probability", value.alias("value"))

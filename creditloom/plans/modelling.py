@@ -17,7 +17,7 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, Log
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.functions import exact_mean
@@ -221,14 +221,15 @@ def fit_baseline(train: DataFrame, max_iter: int = 1000) -> PipelineModel:
     return PipelineModel([*stages, model])
 
 
-def _in_parallel(jobs, parallelism: int):
+def _in_parallel(spark: SparkSession, jobs, parallelism: int):
     """Independent fits side by side, as Spark's own cross-validation runs them."""
     with ThreadPoolExecutor(parallelism) as pool:
-        return list(pool.map(lambda job: inheritable_thread_target(job)(), jobs))
+        return list(pool.map(lambda job: inheritable_thread_target(spark)(job)(), jobs))
 
 
 def _with_fold(matrix: DataFrame) -> DataFrame:
-    return sampling.assign_fold(matrix, FOLDS)
+    """Stored with its folds: every fit filters on the stored fold."""
+    return materialise(sampling.assign_fold(matrix, FOLDS), "folds")
 
 
 def baseline_scores(matrix: DataFrame, max_iter: int = 1000, parallelism: int = 4) -> DataFrame:
@@ -249,7 +250,7 @@ def baseline_scores(matrix: DataFrame, max_iter: int = 1000, parallelism: int =
 
         return run
 
-    parts = _in_parallel([job(f) for f in range(1, FOLDS + 1)], parallelism)
+    parts = _in_parallel(matrix.sparkSession, [job(f) for f in range(1, FOLDS + 1)], parallelism)
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -283,7 +284,7 @@ def strategy_scores(
         return run
 
     folds = dict(
-        zip(range(1, FOLDS + 1), _in_parallel([prepare(f) for f in range(1, FOLDS + 1)], parallelism))
+        zip(range(1, FOLDS + 1), _in_parallel(matrix.sparkSession, [prepare(f) for f in range(1, FOLDS + 1)], parallelism))
     )
 
     def job(strategy: str, fold: int):
@@ -298,7 +299,7 @@ def strategy_scores(
         return run
 
     jobs = [job(s, f) for f in folds for s in strategies]
-    return reduce(DataFrame.unionByName, _in_parallel(jobs, parallelism))
+    return reduce(DataFrame.unionByName, _in_parallel(matrix.sparkSession, jobs, parallelism))
 
 
 def resampled(train: DataFrame, strategy: str) -> DataFrame:
@@ -367,7 +368,7 @@ def train(
 
     ``matrix`` should be a stored table: it is read once per stage.
     """
-    split = sampling.assign_split(matrix)
+    split = materialise(sampling.assign_split(matrix), "split")
     part = {
         name: split.filter(F.col("split") == name).drop("split")
         for name in ("fit", "early_stop", "calibrate", "test")

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from oracles import evaluation, features, segments
+from oracles import evaluation, features, models, segments
 
-STATEMENTS: dict[str, str] = {**features.STATEMENTS, **segments.STATEMENTS, **evaluation.STATEMENTS}
+STATEMENTS: dict[str, str] = {**features.STATEMENTS, **segments.STATEMENTS, **evaluation.STATEMENTS, **models.STATEMENTS}
