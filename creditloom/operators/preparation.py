@@ -85,8 +85,8 @@ def impute(df: DataFrame, values: Mapping[str, float | str]) -> DataFrame:
 def fit_scaling(train: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Mean and population standard deviation per column; a constant column is only centred."""
     row = train.agg(
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
-        *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)],
+        *[F.expr(f"avg(`{c}`) AS m{i}") for i, c in enumerate(columns)],
+        *[F.expr(f"stddev_pop(`{c}`) AS s{i}") for i, c in enumerate(columns)],
     ).first()
     return {c: (row[f"m{i}"] or 0.0, row[f"s{i}"] or 1.0) for i, c in enumerate(columns)}
 

@@ -25,14 +25,16 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     NULLs are ignored, like in an aggregate.
     """
     spark = df.sparkSession
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    # Expressions over many columns are written as SQL text: one call per column builds the plan much faster.
+    numbers = df.selectExpr(*[f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in columns])
     accuracy = _FINE if len(columns) <= _FEW_COLUMNS else _COARSE
     # Twice the sketch's guaranteed rank error on both sides.
     margin = 2.0 / accuracy
     bounds = [b for p in probabilities for b in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    listed = ", ".join(f"CAST({b!r} AS DOUBLE)" for b in bounds)
     # One row: the brackets of every column.
     sketched = numbers.agg(
-        *[F.percentile_approx(c, bounds, accuracy).alias(f"b{i}") for i, c in enumerate(columns)]
+        *[F.expr(f"percentile_approx(`{c}`, array({listed}), {accuracy}) AS b{i}") for i, c in enumerate(columns)]
     ).first()
     asked = [
         (c, float(p), found[2 * i], found[2 * i + 1])
@@ -44,16 +46,13 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
         return spark.createDataFrame([], _SCHEMA)
 
     # Each value falls below, inside or above each bracket of its column.
-    placed = [
-        F.struct(
-            F.lit(slot).alias("slot"),
-            F.when(F.col(c) < low, -1).when(F.col(c) <= high, 0).when(F.col(c) > high, 1).alias("zone"),
-            F.col(c).alias("value"),
-        )
+    placed = ", ".join(
+        f"struct({slot} AS slot, CASE WHEN `{c}` < {_double(low)} THEN -1 WHEN `{c}` <= {_double(high)} THEN 0 "
+        f"WHEN `{c}` > {_double(high)} THEN 1 END AS zone, `{c}` AS value)"
         for slot, (c, _, low, high) in enumerate(asked)
-    ]
+    )
     tallies = (
-        numbers.select(F.inline(F.array(*placed)))
+        numbers.selectExpr(f"inline(array({placed}))")
         .filter(F.col("zone").isNotNull())
         .groupBy("slot", "zone", F.when(F.col("zone") == 0, F.col("value")).alias("inside"))
         .agg(
@@ -93,3 +92,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     )
     value = F.col("left") + (F.col("right") - F.col("left")) * F.col("part")
     return found.select("column_name", "probability", value.alias("value"))
+
+
+def _double(value: float) -> str:
+    return f"CAST('{value!r}' AS DOUBLE)"

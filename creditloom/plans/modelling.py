@@ -76,8 +76,8 @@ def fit_tree_inputs(train: DataFrame) -> PipelineModel:
     """Median for missing numbers plus a flag that says so, alphabetical codes for categories, one vector."""
     numeric, categorical = model_inputs(train)
     medians = preparation.fit_medians(train, numeric)
-    row = train.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in numeric]).first()
-    gappy = [c for c in numeric if row[c] < row["_n"]]
+    gaps = train.agg(*[F.expr(f"count_if(`{c}` IS NULL) AS `{c}`") for c in numeric]).first()
+    gappy = [c for c in numeric if gaps[c]]
     filled = {f"num_{c}": f"coalesce(CAST(`{c}` AS DOUBLE), {_number(medians[c])})" for c in numeric}
     flags = {f"gap_{c}": f"CAST(`{c}` IS NULL AS DOUBLE)" for c in gappy}
     stages = [_adding(filled | flags)]
@@ -185,7 +185,7 @@ def fit_baseline(train: DataFrame, max_iter: int = 1000) -> PipelineModel:
     """Median, scaling and capped one-hot columns into a class-balanced logistic regression."""
     numeric, categorical = model_inputs(train)
     medians = preparation.fit_medians(train, numeric)
-    filled = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(medians[c])).alias(c) for c in numeric])
+    filled = train.selectExpr(*[f"coalesce(CAST(`{c}` AS DOUBLE), {_number(medians[c])}) AS `{c}`" for c in numeric])
     scaling = preparation.fit_scaling(filled, numeric)
     columns = {
         f"z_{c}": f"(coalesce(CAST(`{c}` AS DOUBLE), {_number(medians[c])}) - {_number(scaling[c][0])})"
