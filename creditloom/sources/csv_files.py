@@ -2,30 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-# Encodings tried in turn when none is given.
-ENCODINGS = ("UTF-8", "windows-1252", "ISO-8859-1")
+UTF_8, WINDOWS, LATIN = "UTF-8", "windows-1252", "ISO-8859-1"
 
 _UNDECODABLE = "�"
 
+# Spark reads Latin-1 but not Windows-1252. The two differ in 32 code points only, so Windows text is read as
+# Latin-1 and those are translated; five of them mean nothing in Windows-1252.
+_C1 = [chr(b) for b in range(0x80, 0xA0)]
+_AS_WINDOWS = {c: text for c in _C1 if (text := c.encode("latin-1").decode("cp1252", errors="ignore"))}
+_NOT_WINDOWS = [c for c in _C1 if c not in _AS_WINDOWS]
+
 
 def _reader(spark: SparkSession, encoding: str):
     # Rows with too few fields are padded with NULL.
-    return spark.read.option("header", True).option("mode", "PERMISSIVE").option("encoding", encoding)
+    decoded_as = LATIN if encoding == WINDOWS else encoding
+    return spark.read.option("header", True).option("mode", "PERMISSIVE").option("encoding", decoded_as)
+
+
+def _holds(text: DataFrame, characters: list[str]) -> bool:
+    """Whether any name or field has one of the characters; stops at the first that does."""
+
+    def found(value: Column) -> Column:
+        return F.translate(value, "".join(characters), "") != value
+
+    if any(c in name for name in text.columns for c in characters):
+        return True
+    fields = F.array(*[F.col(f"`{c}`") for c in text.columns])
+    return bool(text.filter(F.exists(fields, found)).take(1))
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """First encoding that decodes every byte of the file; one scan per attempt, stopping at the first bad row."""
-    for encoding in ENCODINGS[:-1]:
-        text = _reader(spark, encoding).csv(path)
-        bad_header = any(_UNDECODABLE in c for c in text.columns)
-        bad = F.exists(F.array(*[F.col(f"`{c}`") for c in text.columns]), lambda v: v.contains(_UNDECODABLE))
-        if not bad_header and not text.filter(bad).take(1):
-            return encoding
-    return ENCODINGS[-1]
+    """UTF-8 if every byte decodes, else Windows-1252 if every character exists in it, else Latin-1."""
+    if not _holds(_reader(spark, UTF_8).csv(path), [_UNDECODABLE]):
+        return UTF_8
+    return LATIN if _holds(_reader(spark, LATIN).csv(path), _NOT_WINDOWS) else WINDOWS
 
 
 def whole_number_columns_as_long(schema: StructType) -> StructType:
@@ -38,6 +52,17 @@ def whole_number_columns_as_long(schema: StructType) -> StructType:
     )
 
 
+def _windows_text(df: DataFrame) -> DataFrame:
+    table = str.maketrans(_AS_WINDOWS)
+    columns = []
+    for f in df.schema.fields:
+        value = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, StringType):
+            value = F.translate(value, "".join(_AS_WINDOWS), "".join(_AS_WINDOWS.values()))
+        columns.append(value.alias(f.name.translate(table)))
+    return df.select(*columns)
+
+
 def scan_csv(
     spark: SparkSession, path: str, encoding: str | None = None, schema: StructType | None = None
 ) -> DataFrame:
@@ -50,4 +75,5 @@ def scan_csv(
     if schema is None:
         inferred = _reader(spark, encoding).option("inferSchema", True).option("samplingRatio", 1.0).csv(path)
         schema = whole_number_columns_as_long(inferred.schema)
-    return _reader(spark, encoding).schema(schema).csv(path)
+    table = _reader(spark, encoding).schema(schema).csv(path)
+    return _windows_text(table) if encoding == WINDOWS else table

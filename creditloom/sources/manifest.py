@@ -12,7 +12,8 @@ class SourceTable:
     #: Published row count; None when none is stated.
     expected_rows: int | None
     description: str
-    encoding: str = "UTF-8"
+    #: None lets the file decide, at the price of one more pass over it.
+    encoding: str | None = None
 
 
 # File names and published row counts.
