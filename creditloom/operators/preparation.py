@@ -6,9 +6,11 @@ and applying it costs neither a join nor a shuffle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import StringIndexer, StringIndexerModel
+from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,12 +85,16 @@ def impute(df: DataFrame, values: Mapping[str, float | str]) -> DataFrame:
 
 
 def fit_scaling(train: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """Mean and population standard deviation per column; a constant column is only centred."""
-    row = train.agg(
-        *[F.expr(f"avg(`{c}`) AS m{i}") for i, c in enumerate(columns)],
-        *[F.expr(f"stddev_pop(`{c}`) AS s{i}") for i, c in enumerate(columns)],
-    ).first()
-    return {c: (row[f"m{i}"] or 0.0, row[f"s{i}"] or 1.0) for i, c in enumerate(columns)}
+    """Mean and population standard deviation per column; a constant column is only centred.
+
+    The columns are summarised as one vector, which compiles to one aggregate whatever their number.
+    """
+    vectors = VectorAssembler(inputCols=list(columns), outputCol="v").transform(train)
+    facts = vectors.agg(Summarizer.metrics("count", "mean", "variance").summary(F.col("v")).alias("s")).first()["s"]
+    n = facts["count"]
+    # The summary holds sample variances.
+    deviations = [math.sqrt(v * (n - 1) / n) for v in facts["variance"]]
+    return {c: (float(m), d or 1.0) for c, m, d in zip(columns, facts["mean"], deviations)}
 
 
 def scaled(column: str, mean: float, deviation: float) -> Column:

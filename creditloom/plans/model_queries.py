@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +15,6 @@ from creditloom.plans import modelling
 from creditloom.plans.evaluation_queries import scored
 from creditloom.plans.registry import query
 from creditloom.sources.intermediate import materialise
-from creditloom.sources.testbed import Testbed
 
 APP = "application_train"
 CATEGORICAL = ["NAME_CONTRACT_TYPE", "CODE_GENDER", "NAME_EDUCATION_TYPE", "OCCUPATION_TYPE"]
@@ -38,26 +35,24 @@ STUDY_SETTINGS = modelling.BoostingSettings(rounds=4, learning_rate=0.3, max_dep
 BASELINE_ITERATIONS = 20
 
 
-@lru_cache(maxsize=4)
-def _stored_matrix(application: str, location: str, source: str) -> DataFrame:
-    from pyspark.sql import SparkSession
+# Stored tables and trained models by application, data folder and source.
+_kept: dict[tuple[str, ...], object] = {}
+
 
-    return materialise(feature_matrix(Testbed(SparkSession.getActiveSession(), location), source), "matrix")
+def _once(t, what: str, build):
+    key = (t.spark.conf.get("spark.app.id"), t.location, what)
+    if key not in _kept:
+        _kept[key] = build()
+    return _kept[key]
 
 
 def stored_matrix(t, source: str = APP) -> DataFrame:
     """The feature table, stored once per session and data folder; every fit reads the stored copy."""
-    return _stored_matrix(t.spark.conf.get("spark.app.id"), t.location, source)
-
-
-@lru_cache(maxsize=2)
-def _trained(application: str, location: str) -> modelling.TrainedModel:
-    return modelling.train(_stored_matrix(application, location, APP), SETTINGS)
+    return _once(t, source, lambda: materialise(feature_matrix(t, source), "matrix"))
 
 
 def trained(t) -> modelling.TrainedModel:
-    stored_matrix(t)
-    return _trained(t.spark.conf.get("spark.app.id"), t.location)
+    return _once(t, "model", lambda: modelling.train(stored_matrix(t), SETTINGS))
 
 
 def _training_rows(t) -> DataFrame:

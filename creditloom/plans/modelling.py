@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from creditloom.functions import exact_mean
 from creditloom.operators import preparation, sampling
-from creditloom.operators.application import ID, LABEL
+from creditloom.operators.application import ID, LABEL, derived_columns
 from creditloom.operators.evaluation import cost_threshold, ranking_metrics
 from creditloom.operators.feature_matrix import model_inputs
 from creditloom.operators.neighbours import smote
@@ -355,6 +355,15 @@ class TrainedModel:
         aligned = align_to_features(matrix, self.features)
         return calibrate(probabilities(self.booster, prepared_rows(aligned, self.inputs)), self.calibrator)
 
+    def score_applications(self, applications: DataFrame) -> DataFrame:
+        """Score raw applications without history, however few of their fields are filled in.
+
+        Absent fields are missing values, and the ratios are derived from what is there, as in training.
+        """
+        aligned = align_to_features(applications, self.features)
+        derived = {c: e for c, e in derived_columns().items() if c in aligned.columns}
+        return self.score(aligned.withColumns(derived))
+
     def save(self, folder: str) -> None:
         self.inputs.write().overwrite().save(f"{folder}/inputs")
         self.booster.write().overwrite().save(f"{folder}/booster")

@@ -228,3 +228,14 @@ def test_study_compares_all_strategies_on_the_same_folds(applicants):
     summary = modelling.strategy_summary(modelling.fold_scores(scores, ["strategy", "fold"])).collect()
     chosen = [r for r in summary if r["chosen"]]
     assert len(chosen) == 1 and chosen[0]["mean_pr_auc"] == max(r["mean_pr_auc"] for r in summary)
+
+
+def test_raw_applications_get_their_ratios(spark):
+    columns = (
+        "SK_ID_CURR long, TARGET int, AMT_CREDIT double, AMT_INCOME_TOTAL double, CREDIT_INCOME_RATIO double"
+    )
+    data = [(i, int(i % 100 >= 80), 1000.0 * (1 + i % 100), 1000.0, 1.0 + i % 100) for i in range(600)]
+    model = modelling.train(spark.createDataFrame(data, columns), SMALL)
+    raw = spark.createDataFrame([(1, 5000.0, 1000.0), (2, 95000.0, 1000.0)], "SK_ID_CURR long, AMT_CREDIT double, AMT_INCOME_TOTAL double")
+    got = {r["id"]: r["p"] for r in model.score_applications(raw).collect()}
+    assert got[2] > 0.5 > got[1]

@@ -111,3 +111,13 @@ def test_fan_out_counts_rows_not_clients(spark):
     app = spark.createDataFrame([(1, 1), (2, 0)], "SK_ID_CURR long, TARGET long")
     bureau = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (2, 13)], "SK_ID_CURR long, SK_ID_BUREAU long")
     assert rows(adhoc.naive_join_fanout(app, bureau)) == [(4, 2, 0.75, 0.5)]
+
+
+def test_exploration_is_written_whole(spark, portfolio, tmp_path):
+    from creditloom.plans.exploration import write_exploration
+
+    write_exploration(portfolio, str(tmp_path))
+    shown = spark.read.json(f"{tmp_path}/insight_segments")
+    assert shown.select("insight_id").distinct().count() == 8
+    assert spark.read.json(f"{tmp_path}/insight_headlines").count() == 8
+    assert spark.read.json(f"{tmp_path}/feature_categories").count() == 10
