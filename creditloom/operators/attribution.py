@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.functions import display_number, exact_mean, humanise
-from creditloom.operators.trees import Tree, merged_conditions, read_trees
+from creditloom.operators.trees import Leaf, Tree, merged_conditions, read_trees
 
 # Factors shown per applicant and features in the overall ranking.
 TOP_FACTORS = 6
@@ -51,49 +51,38 @@ def linear_contributions(
 # --- boosted trees -----------------------------------------------------------------------------------------
 
 
-class _LeafTable:
+def _leaf_table(tree: Tree, leaf: Leaf, scale: float):
     """Contributions of one leaf for every combination of satisfied conditions.
 
     A leaf with d distinct features on its path is a game whose worth is the leaf value times, per feature,
     1 or 0 when the feature is known and its share of the training rows when it is not. The Shapley value of
-    each feature then depends only on which of the d conditions hold, so it is tabulated once.
+    each feature then depends only on which of the d conditions hold, so it is tabulated once: row ``held`` of
+    the table has bit j set when condition j holds.
     """
-
-    def __init__(self, tree: Tree, leaf, scale: float) -> None:
-        merged = merged_conditions(leaf)
-        self.conditions = [c for c, _ in merged]
-        self.features = np.array([c.feature for c in self.conditions], dtype=np.int64)
-        shares = [share for _, share in merged]
-        d = len(merged)
-        self.table = np.zeros((1 << d, d))
-        for held in range(1 << d):
-            known = [float(held >> j & 1) for j in range(d)]
-            for j in range(d):
-                others = [i for i in range(d) if i != j]
-                total = 0.0
-                for size in range(d):
-                    odds = factorial(size) * factorial(d - size - 1) / factorial(d)
-                    for chosen in combinations(others, size):
-                        worth = odds
-                        for i in others:
-                            worth *= known[i] if i in chosen else shares[i]
-                        total += worth
-                self.table[held, j] = tree.weight * scale * leaf.value * (known[j] - shares[j]) * total
-
-    def add_to(self, out: np.ndarray, x: np.ndarray) -> None:
-        held = np.zeros(len(x), dtype=np.int64)
-        for j, c in enumerate(self.conditions):
-            column = x[:, c.feature]
-            if c.codes is not None:
-                holds = np.isin(column, list(c.codes))
-            else:
-                holds = (column > c.low) & (column <= c.high)
-            held |= holds.astype(np.int64) << j
-        out[:, self.features] += self.table[held]
-
-
-def leaf_tables(trees: Sequence[Tree], scale: float) -> list[_LeafTable]:
-    return [_LeafTable(tree, leaf, scale) for tree in trees for leaf in tree.leaves if leaf.steps]
+    merged = merged_conditions(leaf)
+    shares = [share for _, share in merged]
+    d = len(merged)
+    table = np.zeros((1 << d, d))
+    for held in range(1 << d):
+        known = [float(held >> j & 1) for j in range(d)]
+        for j in range(d):
+            others = [i for i in range(d) if i != j]
+            total = 0.0
+            for size in range(d):
+                odds = factorial(size) * factorial(d - size - 1) / factorial(d)
+                for chosen in combinations(others, size):
+                    worth = odds
+                    for i in others:
+                        worth *= known[i] if i in chosen else shares[i]
+                    total += worth
+            table[held, j] = tree.weight * scale * leaf.value * (known[j] - shares[j]) * total
+    conditions = [(c.feature, c.low, c.high, sorted(c.codes) if c.codes is not None else None) for c, _ in merged]
+    return conditions, table
+
+
+def leaf_tables(trees: Sequence[Tree], scale: float) -> list:
+    """Plain lists and arrays, which any executor can unpickle."""
+    return [_leaf_table(tree, leaf, scale) for tree in trees for leaf in tree.leaves if leaf.steps]
 
 
 def tree_contributions(
@@ -113,8 +102,13 @@ def tree_contributions(
         for pdf in batches:
             x = np.stack(pdf[features].to_numpy()) if len(pdf) else np.zeros((0, len(names)))
             out = np.zeros(x.shape)
-            for table in tables.value:
-                table.add_to(out, x)
+            for conditions, table in tables.value:
+                held = np.zeros(len(x), dtype=np.int64)
+                for j, (feature, low, high, codes) in enumerate(conditions):
+                    column = x[:, feature]
+                    holds = (column > low) & (column <= high) if codes is None else np.isin(column, codes)
+                    held |= holds.astype(np.int64) << j
+                out[:, [c[0] for c in conditions]] += table[held]
             yield pd.DataFrame({key: pdf[key], features: pdf[features], "pushes": list(out)})
 
     key_type = dict(prepared.dtypes)[key]

@@ -232,7 +232,7 @@ def _with_fold(matrix: DataFrame) -> DataFrame:
     return materialise(sampling.assign_fold(matrix, FOLDS), "folds")
 
 
-def baseline_scores(matrix: DataFrame, max_iter: int = 1000, parallelism: int = 4) -> DataFrame:
+def baseline_scores(matrix: DataFrame, max_iter: int = 1000, parallelism: int = 8) -> DataFrame:
     """``fold, id, y, p``: every row scored by the model that did not see its fold."""
     folded = _with_fold(matrix)
 
@@ -261,7 +261,7 @@ def strategy_scores(
     matrix: DataFrame,
     settings: BoostingSettings,
     strategies: Sequence[str] = STRATEGIES,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> DataFrame:
     """``strategy, fold, id, y, p`` for every strategy on the same folds.
 
