@@ -166,7 +166,7 @@ def stratified_rank(df: DataFrame, key: str = ID, stratum: str = LABEL, seed: in
     """Rank of every row in hash order inside its stratum, with both population sizes.
 
     A stratum may hold nearly all rows, so it is ranked cell by cell; the cells' offsets come from a histogram
-    with a fixed number of cells, which is what makes it safe to broadcast.
+    with a fixed number of cells per stratum, which AQE broadcasts when it is small.
     """
     marked = df.select(key, stratum).withColumns(
         {"_h": spread_hash(key, seed), "_cell": _cell(key, seed)}
@@ -184,7 +184,7 @@ def stratified_rank(df: DataFrame, key: str = ID, stratum: str = LABEL, seed: in
     same = F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("_c"))
     return (
         marked.withColumn("_row", F.row_number().over(inside))
-        .join(F.broadcast(offsets), same)
+        .join(offsets, same)
         .select(key, stratum, (F.col("_before") + F.col("_row")).alias("rn"), "stratum_n", "total_n")
     )
 
