@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from creditloom.llm.packing import packed
+from creditloom.llm.sharding import shards
 from creditloom.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +23,29 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards(_table(spark, sf_dir, "documents"), 40).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op7_packing": op7_packing,
+    "op8_sharding": op8_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {}
