@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from creditloom.llm.packing import packed
 from creditloom.llm.sharding import shards
 from creditloom.llm.token_counts import token_counts
+from creditloom.llm.winnowing import edited_fingerprints, fingerprint_text, hashes_of, likeness
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,10 +43,25 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = edited_fingerprints(_table(spark, sf_dir, "documents"))
+    own = hashes_of(F.col("kept"))
+    return compared.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprint_text(F.col("kept")).alias("fingerprint"),
+        fingerprint_text(F.col("edited_kept")).alias("edited_fingerprint"),
+        likeness(own, hashes_of(F.col("edited_kept"))).alias("near_edited"),
+        likeness(own, hashes_of(F.col("next_kept"))).alias("near_next"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op7_packing": op7_packing,
     "op8_sharding": op8_sharding,
+    "op9_winnowing": op9_winnowing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
