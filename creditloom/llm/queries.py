@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.llm.packing import packed
+from creditloom.llm.parity_join import parity_join
 from creditloom.llm.sharding import shards
 from creditloom.llm.token_counts import token_counts
 from creditloom.llm.winnowing import edited_fingerprints, fingerprint_text, hashes_of, likeness
@@ -24,6 +25,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join(_table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select(
@@ -59,6 +64,7 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op6_parity_join": op6_parity_join,
     "op7_packing": op7_packing,
     "op8_sharding": op8_sharding,
     "op9_winnowing": op9_winnowing,
