@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from creditloom.llm.packing import packed
 from creditloom.llm.parity_join import parity_join
 from creditloom.llm.sharding import shards
+from creditloom.llm.suffix_dedup import suffix_dedup
 from creditloom.llm.token_counts import token_counts
 from creditloom.llm.winnowing import edited_fingerprints, fingerprint_text, hashes_of, likeness
 
@@ -25,6 +26,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents"), length=50).select(
+        "doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op6_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join(_table(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -64,6 +71,7 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op6_parity_join": op6_parity_join,
     "op7_packing": op7_packing,
     "op8_sharding": op8_sharding,
