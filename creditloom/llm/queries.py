@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from creditloom.llm.decontamination import contaminations
 from creditloom.llm.packing import packed
 from creditloom.llm.parity_join import parity_join
 from creditloom.llm.sharding import shards
@@ -32,6 +33,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=10)
+
+
 def op6_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join(_table(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -72,6 +77,7 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op4_decontamination": op4_decontamination,
     "op6_parity_join": op6_parity_join,
     "op7_packing": op7_packing,
     "op8_sharding": op8_sharding,
