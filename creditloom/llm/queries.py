@@ -14,6 +14,7 @@ from creditloom.llm.parity_join import parity_join
 from creditloom.llm.sharding import shards
 from creditloom.llm.suffix_dedup import suffix_dedup
 from creditloom.llm.token_counts import token_counts
+from creditloom.llm.toxicity import fit_toxicity, toxicity_scores
 from creditloom.llm.winnowing import edited_fingerprints, fingerprint_text, hashes_of, likeness
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +38,19 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=10)
 
 
+def _remainder(column: str):
+    """crc32 of an id's text modulo 5; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 5
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = fit_toxicity(documents, _table(spark, sf_dir, "labels").filter(_remainder("doc_id") != 0))
+    return toxicity_scores(documents, model).select(
+        "doc_id", (_remainder("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op6_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join(_table(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -78,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op4_decontamination": op4_decontamination,
+    "op5_toxicity": op5_toxicity,
     "op6_parity_join": op6_parity_join,
     "op7_packing": op7_packing,
     "op8_sharding": op8_sharding,
