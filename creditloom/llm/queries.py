@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from creditloom.llm.attention_lm import score_with_training
 from creditloom.llm.decontamination import contaminations
 from creditloom.llm.packing import packed
 from creditloom.llm.parity_join import parity_join
@@ -88,6 +89,13 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    training = documents.filter(_remainder("doc_id") != 1)
+    scored = score_with_training(documents, training, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return scored.withColumn("held_out", _remainder("doc_id") == 1)
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -97,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "op7_packing": op7_packing,
     "op8_sharding": op8_sharding,
     "op9_winnowing": op9_winnowing,
+    "op10_attention_lm": op10_attention_lm,
 }
 
 ORACLE_SQL: dict[str, str] = {}
