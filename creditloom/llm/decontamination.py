@@ -18,6 +18,7 @@ from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,6 +138,18 @@ def _spans(text: str, matches: list[tuple[int, int, int, int]]) -> Iterator[tupl
         yield number, words[bisect_right(begins, start) - 1][0], words[bisect_right(begins, end - 1) - 1][1], distance
 
 
+def _blocks(items: DataFrame) -> Iterator[Broadcast]:
+    """The items' ids and normalised texts, broadcast in blocks of about ITEMS_PER_BLOCK."""
+    blocks = -(-items.count() // ITEMS_PER_BLOCK) or 1
+    dealt = items.select(F.col("item_id").cast("long").alias("item_id"), "text").withColumn(
+        "block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    )
+    for block in range(blocks):
+        rows = dealt.filter(F.col("block") == block).select("item_id", "text").collect()
+        known = [(i, r.item_id, normalised(r.text or "")) for i, r in enumerate(rows)]
+        yield items.sparkSession.sparkContext.broadcast(known)
+
+
 def contaminations(documents: DataFrame, items: DataFrame, percent: int = 10) -> DataFrame:
     """One row per match: doc_id, item_id, start and end (code points of the text, whole words), distance.
 
@@ -144,17 +157,8 @@ def contaminations(documents: DataFrame, items: DataFrame, percent: int = 10) ->
     rows are matched one by one; an empty table on either side gives no rows. Of matches of one item that overlap in a
     text, one is reported. Other columns are not read.
     """
-    spark = documents.sparkSession
-    # The id is part of the hash only, so items without one are dealt to a block as well.
-    blocks = -(-items.count() // ITEMS_PER_BLOCK) or 1
-    dealt = items.select(F.col("item_id").cast("long").alias("item_id"), "text").withColumn(
-        "block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    )
-
-    def of_block(block: int) -> DataFrame:
-        rows = dealt.filter(F.col("block") == block).select("item_id", "text").collect()
-        known = spark.sparkContext.broadcast([(i, r.item_id, normalised(r.text or "")) for i, r in enumerate(rows)])
 
+    def of_block(known: Broadcast) -> DataFrame:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher([(i, text) for i, _, text in known.value], percent)
             ids = [item_id for _, item_id, _ in known.value]
@@ -173,4 +177,19 @@ def contaminations(documents: DataFrame, items: DataFrame, percent: int = 10) ->
         schema = "doc_id long, item_id long, start long, end long, distance int"
         return documents.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(scan, schema)
 
-    return reduce(DataFrame.unionByName, map(of_block, range(blocks)))
+    return reduce(DataFrame.unionByName, map(of_block, _blocks(items)))
+
+
+def without_contaminated(documents: DataFrame, items: DataFrame, percent: int = 10) -> DataFrame:
+    """The documents, with all their columns, whose texts match no item."""
+
+    def of_block(rest: DataFrame, known: Broadcast) -> DataFrame:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher([(i, text) for i, _, text in known.value], percent)
+            for batch in batches:
+                clean = [next(matcher.find(normalised(t.as_py() or "")), None) is None for t in batch.column("text")]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return rest.mapInArrow(keep, rest.schema)
+
+    return reduce(of_block, _blocks(items), documents)

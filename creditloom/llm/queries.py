@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from creditloom.llm.attention_lm import score_with_training
 from creditloom.llm.decontamination import contaminations
+from creditloom.llm.licences import licence_scan, scan_sql
 from creditloom.llm.packing import packed
 from creditloom.llm.parity_join import parity_join
 from creditloom.llm.sharding import shards
@@ -35,6 +36,16 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a source is a project with a directory for each language."""
+    documents = _table(spark, sf_dir, "documents")
+    known = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("unknown"))
+    path = F.concat_ws("/", known("source"), known("lang"), F.concat(known("doc_id"), F.lit(".txt")))
+    scanned = licence_scan(documents.select(path.alias("path"), "text"))
+    number = F.expr("try_cast(regexp_extract(path, '([^/]*)[.]txt$', 1) as bigint)")
+    return scanned.select(number.alias("doc_id"), "path", "licence", "origin", "similarity", "from_path")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=10)
 
@@ -99,6 +110,7 @@ def op10_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_licence_scan": op3_licence_scan,
     "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
     "op6_parity_join": op6_parity_join,
@@ -108,4 +120,9 @@ QUERIES: dict[str, Query] = {
     "op10_attention_lm": op10_attention_lm,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_licence_scan": scan_sql(
+        "SELECT doc_id, coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') || '/' || "
+        "coalesce(doc_id::VARCHAR, 'unknown') || '.txt' AS path, coalesce(text, '') AS text FROM documents"
+    ),
+}

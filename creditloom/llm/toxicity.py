@@ -268,3 +268,17 @@ def toxicity_scores(documents: DataFrame, model: ToxicityModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
 
     return documents.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(score, "doc_id long, score double")
+
+
+def without_toxic(documents: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
+    """The documents, with all their columns, whose score lies below ``threshold``."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens(shared.value.lexicon)
+        for batch in batches:
+            features = np.array([tokens.features(t.as_py() or "") for t in batch.column("text")])
+            scores = shared.value.scores(features.reshape(-1, len(FEATURES)))
+            yield batch.filter(pa.array(scores < threshold))
+
+    return documents.mapInArrow(keep, documents.schema)
