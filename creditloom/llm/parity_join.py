@@ -6,7 +6,9 @@ most the size of the sets' symmetric difference. Two sets that reach the similar
 
     limit = floor((1 - s) / (1 + s) * (size of one + size of the other))
 
-elements. With ``limit + 1`` parts, one part at least holds no differing element, so it is equal in both (pigeonhole).
+elements. With ``limit + 2`` parts, two parts at least hold no differing element, so they are equal in both (pigeonhole).
+A part that no element of a set falls into says little, so a set with one empty part does not send it: another equal part
+remains. A set with more of them sends all its parts.
 
 Sizes are cut into bands whose ends grow by 1/s, so partners lie in one band or in neighbours. The pair of bands
 (i - 1, i) is one group with its own number of parts; each document sends its parts to two groups. Equal part values meet
@@ -82,7 +84,7 @@ def parts_of(band: int, similarity_percent: int) -> int:
     """The number of sketch parts of the group of bands (band - 1, band)."""
     while len(_SIZES) <= band + 1:
         band_of(_SIZES[-1], similarity_percent)
-    return most_difference(2 * (_SIZES[band + 1] - 1), similarity_percent) + 1
+    return most_difference(2 * (_SIZES[band + 1] - 1), similarity_percent) + 2
 
 
 def sketch(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -94,10 +96,19 @@ def sketch(hashes: np.ndarray, parts: int) -> np.ndarray:
 
 
 def bucket_keys(hashes: np.ndarray, band: int, similarity_percent: int) -> np.ndarray:
-    """The buckets that a set's sketch parts fall into in one group."""
+    """The buckets that a set's sketch parts fall into in one group.
+
+    Here a part is as wide as the hashes have values; instead of its bits, the XOR of codes of its odd bits stands for it.
+    """
     parts = parts_of(band, similarity_percent)
+    part = ((hashes >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)
+    codes = np.zeros(parts, np.uint64)
+    np.bitwise_xor.at(codes, part, mix(hashes))
     number = np.arange(parts, dtype=np.uint64) + (np.uint64(band) << np.uint64(40))
-    spread = mix(sketch(hashes, parts) ^ mix(number))
+    spread = mix(codes ^ mix(number))
+    filled = np.bincount(part, minlength=parts) > 0
+    if parts - filled.sum() == 1:
+        spread = spread[filled]
     return (spread & ~np.uint64(_BAND_MASK)) | np.uint64(band)  # 8 bits tell 200 bands, sets of 10**9 shingles
 
 
@@ -179,8 +190,8 @@ def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
                 if kept.num_rows:
                     yield kept
 
-    joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    joined = joined.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+    joined = joined.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
 
 
@@ -200,7 +211,7 @@ def _sketches(wanted: DataFrame, texts: DataFrame, width: int, percent: int) ->
                     ["doc_id", "band", "size", "sketch"],
                 )
 
-    joined = texts.join(wanted, "doc_id").select("doc_id", "band", "text")
+    joined = texts.join(wanted.hint("merge"), "doc_id").select("doc_id", "band", "text")
     return joined.mapInArrow(draw, "doc_id long, band long, size long, sketch binary")
 
 
@@ -228,7 +239,7 @@ def _pairs_across_components(crowded: DataFrame, found: DataFrame, texts: DataFr
 
     ``crowded`` holds the distinct (bucket, doc_id), ``found`` the components so far.
     """
-    labelled = crowded.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
+    labelled = crowded.join(found.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").withColumn(
         "component", F.coalesce("component", "doc_id")
     )
     mixed = labelled.groupBy("bucket").agg(
@@ -237,12 +248,12 @@ def _pairs_across_components(crowded: DataFrame, found: DataFrame, texts: DataFr
     # Two members have been compared with one another already.
     mixed = mixed.filter("first < last and members > 2").select("bucket", F.ceil(F.col("members") / BLOCK).alias("blocks"))
     left = materialise(
-        labelled.join(mixed, "bucket").withColumn("band", F.col("bucket").bitwiseAND(F.lit(_BAND_MASK)).cast("long")), "mixed"
+        labelled.join(mixed.hint("merge"), "bucket").withColumn("band", F.col("bucket").bitwiseAND(F.lit(_BAND_MASK)).cast("long")), "mixed"
     )
     drawn = _sketches(left.select("doc_id", "band").distinct(), texts, width, percent)
     part = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
     dealt = (
-        left.join(drawn, ["doc_id", "band"])
+        left.join(drawn.hint("merge"), ["doc_id", "band"])
         .withColumn("part", part)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .withColumn("lo", F.least("part", "other"))
@@ -268,7 +279,8 @@ def parity_join(documents: DataFrame, width: int = 3, percent: int = 90) -> Data
     equal = ["n_shingles", "high", "low"]
     classes = filled.groupBy(*equal).agg(F.min("doc_id").alias("class_id"))
     class_of = materialise(digests.join(classes, equal, "left").select("doc_id", "n_shingles", "class_id"), "classes")
-    by_id = class_of.filter("class_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    # Tables that grow with the input are merged at every size, never broadcast at a small one.
+    by_id = class_of.filter("class_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("class_id")).hint("merge")
 
     bucket = Window.partitionBy("bucket")
     crowded = _buckets(texts, width, percent).select(
@@ -276,13 +288,13 @@ def parity_join(documents: DataFrame, width: int = 3, percent: int = 90) -> Data
     )
     crowded = materialise(crowded.filter("leader < last").select("bucket", "doc_id", "leader"), "crowded")
     meetings = crowded.filter("doc_id <> leader").select("doc_id", "leader").distinct()
-    meetings = meetings.join(by_id.select("doc_id", F.col("class_id").alias("x")), "doc_id").join(
-        by_id.select(F.col("doc_id").alias("leader"), F.col("class_id").alias("y")), "leader"
+    meetings = meetings.join(by_id.select("doc_id", F.col("class_id").alias("x")).hint("merge"), "doc_id").join(
+        by_id.select(F.col("doc_id").alias("leader"), F.col("class_id").alias("y")).hint("merge"), "leader"
     )
     pairs = meetings.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs = materialise(pairs, "pairs")
     concerned = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    concerned_texts = materialise(texts.join(concerned, "doc_id", "left_semi"), "texts")
+    concerned_texts = materialise(texts.join(concerned.hint("merge"), "doc_id", "left_semi"), "texts")
 
     links = materialise(_links(pairs, concerned_texts, width, percent), "similar")
     found = components(links)
@@ -294,3 +306,14 @@ def parity_join(documents: DataFrame, width: int = 3, percent: int = 90) -> Data
     return class_of.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id")
     )
+
+
+def one_of_each_group(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, with all their columns, that have the smallest id of their group of linked documents.
+
+    A row that stands there more than once with one id and text stays once; rows with a null id stay as they are.
+    """
+    groups = parity_join(documents, width, percent)
+    kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    known = documents.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return known.select(documents.columns).unionByName(documents.filter("doc_id is null"))
