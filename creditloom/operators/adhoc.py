@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditloom.functions import exact_mean, exact_sum, is_not_employed
+from creditloom.functions import FINE_PLACES, exact_mean, exact_sum, is_not_employed
 from creditloom.operators.application import ID, LABEL
 from creditloom.operators.ordering import global_ntile
 from creditloom.operators.segments import age_band, mean_days_late, rate_by_segment, tenure_band
@@ -68,7 +68,7 @@ def lateness_by_outcome(applications: DataFrame, installments: DataFrame) -> Dat
     """Mean over clients of their average lateness, by outcome."""
     joined = applications.select(ID, LABEL).join(mean_days_late(installments), ID)
     return joined.groupBy(LABEL).agg(
-        F.count(F.lit(1)).alias("clients"), exact_mean("avg_days_late", 1e9).alias("avg_days_late")
+        F.count(F.lit(1)).alias("clients"), exact_mean("avg_days_late", FINE_PLACES).alias("avg_days_late")
     )
 
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.functions import display_number, exact_mean, humanise
+from creditloom.functions import FINE_PLACES, display_number, exact_mean, humanise
 from creditloom.operators.trees import Leaf, Tree, merged_conditions, read_trees
 
 # Factors shown per applicant and features in the overall ranking.
@@ -163,7 +163,7 @@ def top_factors(contributions: DataFrame, key: str, n: int = TOP_FACTORS) -> Dat
 def global_importance(contributions: DataFrame, n: int = TOP_FEATURES) -> DataFrame:
     """Mean absolute contribution per feature over the whole portfolio, largest first."""
     flat = contributions.select(F.inline("contributions"))
-    ranked = flat.groupBy("feature").agg(exact_mean(F.abs("contribution"), 1e12).alias("mean_abs_contribution"))
+    ranked = flat.groupBy("feature").agg(exact_mean(F.abs("contribution"), FINE_PLACES).alias("mean_abs_contribution"))
     return (
         ranked.withColumn("label", humanise("feature"))
         .orderBy(F.desc("mean_abs_contribution"), "feature")

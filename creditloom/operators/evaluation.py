@@ -13,12 +13,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditloom.functions import exact_mean, exact_sum, ratio
+from creditloom.functions import FINE_PLACES, exact_mean, exact_sum, ratio
 from creditloom.operators.ordering import bin_of_position, global_position, running_totals
 
 # Resolutions of sums of probabilities and of rates, whose addends never exceed one.
-_PROBABILITY_SCALE = 1e12
-_RATE_SCALE = 1e15
 
 # Decimals of a candidate threshold and the costs of the two errors.
 _THRESHOLD_STEPS = 1e4
@@ -64,7 +62,7 @@ def _roc_auc() -> Column:
 
 def _average_precision() -> Column:
     """Sum over distinct scores of the recall gained times the precision reached (a step function)."""
-    return exact_sum(ratio("pos", "pos_total") * _cumulative()["precision"], _RATE_SCALE)
+    return exact_sum(ratio("pos", "pos_total") * _cumulative()["precision"], FINE_PLACES)
 
 
 def _ks() -> Column:
@@ -161,7 +159,7 @@ def brier_score(scored: DataFrame, label: str = "y", score: str = "p") -> DataFr
 
 def _brier(label: str, score: str) -> Column:
     gap = F.col(score) - F.col(label)
-    return exact_mean(gap * gap, _PROBABILITY_SCALE)
+    return exact_mean(gap * gap, FINE_PLACES)
 
 
 def base_rate(scored: DataFrame, label: str = "y") -> DataFrame:
@@ -273,7 +271,7 @@ def _calibration(scored: DataFrame, edges: list[float], label: str, score: str)
         scored.groupBy((reduce(Column.__add__, above) + 1).alias("bin"))
         .agg(
             F.count(F.lit(1)).alias("applicants"),
-            exact_mean(score, _PROBABILITY_SCALE).alias("mean_predicted"),
+            exact_mean(score, FINE_PLACES).alias("mean_predicted"),
             F.avg(label).alias("fraction_positive"),
         )
     )

@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 from creditloom.operators.application import ID, LABEL, with_derived_features
 from creditloom.operators.history import SUMMARIES
 from creditloom.operators.restriction import restrict_to_clients
+from creditloom.sources.intermediate import materialise
 
 
 def feature_matrix(tables: Mapping[str, DataFrame], source: str = "application_train") -> DataFrame:
@@ -54,4 +55,6 @@ def applicant_lookup(
     spine = found.withColumn("SOURCE_TABLE", F.lit(labelled)).unionByName(
         missing.withColumn("SOURCE_TABLE", F.lit(unlabelled)), allowMissingColumns=True
     )
+    # Stored once: every history is cut down by it.
+    spine = materialise(spine, "spine")
     return feature_matrix(restrict_to_clients(tables, spine) | {"spine": spine}, "spine")

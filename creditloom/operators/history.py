@@ -12,8 +12,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.functions import exact_mean, exact_sum, exact_sum_of_units, ratio
-from creditloom.functions.exact import RATIO_SCALE
+from creditloom.functions import FINE_PLACES, exact_mean, exact_sum, ratio
 from creditloom.operators.application import ID
 
 
@@ -39,7 +38,7 @@ def summarise_bureau(bureau: DataFrame, key: str = ID) -> DataFrame:
         exact_mean("AMT_CREDIT_SUM").alias("BUR_CREDIT_SUM_MEAN"),
         F.max("AMT_CREDIT_SUM").alias("BUR_CREDIT_SUM_MAX"),
         exact_sum("AMT_CREDIT_SUM_DEBT").alias("BUR_DEBT_TOTAL"),
-        ratio(exact_sum_of_units("AMT_CREDIT_SUM_DEBT"), exact_sum_of_units("AMT_CREDIT_SUM")).alias(
+        ratio(exact_sum("AMT_CREDIT_SUM_DEBT"), exact_sum("AMT_CREDIT_SUM")).alias(
             "BUR_DEBT_CREDIT_RATIO"
         ),
         exact_sum("AMT_CREDIT_SUM_OVERDUE").alias("BUR_OVERDUE_TOTAL"),
@@ -98,7 +97,7 @@ def summarise_previous_applications(previous: DataFrame, key: str = ID) -> DataF
         _share(outcome == "Canceled").alias("PREV_CANCEL_RATE"),
         exact_mean("AMT_APPLICATION").alias("PREV_APPLICATION_MEAN"),
         exact_mean("AMT_CREDIT").alias("PREV_CREDIT_MEAN"),
-        exact_mean(ratio("AMT_CREDIT", "AMT_APPLICATION"), RATIO_SCALE).alias("PREV_GRANTED_RATIO"),
+        exact_mean(ratio("AMT_CREDIT", "AMT_APPLICATION"), FINE_PLACES).alias("PREV_GRANTED_RATIO"),
         exact_mean("AMT_DOWN_PAYMENT").alias("PREV_DOWNPAYMENT_MEAN"),
         F.avg("CNT_PAYMENT").alias("PREV_TERM_MEAN"),
         F.max("DAYS_DECISION").alias("PREV_LAST_DECISION"),
@@ -121,7 +120,7 @@ def summarise_installments(installments: DataFrame, key: str = ID) -> DataFrame:
         exact_sum(short).alias("INST_SHORTFALL_TOTAL"),
         F.max(short).alias("INST_SHORTFALL_MAX"),
         _share(F.col("AMT_PAYMENT") < F.col("AMT_INSTALMENT")).alias("INST_UNDERPAID_RATIO"),
-        ratio(exact_sum_of_units("AMT_PAYMENT"), exact_sum_of_units("AMT_INSTALMENT")).alias(
+        ratio(exact_sum("AMT_PAYMENT"), exact_sum("AMT_INSTALMENT")).alias(
             "INST_PAYMENT_RATIO"
         ),
         F.max("DAYS_INSTALMENT").alias("INST_LAST_DUE"),
@@ -135,7 +134,7 @@ def summarise_credit_card(statements: DataFrame, key: str = ID) -> DataFrame:
         F.countDistinct("SK_ID_PREV").alias("CC_CARDS"),
         exact_mean("AMT_BALANCE").alias("CC_BALANCE_MEAN"),
         F.max("AMT_BALANCE").alias("CC_BALANCE_MAX"),
-        exact_mean(utilisation, RATIO_SCALE).alias("CC_UTILISATION_MEAN"),
+        exact_mean(utilisation, FINE_PLACES).alias("CC_UTILISATION_MEAN"),
         F.max(utilisation).alias("CC_UTILISATION_MAX"),
         exact_mean("AMT_DRAWINGS_CURRENT").alias("CC_DRAWINGS_MEAN"),
         F.avg("CNT_DRAWINGS_CURRENT").alias("CC_DRAWINGS_COUNT_MEAN"),

@@ -13,8 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_FEW_COLUMNS = 10
-_FINE, _COARSE = 10_000, 2_000
+# Rank resolution of the sketch that brackets a quantile.
+_ACCURACY = 10_000
 
 _SCHEMA = "column_name string, probability double, value double"
 
@@ -27,7 +27,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     spark = df.sparkSession
     # Expressions over many columns are written as SQL text: one call per column builds the plan much faster.
     numbers = df.selectExpr(*[f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in columns])
-    accuracy = _FINE if len(columns) <= _FEW_COLUMNS else _COARSE
+    accuracy = _ACCURACY
     # Twice the sketch's guaranteed rank error on both sides.
     margin = 2.0 / accuracy
     bounds = [b for p in probabilities for b in (max(p - margin, 0.0), min(p + margin, 1.0))]

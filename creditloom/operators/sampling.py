@@ -25,7 +25,6 @@ UNLABELLED_PERCENT = 16
 
 _CELL_BITS = 14
 _CELL_SHIFT = HASH_SPACE.bit_length() - 1 - _CELL_BITS
-MAX_STRATA = 64
 
 #: quotas(stratum size, table size) -> number of rows, in hash order, before each cut
 Quotas = Callable[[int, int], Sequence[int]]
@@ -47,9 +46,9 @@ class HashCuts:
     ends: Mapping[object, Sequence[tuple[int, int] | None]]
 
     def before(self, cut: int) -> Column:
-        """Whether a row lies within the given cut of its stratum."""
+        """Whether a row lies within the given cut of its stratum; NULL for a row without a stratum."""
         place = F.struct(spread_hash(self.key, self.seed).alias("h"), F.col(self.key).cast("long").alias("k"))
-        condition = F
+        condition = F.when(F.col(self.stratum).isNull(), F.lit(None).cast("boolean"))
         for stratum, ends in self.ends.items():
             end = ends[cut]
             inside = F.lit(False)
@@ -59,9 +58,9 @@ class HashCuts:
         return condition.otherwise(F.lit(False))
 
     def group(self) -> Column:
-        """0 before the first cut, 1 between the first and the second, and so on."""
+        """0 before the first cut, 1 between the first and the second, and so on; NULL without a stratum."""
         cuts = len(next(iter(self.ends.values())))
-        group = F
+        group = F.when(F.col(self.stratum).isNull(), F.lit(None).cast("int"))
         for cut in range(cuts):
             group = group.when(self.before(cut), cut)
         return group.otherwise(cuts)
@@ -72,13 +71,9 @@ def fit_hash_cuts(
 ) -> HashCuts:
     """Locate every quota: one aggregate, then a ranking of the few cells in which quotas end.
 
-    The driver sees at most one count per histogram cell and one row per cut.
+    The driver sees at most one count per histogram cell and stratum, and one row per cut. Rows whose stratum is NULL
+    take no part: they are in no sample, and their split or fold is NULL.
     """
-    strata = df.select(stratum).filter(F.col(stratum).isNotNull()).distinct().limit(MAX_STRATA + 1).count()
-    if strata == 0:
-        raise ValueError("no rows to cut")
-    if strata > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata in {stratum}")
     counted = (
         df.filter(F.col(stratum).isNotNull())
         .groupBy(F.col(stratum).alias("stratum"), _cell(key, seed).alias("cell"))
@@ -89,6 +84,8 @@ def fit_hash_cuts(
     cells: dict[object, list[tuple[int, int]]] = {}
     for row in counted:
         cells.setdefault(row["stratum"], []).append((row["cell"], row["count"]))
+    if not cells:
+        raise ValueError("no rows to cut")
     sizes = {s: sum(n for _, n in rows) for s, rows in cells.items()}
     total = sum(sizes.values())
 
@@ -114,26 +111,22 @@ def fit_hash_cuts(
 def _ranked_rows(df: DataFrame, targets: set, key: str, stratum: str, seed: int) -> dict:
     if not targets:
         return {}
-    by_stratum: dict[object, set[int]] = {}
-    for s, (cell, _) in targets:
-        by_stratum.setdefault(s, set()).add(cell)
     marked = df.select(
         F.col(stratum).alias("stratum"),
         F.col(key).cast("long").alias("k"),
         spread_hash(key, seed).alias("h"),
         _cell(key, seed).alias("cell"),
     )
-    in_cells = F.lit(False)
-    for s, chosen in by_stratum.items():
-        in_cells = in_cells | ((F.col("stratum") == F.lit(s)) & F.col("cell").isin(sorted(chosen)))
+    # One row per cut.
+    spark = df.sparkSession
+    kind = df.select(F.col(stratum).alias("stratum")).schema["stratum"].dataType.simpleString()
+    wanted = spark.createDataFrame(
+        [(s, cell, rank) for s, (cell, rank) in targets], f"stratum {kind}, cell long, rank long"
+    )
+    in_cells = marked.join(F.broadcast(wanted.select("stratum", "cell").distinct()), ["stratum", "cell"], "left_semi")
     order = Window.partitionBy("stratum", "cell").orderBy("h", "k")
-    ranked = marked.filter(in_cells).withColumn("rank", F.row_number().over(order))
-    at_target = F.lit(False)
-    for s, (cell, rank) in targets:
-        at_target = at_target | (
-            (F.col("stratum") == F.lit(s)) & (F.col("cell") == cell) & (F.col("rank") == rank)
-        )
-    rows = ranked.filter(at_target).collect()
+    ranked = in_cells.withColumn("rank", F.row_number().over(order).cast("long"))
+    rows = ranked.join(F.broadcast(wanted), ["stratum", "cell", "rank"], "left_semi").collect()
     return {(r["stratum"], (r["cell"], r["rank"])): (r["h"], r["k"]) for r in rows}
 
 
@@ -204,16 +197,17 @@ def fit_split(df: DataFrame, key: str = ID, stratum: str = LABEL, seed: int = 0)
 
 def split_name(cuts: HashCuts) -> Column:
     names = [name for name, _ in SPLIT_SHARES] + [REMAINDER]
-    return F.element_at(F.array(*[F.lit(n) for n in names]), cuts.group() + 1)
+    group = cuts.group()
+    return F.when(group.isNotNull(), F.element_at(F.array(*[F.lit(n) for n in names]), group + 1))
 
 
 def assign_split(df: DataFrame, key: str = ID, stratum: str = LABEL, seed: int = 0) -> DataFrame:
-    """Add ``split``: stratified, disjoint and independent of row order."""
+    """Add ``split``: stratified, disjoint and independent of row order; NULL for unlabelled rows."""
     return df.withColumn("split", split_name(fit_split(df, key, stratum, seed)))
 
 
 def assign_fold(df: DataFrame, folds: int = 5, key: str = ID, stratum: str = LABEL, seed: int = 0) -> DataFrame:
-    """Add ``fold`` (from 1): within a stratum, fold sizes differ by at most one."""
+    """Add ``fold`` (from 1): within a stratum, fold sizes differ by at most one; NULL for unlabelled rows."""
     cuts = fit_hash_cuts(df, lambda n, _: [n * i // folds for i in range(1, folds)], key, stratum, seed)
     return df.withColumn("fold", cuts.group() + 1)
 
@@ -223,7 +217,7 @@ def assign_fold(df: DataFrame, folds: int = 5, key: str = ID, stratum: str = LAB
 
 def undersample_majority(df: DataFrame, key: str = ID, label: str = LABEL, seed: int = 0) -> DataFrame:
     """All rows of the smaller class and as many of the larger, drawn in hash order."""
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    counts = {r[0]: r[1] for r in df.filter(F.col(label).isNotNull()).groupBy(label).count().collect()}
     smallest = min(counts.values())
     cuts = fit_hash_cuts(df, lambda n, _: [smallest], key, label, seed)
     return df.filter(cuts.before(0))

@@ -9,8 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.functions import exact_mean, is_not_employed, percent, ratio, years
-from creditloom.functions.exact import RATIO_SCALE
+from creditloom.functions import FINE_PLACES, exact_mean, is_not_employed, percent, ratio, years
 from creditloom.operators.application import ID, LABEL
 from creditloom.operators.ordering import global_ntile
 
@@ -64,7 +63,7 @@ def risk_by_loan_burden(applications: DataFrame) -> DataFrame:
         tiled.groupBy("quintile")
         .agg(
             F.count(F.lit(1)).alias("applicants"),
-            exact_mean("burden", RATIO_SCALE).alias("avg_credit_income_ratio"),
+            exact_mean("burden", FINE_PLACES).alias("avg_credit_income_ratio"),
             F.avg(LABEL).alias("default_rate"),
         )
         .orderBy("quintile")

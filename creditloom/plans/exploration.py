@@ -34,12 +34,12 @@ def insight_rows(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def exploration_results(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+def exploration_results(tables: Mapping[str, DataFrame], shown_missing: int = SHOWN_MISSING) -> dict[str, DataFrame]:
     profiled = [t for t in PROFILED if t in tables]
     return {
         "table_summary": quality.table_summary(tables, DESCRIPTIONS),
         "feature_categories": quality.column_profile(tables["application_train"], "application_train"),
-        "missing_values": quality.missing_values(tables, profiled).limit(SHOWN_MISSING),
+        "missing_values": quality.missing_values(tables, profiled).limit(shown_missing),
         "data_quality_findings": quality.quality_report(tables["application_train"]),
         "insight_segments": insight_rows(tables),
         "insight_headlines": segments.insight_headlines(tables),

@@ -14,7 +14,16 @@ from creditloom.sources.ingest import build_portfolio, load_table, open_portfoli
 from creditloom.sources.intermediate import checkpoint_root
 from creditloom.sources.manifest import SourceTable
 
-_PORTFOLIO = ("application_train", "application_test", "bureau", "bureau_balance", "previous_application")
+_PORTFOLIO = (
+    "application_train",
+    "application_test",
+    "bureau",
+    "bureau_balance",
+    "previous_application",
+    "installments_payments",
+    "credit_card_balance",
+    "pos_cash_balance",
+)
 
 
 def _fresh_folder(t, label: str) -> str:
@@ -53,7 +62,9 @@ def _rowcount_audit(t) -> DataFrame:
         "bureau": "orders",
         "bureau_balance": "lineitem",
         "previous_application": "orders",
+        "installments_payments": "lineitem",
         "credit_card_balance": "events",
+        "pos_cash_balance": "lineitem",
     }
     stated = [
         t.raw(source)

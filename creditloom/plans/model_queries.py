@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from creditloom.operators.neighbours import synthetic_rows
 from creditloom.plans import modelling
 from creditloom.plans.evaluation_queries import scored
 from creditloom.plans.registry import query
-from creditloom.sources.intermediate import materialise
+from creditloom.sources.intermediate import checkpoint_root, materialise
 
 APP = "application_train"
 CATEGORICAL = ["NAME_CONTRACT_TYPE", "CODE_GENDER", "NAME_EDUCATION_TYPE", "OCCUPATION_TYPE"]
@@ -29,16 +31,20 @@ NUMERIC = [
     "APARTMENTS_AVG",
 ]
 
-# Small enough for a test machine; a full run uses the defaults.
-SETTINGS = modelling.BoostingSettings(rounds=10, learning_rate=0.1, max_depth=4, min_rows_per_leaf=20)
-STUDY_SETTINGS = modelling.BoostingSettings(rounds=4, learning_rate=0.3, max_depth=3, min_rows_per_leaf=20)
-BASELINE_ITERATIONS = 20
+# Larger steps and less patience than a full run has; the number of rounds is open, training ends by patience.
+SETTINGS = modelling.BoostingSettings(learning_rate=0.1, max_depth=4, min_rows_per_leaf=20, patience=10)
+STUDY_SETTINGS = modelling.BoostingSettings(learning_rate=0.3, max_depth=3, min_rows_per_leaf=20, patience=3)
 
 
 # Stored tables and trained models by application, data folder and source.
 _kept: dict[tuple[str, ...], object] = {}
 
 
+def forget() -> None:
+    """Drop what earlier queries of this process have stored or trained."""
+    _kept.clear()
+
+
 def _once(t, what: str, build):
     key = (t.spark.conf.get("spark.app.id"), t.location, what)
     if key not in _kept:
@@ -116,7 +122,7 @@ def _smote_oversample(t) -> DataFrame:
 
 @query("baseline_logistic")
 def _baseline_logistic(t) -> DataFrame:
-    scores = modelling.baseline_scores(stored_matrix(t), BASELINE_ITERATIONS)
+    scores = modelling.baseline_scores(stored_matrix(t))
     return modelling.fold_scores(materialise(scores, "baseline-scores"), ["fold"])
 
 
@@ -150,6 +156,14 @@ def _model_scored_portfolio(t) -> DataFrame:
     return apply_bands(model.score(stored_matrix(t, "application_test")), risk_bands(model.test_scores))
 
 
+@query("reloaded_model_scores")
+def _reloaded_model_scores(t) -> DataFrame:
+    """Unlabelled applicants scored by the trained model after it was saved and loaded again."""
+    folder = f"{checkpoint_root(t.spark)}/model-{uuid.uuid4().hex}"
+    trained(t).save(folder)
+    return modelling.load_model(t.spark, folder).score(stored_matrix(t, "application_test"))
+
+
 # --- attribution -------------------------------------------------------------------------------------------
 
 LINEAR_FEATURES = [
@@ -258,7 +272,7 @@ def _surrogate(t):
     matrix = stored_matrix(t)
     inputs = model.inputs.transform(matrix).withColumn("id", F.col(ID))
     rows = inputs.join(model.score(matrix).select("id", "y", "p"), "id")
-    tree = rules.fit_surrogate(rows, "p", min_rows=100)
+    tree = rules.fit_surrogate(rows, "p", min_rows=500)
     conditions = rules.leaf_conditions(
         t.spark, tree, modelling.input_names(model.inputs), modelling.category_labels(model.inputs)
     )

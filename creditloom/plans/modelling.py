@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -20,7 +21,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.functions import exact_mean
+from creditloom.functions import FINE_PLACES, exact_mean
 from creditloom.operators import preparation, sampling
 from creditloom.operators.application import ID, LABEL, derived_columns
 from creditloom.operators.evaluation import cost_threshold, ranking_metrics
@@ -43,6 +44,8 @@ class BoostingSettings:
     feature_share: float = 0.8
     max_bins: int = 64
     seed: int = 42
+    #: rounds without a better loss on the early-stop rows after which training ends
+    patience: int = 100
 
 
 # --- preparation as pipeline stages ------------------------------------------------------------------------
@@ -131,16 +134,20 @@ def fit_boosted_trees(
     settings: BoostingSettings,
     weight: float | None = None,
 ) -> GBTClassificationModel:
-    """Boosted trees on ``y, features``; rounds stop once the early-stop rows no longer improve."""
+    """Boosted trees on ``y, features``, as many rounds as the early-stop rows' loss calls for.
+
+    Training goes on in growing stretches (a longer fit repeats the rounds of a shorter one, for the seed is fixed)
+    until the best round lies ``patience`` rounds back; the best prefix is what is returned. Without early-stop rows
+    all rounds are kept.
+    """
     spark = train.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(checkpoint_root(spark))
-    rows = train.select("y", "features").withColumn("is_early_stop", F.lit(False))
+    rows = train.select("y", "features")
     estimator = GBTClassifier(
         labelCol="y",
         featuresCol="features",
-        maxIter=settings.rounds,
         stepSize=settings.learning_rate,
         maxDepth=settings.max_depth,
         minInstancesPerNode=settings.min_rows_per_leaf,
@@ -151,14 +158,23 @@ def fit_boosted_trees(
         checkpointInterval=10,
         seed=settings.seed,
     )
-    if early_stop is not None:
-        judged = early_stop.select("y", "features").withColumn("is_early_stop", F.lit(True))
-        rows = rows.unionByName(judged)
-        estimator.setValidationIndicatorCol("is_early_stop")
+    judged = early_stop.select("y", "features") if early_stop is not None else None
     if weight is not None:
-        rows = rows.withColumn("w", F.when(F.col("y") == 1, float(weight)).otherwise(1.0))
+        weighed = F.when(F.col("y") == 1, float(weight)).otherwise(1.0)
+        rows = rows.withColumn("w", weighed)
+        judged = judged.withColumn("w", weighed) if judged is not None else None
         estimator.setWeightCol("w")
-    return estimator.fit(rows)
+    if judged is None:
+        return estimator.setMaxIter(settings.rounds).fit(rows)
+    tried = min(2 * settings.patience, settings.rounds)
+    while True:
+        model = estimator.setMaxIter(tried).fit(rows)
+        losses = model.evaluateEachIteration(judged)
+        best = min(range(len(losses)), key=losses.__getitem__) + 1
+        if tried == settings.rounds or best + settings.patience <= tried:
+            break
+        tried = min(2 * tried, settings.rounds)
+    return model if best == tried else estimator.setMaxIter(best).fit(rows)
 
 
 def probabilities(model, rows: DataFrame) -> DataFrame:
@@ -317,7 +333,7 @@ def resampled(train: DataFrame, strategy: str) -> DataFrame:
 def fold_scores(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     """ROC-AUC, average precision and Brier score per group."""
     gap = F.col("p") - F.col("y")
-    brier = scores.groupBy(*by).agg(exact_mean(gap * gap, 1e12).alias("brier"))
+    brier = scores.groupBy(*by).agg(exact_mean(gap * gap, FINE_PLACES).alias("brier"))
     return ranking_metrics(scores, by=by).drop("ks_statistic").join(brier, list(by))
 
 
@@ -365,9 +381,28 @@ class TrainedModel:
         return self.score(aligned.withColumns(derived))
 
     def save(self, folder: str) -> None:
+        """Everything a new session needs: stages, feature columns, test scores (bands come from them) and the summary."""
         self.inputs.write().overwrite().save(f"{folder}/inputs")
         self.booster.write().overwrite().save(f"{folder}/booster")
         self.calibrator.write().overwrite().save(f"{folder}/calibrator")
+        for name in ("features", "test_scores", "summary"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def load_model(spark: SparkSession, folder: str) -> TrainedModel:
+    """A model that ``save`` has written; FileNotFoundError where there is none."""
+    try:
+        tables = [spark.read.parquet(f"{folder}/{name}") for name in ("features", "test_scores", "summary")]
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(f"no trained model in {folder}") from error
+        raise
+    return TrainedModel(
+        PipelineModel.load(f"{folder}/inputs"),
+        GBTClassificationModel.load(f"{folder}/booster"),
+        IsotonicRegressionModel.load(f"{folder}/calibrator"),
+        *tables,
+    )
 
 
 def train(
@@ -396,8 +431,8 @@ def train(
     ranking = ranking_metrics(test).drop("ks_statistic")
     raw_gap, gap = F.col("p_raw") - F.col("y"), F.col("p") - F.col("y")
     brier = test.agg(
-        exact_mean(raw_gap * raw_gap, 1e12).alias("test_brier_raw"),
-        exact_mean(gap * gap, 1e12).alias("test_brier_calibrated"),
+        exact_mean(raw_gap * raw_gap, FINE_PLACES).alias("test_brier_raw"),
+        exact_mean(gap * gap, FINE_PLACES).alias("test_brier_calibrated"),
     )
     operating = cost_threshold(test).select(F.col("threshold").alias("operating_threshold"))
     extras = {"n_features": float(len(numeric) + len(categorical)), "boosting_rounds": float(booster.getNumTrees)}

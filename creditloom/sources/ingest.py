@@ -82,7 +82,7 @@ def build_portfolio(
 ) -> dict[str, DataFrame]:
     """Load, audit and publish. With ``sample_size`` a reduced portfolio is built and counts are not audited."""
     build = uuid.uuid4().hex
-    sources = {t.name: scan_csv(spark, f"{raw_dir}/{t.filename}", t.encoding) for t in manifest}
+    sources = {t.name: scan_csv(spark, f"{raw_dir}/{t.filename}", t.encoding, multi_line=t.multi_line) for t in manifest}
     if sample_size is not None:
         sources = reduced_portfolio(sources, sample_size)
     loaded = {

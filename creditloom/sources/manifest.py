@@ -14,6 +14,8 @@ class SourceTable:
     description: str
     #: None lets the file decide, at the price of one more pass over it.
     encoding: str | None = None
+    #: Whether quoted fields hold line breaks.
+    multi_line: bool = False
 
 
 # File names and published row counts.
@@ -30,6 +32,9 @@ MANIFEST: tuple[SourceTable, ...] = (
     ),
     SourceTable("credit_card_balance", "credit_card_balance.csv", 3_840_312, "Monthly card statements"),
     SourceTable("pos_cash_balance", "POS_CASH_balance.csv", 10_001_358, "Monthly cash and point-of-sale loans"),
+    SourceTable(
+        "column_descriptions", "HomeCredit_columns_description.csv", None, "Glossary of all columns", multi_line=True
+    ),
 )
 
 DESCRIPTIONS: dict[str, str] = {t.name: t.description for t in MANIFEST}

@@ -96,10 +96,10 @@ _FPR = "(CAST(cn - cpos AS DOUBLE) / CAST(nt - pt AS DOUBLE))"
 
 _AUC = f"""SELECT CAST(sum(pos * (2 * ((nt - pt) - (cn - cpos)) + (n - pos))) AS DOUBLE)
   / (CAST(max(pt) AS DOUBLE) * CAST(max(nt - pt) AS DOUBLE) * 2) AS roc_auc FROM {_LADDER}"""
-_AP = f"""SELECT CAST(sum(CAST(floor(CAST(pos AS DOUBLE) / CAST(pt AS DOUBLE) * (CAST(cpos AS DOUBLE) / CAST(cn AS DOUBLE))
-  * 1e15 + 0.5e0) AS BIGINT)) AS DOUBLE) / 1e15 AS average_precision FROM {_LADDER}"""
+_AP = f"""SELECT round(sum(CAST(pos AS DOUBLE) / CAST(pt AS DOUBLE) * (CAST(cpos AS DOUBLE) / CAST(cn AS DOUBLE))), 9)
+  AS average_precision FROM {_LADDER}"""
 _KS = f"SELECT max(abs({_TPR} - {_FPR})) AS ks_statistic FROM {_LADDER}"
-_BRIER = f"SELECT {mean('((p - y) * (p - y))', '1e12')} AS brier_score FROM {{scored}}"
+_BRIER = f"SELECT {mean('((p - y) * (p - y))', 9)} AS brier_score FROM {{scored}}"
 _BASE = "SELECT avg(y) AS base_rate FROM {scored}"
 _CURVE = f"""SELECT CAST(point AS BIGINT) AS point, fpr, tpr FROM (
   SELECT point, fpr, tpr, max(point) OVER () AS last FROM (
@@ -119,7 +119,7 @@ _GAINS = f"SELECT decile, cumulative_defaults, cumulative_capture FROM ({_LIFT})
 _EDGES = ", ".join(f"quantile_cont(p, {i / 10}) AS e{i}" for i in range(1, 10))
 _ABOVE = " + ".join(f"CAST(e{i} < p AS INTEGER)" for i in range(1, 10))
 _CALIBRATION = f"""SELECT CAST(1 + {_ABOVE} AS INTEGER) AS bin, count(*) AS applicants,
-  {mean('p', '1e12')} AS mean_predicted, avg(y) AS fraction_positive
+  {mean('p', 9)} AS mean_predicted, avg(y) AS fraction_positive
   FROM {{scored}}, (SELECT {_EDGES} FROM {{scored}}) GROUP BY 1"""
 
 

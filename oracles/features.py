@@ -5,17 +5,12 @@ from __future__ import annotations
 from oracles.bindings import with_tables
 
 
-def units(value: str, scale: str = "1e4") -> str:
-    """Sum of whole units of 1/scale, as a double."""
-    return f"CAST(sum(CAST(floor({value} * {scale} + 0.5e0) AS BIGINT)) AS DOUBLE)"
+def total(value: str, places: int = 6) -> str:
+    return f"round(sum({value}), {places})"
 
 
-def total(value: str, scale: str = "1e4") -> str:
-    return f"({units(value, scale)} / {scale})"
-
-
-def mean(value: str, scale: str = "1e4") -> str:
-    return f"({total(value, scale)} / CASE WHEN count({value}) > 0 THEN count({value}) END)"
+def mean(value: str, places: int = 7) -> str:
+    return f"round(avg({value}), {places})"
 
 
 def over(top: str, bottom: str) -> str:
@@ -67,7 +62,7 @@ SUMMARIES = {
       count(DISTINCT CREDIT_TYPE) AS BUR_CREDIT_TYPES,
       {total("AMT_CREDIT_SUM")} AS BUR_CREDIT_SUM_TOTAL, {mean("AMT_CREDIT_SUM")} AS BUR_CREDIT_SUM_MEAN,
       max(AMT_CREDIT_SUM) AS BUR_CREDIT_SUM_MAX, {total("AMT_CREDIT_SUM_DEBT")} AS BUR_DEBT_TOTAL,
-      {over(units("AMT_CREDIT_SUM_DEBT"), units("AMT_CREDIT_SUM"))} AS BUR_DEBT_CREDIT_RATIO,
+      {over(total("AMT_CREDIT_SUM_DEBT"), total("AMT_CREDIT_SUM"))} AS BUR_DEBT_CREDIT_RATIO,
       {total("AMT_CREDIT_SUM_OVERDUE")} AS BUR_OVERDUE_TOTAL,
       max(AMT_CREDIT_MAX_OVERDUE) AS BUR_MAX_OVERDUE_EVER, max(CREDIT_DAY_OVERDUE) AS BUR_DAYS_OVERDUE_MAX,
       {tally("CREDIT_DAY_OVERDUE > 0")} AS BUR_OVERDUE_COUNT,
@@ -88,7 +83,7 @@ SUMMARIES = {
       {share("NAME_CONTRACT_STATUS = 'Refused'")} AS PREV_REFUSAL_RATE,
       {share("NAME_CONTRACT_STATUS = 'Canceled'")} AS PREV_CANCEL_RATE,
       {mean("AMT_APPLICATION")} AS PREV_APPLICATION_MEAN, {mean("AMT_CREDIT")} AS PREV_CREDIT_MEAN,
-      {mean(over("AMT_CREDIT", "AMT_APPLICATION"), "1e9")} AS PREV_GRANTED_RATIO,
+      {mean(over("AMT_CREDIT", "AMT_APPLICATION"), 9)} AS PREV_GRANTED_RATIO,
       {mean("AMT_DOWN_PAYMENT")} AS PREV_DOWNPAYMENT_MEAN, avg(CNT_PAYMENT) AS PREV_TERM_MEAN,
       max(DAYS_DECISION) AS PREV_LAST_DECISION, min(DAYS_DECISION) AS PREV_FIRST_DECISION,
       count(DISTINCT CASE WHEN CODE_REJECT_REASON NOT IN ('XAP', 'XNA') THEN CODE_REJECT_REASON END)
@@ -99,12 +94,12 @@ SUMMARIES = {
       {share(_LATE + " > 0")} AS INST_LATE_RATIO, {share(_LATE + " > 30")} AS INST_LATE_30D_RATIO,
       {mean(_SHORT)} AS INST_SHORTFALL_MEAN, {total(_SHORT)} AS INST_SHORTFALL_TOTAL,
       max({_SHORT}) AS INST_SHORTFALL_MAX, {share("AMT_PAYMENT < AMT_INSTALMENT")} AS INST_UNDERPAID_RATIO,
-      {over(units("AMT_PAYMENT"), units("AMT_INSTALMENT"))} AS INST_PAYMENT_RATIO,
+      {over(total("AMT_PAYMENT"), total("AMT_INSTALMENT"))} AS INST_PAYMENT_RATIO,
       max(DAYS_INSTALMENT) AS INST_LAST_DUE
     FROM installments_payments GROUP BY SK_ID_CURR""",
     "agg_credit_card": f"""SELECT SK_ID_CURR, count(*) AS CC_MONTHS, count(DISTINCT SK_ID_PREV) AS CC_CARDS,
       {mean("AMT_BALANCE")} AS CC_BALANCE_MEAN, max(AMT_BALANCE) AS CC_BALANCE_MAX,
-      {mean(_USE, "1e9")} AS CC_UTILISATION_MEAN, max({_USE}) AS CC_UTILISATION_MAX,
+      {mean(_USE, 9)} AS CC_UTILISATION_MEAN, max({_USE}) AS CC_UTILISATION_MAX,
       {mean("AMT_DRAWINGS_CURRENT")} AS CC_DRAWINGS_MEAN, avg(CNT_DRAWINGS_CURRENT) AS CC_DRAWINGS_COUNT_MEAN,
       max(SK_DPD) AS CC_DPD_MAX, {share("SK_DPD > 0")} AS CC_DPD_RATIO
     FROM credit_card_balance GROUP BY SK_ID_CURR""",

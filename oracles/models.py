@@ -99,16 +99,27 @@ _RULES = f"""SELECT leaf, CASE leaf WHEN 0 THEN 'Ext source mean <= 0.4 AND Cred
       WHEN 1 THEN 'Ext source mean <= 0.4' WHEN 2 THEN 'Ext source mean > 0.4 AND Age years <= 40' ELSE '' END AS conditions,
     count(*) AS n_applicants, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM ruled) AS population_share,
     avg(y) AS observed_default_rate, avg(y) / (SELECT avg(y) FROM ruled) AS lift_over_base_rate,
-    {mean("p", "1e12")} AS mean_predicted_score FROM ruled GROUP BY leaf"""
-
-_CSV = ("application_train", "application_test", "bureau", "bureau_balance", "previous_application")
+    {mean("p", 9)} AS mean_predicted_score FROM ruled GROUP BY leaf"""
+
+_CSV = (
+    "application_train",
+    "application_test",
+    "bureau",
+    "bureau_balance",
+    "previous_application",
+    "installments_payments",
+    "credit_card_balance",
+    "pos_cash_balance",
+)
 _LOADED_FROM = {
     "application_train": "customer",
     "application_test": "customer",
     "bureau": "orders",
     "bureau_balance": "lineitem",
     "previous_application": "orders",
+    "installments_payments": "lineitem",
     "credit_card_balance": "events",
+    "pos_cash_balance": "lineitem",
 }
 
 STATEMENTS: dict[str, str] = {
@@ -195,8 +206,8 @@ STATEMENTS: dict[str, str] = {
     ),
     "rule_fidelity": with_tables(
         f"""SELECT 'r2_vs_score' AS metric,
-          1e0 - {mean("((p - s) * (p - s))", "1e12")} / {mean("((p - m) * (p - m))", "1e12")} AS value
-        FROM crude, (SELECT {mean("p", "1e12")} AS m FROM crude)
+          1e0 - {mean("((p - s) * (p - s))", 9)} / {mean("((p - m) * (p - m))", 9)} AS value
+        FROM crude, (SELECT {mean("p", 9)} AS m FROM crude)
         UNION ALL SELECT 'surrogate_roc_auc', roc_auc FROM ({_AUC.replace("{scored}", "(SELECT y, s AS p FROM crude)")})
         UNION ALL SELECT 'model_roc_auc', roc_auc FROM ({_AUC.replace("{scored}", "crude")})""",
         APP,

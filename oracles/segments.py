@@ -26,7 +26,7 @@ _BURDEN = over("AMT_CREDIT", "AMT_INCOME_TOTAL")
 _QUINTILES = f"""SELECT SK_ID_CURR, TARGET, {_BURDEN} AS burden,
   ntile(5) OVER (ORDER BY {_BURDEN} ASC NULLS LAST, SK_ID_CURR) AS quintile FROM {APP} WHERE AMT_INCOME_TOTAL > 0"""
 _BY_QUINTILE = f"""SELECT CAST(quintile AS BIGINT) AS quintile, count(*) AS applicants,
-  {mean("burden", "1e9")} AS avg_credit_income_ratio, avg(TARGET) AS default_rate FROM quintiles GROUP BY 1"""
+  {mean("burden", 9)} AS avg_credit_income_ratio, avg(TARGET) AS default_rate FROM quintiles GROUP BY 1"""
 
 _OVERDUE = f"""{APP} JOIN (SELECT SK_ID_CURR, sum(AMT_CREDIT_SUM_OVERDUE) AS owed FROM bureau GROUP BY 1)
   USING (SK_ID_CURR)"""
@@ -300,7 +300,7 @@ STATEMENTS: dict[str, str] = {
         "credit_card_balance",
     ),
     "lateness_by_outcome": with_tables(
-        f"""SELECT TARGET, count(*) AS clients, {mean("late", "1e9")} AS avg_days_late
+        f"""SELECT TARGET, count(*) AS clients, {mean("late", 9)} AS avg_days_late
         FROM {APP} JOIN ({_PER_CLIENT_LATE}) USING (SK_ID_CURR) GROUP BY 1""",
         APP,
         "installments_payments",

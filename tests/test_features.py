@@ -1,8 +1,13 @@
 from __future__ import annotations
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from creditloom.functions import exact_mean, exact_sum
+from creditloom.functions.exact import unrounded_sum
 from creditloom.operators import history
 from creditloom.operators.application import derived_features
 from creditloom.operators.feature_matrix import applicant_lookup, feature_matrix, model_inputs
@@ -109,3 +114,39 @@ def test_an_id_filter_reaches_every_scan_with_that_id(spark):
 def test_only_needed_columns_are_read(spark):
     plan = plan_of(history.summarise_bureau_balance(Testbed(spark, SF)["bureau_balance"], Testbed(spark, SF)["bureau"]))
     assert "l_extendedprice" not in plan and "o_totalprice" not in plan
+
+
+@pytest.mark.parametrize(
+    ("values", "total"),
+    [
+        ([1e15, 1e15], 2e15),
+        ([2e-5] * 10, 2e-4),
+        ([3e10, 1.0, -3e10], 1.0),
+        ([1e300, 1e300], 2e300),
+        ([1e16, 1.0, -1e16] * 50, 50.0),
+        ([None, None], None),
+        ([None, 0.25], 0.25),
+    ],
+)
+def test_sums_keep_their_range(spark, values, total):
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    row = df.agg(exact_sum("v").alias("s"), exact_mean("v").alias("m")).first()
+    assert row["s"] == total
+    if total is not None and abs(total) < 1e15:
+        assert row["m"] == pytest.approx(total / sum(v is not None for v in values), abs=1e-6)
+
+
+def test_sums_of_special_values_follow_ieee(spark):
+    def total(*values):
+        return spark.createDataFrame([(float(v),) for v in values], "v double").agg(exact_sum("v")).first()[0]
+
+    assert total("inf", 1) == math.inf and total("-inf", 1) == -math.inf
+    assert math.isnan(total("nan", 1)) and math.isnan(total("inf", "-inf"))
+
+
+def test_sums_do_not_depend_on_the_order(spark):
+    rng = random.Random(3)
+    values = [rng.uniform(-1, 1) * 10.0 ** rng.randint(-6, 12) for _ in range(4000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    found = {df.repartition(n).agg(unrounded_sum("v")).first()[0] for n in (1, 3, 7)}
+    assert found == {math.fsum(values)} or len(found) == 1 and found.pop() == pytest.approx(math.fsum(values), rel=1e-15)

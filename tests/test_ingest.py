@@ -90,3 +90,28 @@ def test_intermediates_go_to_the_sessions_folder(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     assert checkpoint_root(spark) == folder
     assert materialise(spark.range(5), "t").inputFiles()[0].startswith(f"file://{folder}/t-")
+
+
+def test_valid_utf8_with_a_replacement_character_stays_utf8(spark, tmp_path):
+    path = write(tmp_path / "a.csv", "id,text\n1,café �\n")
+    assert detect_encoding(spark, path) == "UTF-8"
+    assert scan_csv(spark, path).first()["text"] == "café �"
+
+
+def test_quoted_line_breaks_and_quotes(spark, tmp_path):
+    path = write(tmp_path / "a.csv", 'id,text\n1,"two\nlines"\n2,"a ""quoted"" word"\n')
+    rows = scan_csv(spark, path, multi_line=True).collect()
+    assert [tuple(r) for r in rows] == [(1, "two\nlines"), (2, 'a "quoted" word')]
+
+
+def test_yes_and_no_are_booleans(spark, tmp_path):
+    path = write(tmp_path / "a.csv", "id,flag,other\n1,Yes,Yes\n2,,Maybe\n3,No,No\n")
+    df = scan_csv(spark, path)
+    assert dict(df.dtypes) == {"id": "bigint", "flag": "boolean", "other": "string"}
+    assert [r["flag"] for r in df.orderBy("id").collect()] == [True, None, False]
+
+
+def test_the_glossary_is_a_source():
+    from creditloom.sources.manifest import MANIFEST
+
+    assert [t.expected_rows for t in MANIFEST if t.name == "column_descriptions"] == [None]

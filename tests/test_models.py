@@ -1,7 +1,11 @@
 from __future__ import annotations
 
+import dataclasses
+
 import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -239,3 +243,36 @@ def test_raw_applications_get_their_ratios(spark):
     raw = spark.createDataFrame([(1, 5000.0, 1000.0), (2, 95000.0, 1000.0)], "SK_ID_CURR long, AMT_CREDIT double, AMT_INCOME_TOTAL double")
     got = {r["id"]: r["p"] for r in model.score_applications(raw).collect()}
     assert got[2] > 0.5 > got[1]
+
+
+def test_boosting_goes_on_while_early_stop_rows_improve(spark):
+    i = F.col("id")
+    noise = lambda a: (F.pmod(F.xxhash64("id", F.lit(a)), F.lit(1000)) / 1000.0)
+    x = [noise(k) for k in range(4)]
+    logit = 3 * F.sin(x[0] * 9) + 3 * F.sin(x[1] * 7) * x[2]
+    df = spark.range(4000).select((i).alias("id"), (logit + noise(9) * 2 > 1.5).cast("int").alias("y"), *[c.alias(f"x{k}") for k, c in enumerate(x)])
+    df = VectorAssembler(inputCols=["x0", "x1", "x2", "x3"], outputCol="features").transform(df).cache()
+    settings = modelling.BoostingSettings(rounds=200, learning_rate=0.1, max_depth=3, min_rows_per_leaf=10, patience=20)
+    fit, stop, judge = df.filter("id % 4 < 2"), df.filter("id % 4 = 2"), df.filter("id % 4 = 3")
+    model = modelling.fit_boosted_trees(fit, stop, settings)
+    assert 50 < model.getNumTrees <= 200
+    losses = modelling.fit_boosted_trees(fit, None, dataclasses.replace(settings, rounds=model.getNumTrees)).evaluateEachIteration(stop)
+    assert min(losses) == losses[-1]
+    linear = LogisticRegression(labelCol="y").fit(fit)
+    auc = [roc_auc(modelling.probabilities(m, judge)).first()[0] for m in (model, linear)]
+    assert auc[0] > auc[1] + 0.05
+
+
+def test_a_saved_model_scores_as_the_fitted_one(spark, tmp_path):
+    columns = "SK_ID_CURR long, TARGET int, AMT_CREDIT double, AMT_INCOME_TOTAL double, KIND string"
+    data = [(i, int(i % 100 >= 80), 1000.0 * (1 + i % 100), 1000.0, "ab"[i % 2]) for i in range(600)]
+    df = spark.createDataFrame(data, columns)
+    model = modelling.train(df, SMALL)
+    folder = str(tmp_path / "model")
+    with pytest.raises(FileNotFoundError):
+        modelling.load_model(spark, folder)
+    model.save(folder)
+    again = modelling.load_model(spark, folder)
+    assert sorted(map(tuple, again.score(df).collect())) == sorted(map(tuple, model.score(df).collect()))
+    assert sorted(map(tuple, again.summary.collect())) == sorted(map(tuple, model.summary.collect()))
+    assert again.test_scores.count() == model.test_scores.count()

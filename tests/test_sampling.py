@@ -77,10 +77,6 @@ def test_undersampling_and_weights(clients):
     assert weight == pytest.approx((5000 - 417) / 417)
 
 
-def test_too_many_strata_are_refused(clients):
-    with pytest.raises(ValueError):
-        sampling.fit_hash_cuts(clients.withColumn("s", F.col("SK_ID_CURR") % 100), lambda n, _: [1], stratum="s")
-
 
 def test_hash_is_even(spark):
     shares = spark.range(100_000).groupBy((spread_hash("id") % 10).alias("b")).count().collect()
@@ -95,3 +91,19 @@ def test_cascade_keeps_referential_integrity(spark):
     assert ids(kept["bureau"]) <= wanted
     credits = {r["SK_ID_BUREAU"] for r in kept["bureau"].collect()}
     assert {r["SK_ID_BUREAU"] for r in kept["bureau_balance"].collect()} <= credits
+
+
+def test_many_strata_and_rows_without_a_label(spark):
+    i = F.col("id")
+    stratum = F.when(i % 10 > 0, i % 300).cast("long")
+    df = spark.range(20_000).select(i.alias("SK_ID_CURR"), stratum.alias("TARGET"))
+    folded = sampling.assign_fold(df, 5).collect()
+    assert {r["fold"] for r in folded if r["TARGET"] is None} == {None}
+    sizes = Counter((r["TARGET"], r["fold"]) for r in folded if r["TARGET"] is not None)
+    for s in {s for s, _ in sizes}:
+        own = [sizes[s, f] for f in range(1, 6)]
+        assert max(own) - min(own) <= 1
+    split = sampling.assign_split(df)
+    assert split.filter("TARGET IS NULL AND split IS NOT NULL").count() == 0
+    assert split.filter("TARGET IS NOT NULL AND split IS NULL").count() == 0
+    assert sampling.stratified_sample(df, 2000).filter("TARGET IS NULL").count() == 0
