@@ -8,7 +8,7 @@ anchor. Neighbouring strings of a document share their anchor; such a run is wha
    has too is removed as a whole. Runs whose anchor earlier or later documents have in other surroundings stay open: these
    are the ends of what documents share. Nothing more is done with all others.
 2. Suffixes: the bytes of the open runs are fetched. Every string is a suffix of its run, cut at ``length``. The suffixes
-   of one anchor are put in order by a merge sort that compares two of them in logarithmic time: polynomial prefix hashes
+   of one anchor that begin and end with the same 8 bytes are put in order by a merge sort that compares two of them in logarithmic time: polynomial prefix hashes
    and a binary search find their common extension. Neighbours that agree in ``length`` bytes form a class, which is
    verified byte by byte; a string is removed if its class has one in an earlier document.
 3. The removed stretches are joined to the documents and cut out.
@@ -28,14 +28,19 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from creditloom.llm.text import PrefixHash, pieces, text_bytes
+from creditloom.llm.text import PrefixHash, mix, pieces, text_bytes
 from creditloom.sources.intermediate import materialise
 
 GRAM = 16
 # A bucket of anchors holds those of about so many bytes of text.
 BUCKET_BYTES = 12 << 20
+# What stands for bytes that are no character.
+_BROKEN = "\ufffd"
 _PLACE_BITS = np.uint64(32)
+# Strings that are sorted at a time, unless one anchor has more.
+LOT = 100_000
 _KEY_BYTES, _RUN_BYTES, _START_BYTES = 5, 6, 4
 
 
@@ -86,7 +91,7 @@ def _anchors(texts: DataFrame, length: int, buckets: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, most_bytes=1 << 20):
                 data, offsets = text_bytes(part.column("text"))
                 row, begin, end, key, run = runs_of(data, offsets, length)
                 doc = part.column("doc_id").to_numpy()[row]
@@ -173,8 +178,9 @@ class Suffixes:
 
     def common(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
         """The common extension of pairs of suffixes, at most ``length``, by binary search."""
-        low = np.zeros(len(one), np.int64)
-        high = np.full(len(one), self.length, np.int64)
+        whole = self.hashes.ranges(one, one + self.length) == self.hashes.ranges(other, other + self.length)
+        low = np.where(whole, self.length, 0)
+        high = np.where(whole, self.length, self.length - 1)
         while True:
             active = np.flatnonzero(low < high)
             if not len(active):
@@ -237,7 +243,7 @@ class Suffixes:
         out[order] = np.cumsum(~equal)
         checked = np.flatnonzero(equal)
         wrong: set[int] = set()
-        for some in np.array_split(checked, len(checked) // 200_000 + 1):
+        for some in np.array_split(checked, len(checked) // 20_000 + 1):
             span = np.arange(self.length)
             one, other = suffixes[order[some - 1]], suffixes[order[some]]
             differ = (self.data[one[:, None] + span] != self.data[other[:, None] + span]).any(axis=1)
@@ -258,24 +264,36 @@ def _strings_removed(rows: pa.Table, length: int) -> pa.RecordBatch | None:
     n_strings = np.diff(offsets) - length + 1
     run = np.repeat(np.arange(len(n_strings)), n_strings)
     inside = np.arange(n_strings.sum()) - np.repeat(np.cumsum(n_strings) - n_strings, n_strings)
-    # Equal strings have their anchor at the same place; so only those need to be compared.
-    ahead = rows.column("anchor").to_numpy()[run] - inside
-    key = rows.column("key").to_numpy()[run]
     doc = rows.column("doc_id").to_numpy()[run]
-    order = np.lexsort((ahead, key))
-    new = np.ones(len(order), bool)
-    new[1:] = (key[order[1:]] != key[order[:-1]]) | (ahead[order[1:]] != ahead[order[:-1]])
-    group = np.cumsum(new)
+    # Equal strings begin and end alike: only strings of one anchor with the same 8 bytes at both ends are sorted.
+    eights = np.zeros(len(data) - 7, np.uint64)
+    for i in range(8):
+        eights |= data[i : len(data) - 7 + i].astype(np.uint64) << np.uint64(8 * i)
+    begin = offsets[run] + inside
+    alike = mix(rows.column("key").to_numpy().view(np.uint64))[run]
+    alike = mix(mix(alike + eights[begin]) + eights[begin + length - 8])
+    order = np.argsort(alike, kind="stable")
+    alike = alike[order]
+    group = np.cumsum(np.append(True, alike[1:] != alike[:-1]))
     several = np.bincount(group)[group] > 1
     order, group = order[several], group[several]
     if not len(order):
         return None
-    number = Suffixes(data, length).classes(offsets[run[order]] + inside[order], group)
-    by_class = np.lexsort((doc[order], number))
-    order, number = order[by_class], number[by_class]
-    new = np.append(True, number[1:] != number[:-1])
-    first = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    gone = np.sort(order[doc[order] > first])
+    suffixes = Suffixes(data, length)
+    where = begin[order]
+    gone = []
+    at = 0
+    while at < len(order):  # whole groups, about LOT strings at a time
+        end = int(np.searchsorted(group, group[min(at + LOT, len(order)) - 1], side="right"))
+        lot = order[at:end]
+        number = suffixes.classes(where[at:end], group[at:end])
+        by_class = np.lexsort((doc[lot], number))
+        lot, number = lot[by_class], number[by_class]
+        new = np.append(True, number[1:] != number[:-1])
+        first = doc[lot][np.flatnonzero(new)][np.cumsum(new) - 1]
+        gone.append(lot[doc[lot] > first])
+        at = end
+    gone = np.sort(np.concatenate(gone))
     if not len(gone):
         return None
     joined = np.ones(len(gone), bool)
@@ -288,7 +306,7 @@ def _strings_removed(rows: pa.Table, length: int) -> pa.RecordBatch | None:
 
 
 def _open_runs(texts: DataFrame, judged: DataFrame, length: int) -> DataFrame:
-    """key, doc_id, start, bytes of every open run, and where in it the anchor stands."""
+    """key, doc_id, start and bytes of every open run."""
     wanted = judged.filter("key is not null").groupBy("doc_id").agg(
         F.collect_list(F.struct("key", "start", "size")).alias("runs")
     )
@@ -296,33 +314,20 @@ def _open_runs(texts: DataFrame, judged: DataFrame, length: int) -> DataFrame:
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for doc, packed, keys, starts, sizes in zip(*(c.to_pylist() for c in batch.columns)):
-                raw = unpack.decompress(packed)
-                data = np.frombuffer(raw, np.uint8)
-                begin = np.array(starts, np.int64)
-                anchors = _anchor_places(data, begin, length) - begin
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(keys, pa.int64()), pa.array([doc] * len(keys), pa.int64()), pa.array(starts, pa.int32()),
-                        pa.array([raw[s : s + n] for s, n in zip(starts, sizes)], pa.binary()), pa.array(anchors, pa.int32()),
-                    ],
-                    ["key", "doc_id", "start", "bytes", "anchor"],
-                )
-
-    schema = "key long, doc_id long, start int, bytes binary, anchor int"
+            for at in range(0, batch.num_rows, 256):
+                out: tuple[list, ...] = ([], [], [], [])
+                for doc, packed, keys, starts, sizes in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                    raw = unpack.decompress(packed)
+                    for column, values in zip(out, (keys, [doc] * len(keys), starts, [raw[s : s + n] for s, n in zip(starts, sizes)])):
+                        column.extend(values)
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["key", "doc_id", "start", "bytes"])
+
+    schema = "key long, doc_id long, start int, bytes binary"
     joined = texts.join(wanted, "doc_id").select("doc_id", "packed", "runs.key", "runs.start", "runs.size")
     return joined.mapInArrow(fetch, schema)
 
 
-def _anchor_places(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Where the anchor of the string at each start stands."""
-    span = starts[:, None] + np.arange(length - GRAM + 1)
-    hashes = PrefixHash(data)
-    grams = hashes.ranges(span.ravel(), span.ravel() + GRAM).reshape(span.shape)
-    grams = (grams >> _PLACE_BITS)[:, ::-1]
-    return starts + length - GRAM - np.argmin(grams, axis=1)
-
-
 def _resolve(opened: DataFrame, length: int) -> DataFrame:
     """The stretches that step 2 removes. Rows come sorted by key; whole keys are taken a few thousand rows at a time."""
 
@@ -350,15 +355,17 @@ def _resolve(opened: DataFrame, length: int) -> DataFrame:
 
 
 def _packed(documents: DataFrame) -> DataFrame:
-    """Texts as compressed bytes, so that they are small when they are shuffled."""
+    """Texts as compressed bytes, so that they are small when they are shuffled; ``carried`` stays as it is."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             packed = [packer.compress(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+            columns = [batch.column("doc_id"), pa.array(packed, pa.binary()), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "packed", *batch.schema.names[2:]])
 
-    return documents.mapInArrow(pack, "doc_id long, packed binary")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("packed", T.BinaryType())])
+    return documents.mapInArrow(pack, T.StructType(schema.fields + documents.schema.fields[2:]))
 
 
 def _stretches(starts: list[int], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -374,13 +381,14 @@ def _stretches(starts: list[int], sizes: list[int]) -> tuple[np.ndarray, np.ndar
 _RESULT = "doc_id long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary"
 
 
-def _cut_out(joined: DataFrame) -> DataFrame:
+def _cut_out(joined: DataFrame, carried: list[T.StructField]) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for lot in range(0, batch.num_rows, 256):
+            for at in range(0, batch.num_rows, 256):
+                lot = batch.slice(at, 256)
                 out = []
-                for doc, packed, starts, sizes in zip(*(c.to_pylist() for c in batch.slice(lot, 256).columns)):
+                for doc, packed, starts, sizes in zip(*(c.to_pylist() for c in lot.columns[:4])):
                     raw = unpack.decompress(packed)
                     if not starts:
                         out.append((doc, len(raw), 0, [], [], raw))
@@ -390,28 +398,51 @@ def _cut_out(joined: DataFrame) -> DataFrame:
                     kept = b"".join(raw[a:b] for a, b in edges)
                     out.append((doc, len(raw), len(raw) - len(kept), begin.tolist(), end.tolist(), kept))
                 types = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2 + [pa.binary()]
-                names = [f.split()[0] for f in _RESULT.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                names = [f.split()[0] for f in _RESULT.split(", ")] + lot.schema.names[4:]
+                columns = [pa.array(c, t) for c, t in zip(zip(*out), types)] + lot.columns[4:]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.select("doc_id", "packed", "found.start", "found.size").mapInArrow(cut, _RESULT)
+    chosen = joined.select("doc_id", "packed", "found.start", "found.size", *[f.name for f in carried])
+    return chosen.mapInArrow(cut, T.StructType(T.StructType.fromDDL(_RESULT).fields + carried))
 
 
-def suffix_dedup(documents: DataFrame, length: int = 50) -> DataFrame:
+def suffix_dedup(documents: DataFrame, length: int = 50, carry: bool = False) -> DataFrame:
     """One row per row: doc_id, n_bytes, n_removed, starts and ends of the removed byte runs, kept (bytes).
 
     Every byte of a string of ``length`` bytes that also starts in a document with a smaller doc_id is removed; strings
     are judged on the texts as given, overlaps count, and matches never cross documents. ``length`` lies between 20 and
     270. A null text is empty; texts below ``length`` bytes lose nothing. Ids are taken to be unique; equal rows lose the
-    same. Rows with a null id lose nothing and take nothing. No documents give no rows. Other columns are not read.
+    same. Rows with a null id lose nothing and take nothing. No documents give no rows. ``carry`` adds each row's other
+    columns as they are, in a column ``carried``; else they are not read.
     """
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = texts.filter("doc_id is not null and text is not null")
+    others = [c for c in documents.columns if c not in ("doc_id", "text")]
+    texts = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.struct(*others).alias("carried")] if carry and others else [])
+    )
+    known = texts.filter("doc_id is not null and text is not null").select("doc_id", "text")
     n_bytes = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = n_bytes // BUCKET_BYTES + 1
     anchors = _anchors(known, length, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     judged = materialise(_judge(anchors, length), "judged")
-    packed = _packed(texts)
-    later = materialise(_resolve(_open_runs(packed, judged, length), length), "stretches")
+    later = materialise(_resolve(_open_runs(_packed(known), judged, length), length), "stretches")
     found = judged.filter("key is null").select("doc_id", "start", "size").unionByName(later)
     found = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("found"))
-    return _cut_out(packed.join(found, "doc_id", "left"))
+    return _cut_out(_packed(texts).join(found.hint("merge"), "doc_id", "left"), texts.schema.fields[2:])
+
+
+def deduplicated(documents: DataFrame, length: int = 50) -> DataFrame:
+    """The documents with their columns, the removed stretches cut out of their texts and n_chars, if there is one, anew.
+
+    Bytes of a character that was cut in two are dropped.
+    """
+    cut = suffix_dedup(documents, length, carry=True)
+
+    def column(name: str):
+        if name == "text":
+            return F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), _BROKEN, "")
+        return F.col(name) if name == "doc_id" else F.col(f"carried.`{name}`")
+
+    out = cut.select([column(c).cast(documents.schema[c].dataType).alias(c) for c in documents.columns])
+    if "n_chars" not in documents.columns:
+        return out
+    return out.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType))
