@@ -21,6 +21,12 @@ from creditloom.sources.intermediate import checkpoint_root, materialise
 APP = "application_train"
 CATEGORICAL = ["NAME_CONTRACT_TYPE", "CODE_GENDER", "NAME_EDUCATION_TYPE", "OCCUPATION_TYPE"]
 NUMERIC = [
+    "CNT_CHILDREN",
+    "CNT_FAM_MEMBERS",
+    "DAYS_BIRTH",
+    "DAYS_EMPLOYED",
+    "DAYS_REGISTRATION",
+    "DAYS_ID_PUBLISH",
     "AMT_INCOME_TOTAL",
     "AMT_CREDIT",
     "AMT_ANNUITY",
