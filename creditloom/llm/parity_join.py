@@ -36,6 +36,8 @@ from creditloom.sources.intermediate import materialise
 
 # Members of one bucket that are compared by sketches in one block.
 BLOCK = 1024
+# Words of 64 bits in the sketch that every set carries along.
+SHORT_SKETCH = 16
 _SIZES: list[int] = [1]
 _BAND_MASK = 0xFF
 
@@ -136,12 +138,13 @@ def _digests(documents: DataFrame, width: int) -> DataFrame:
                 np.cumsum(hashes, out=sums[0][1:])
                 np.cumsum(mix(hashes), out=sums[1][1:])
                 columns = [pa.array((s[begins[1:]] - s[begins[:-1]]).view(np.int64)) for s in sums]
+                drawn = [sketch(hashes[a:b], SHORT_SKETCH).tobytes() for a, b in zip(begins[:-1], begins[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.diff(begins), pa.int64()), *columns],
-                    ["doc_id", "n_shingles", "high", "low"],
+                    [part.column("doc_id"), pa.array(np.diff(begins), pa.int64()), *columns, pa.array(drawn, pa.binary())],
+                    ["doc_id", "n_shingles", "high", "low", "sketch"],
                 )
 
-    return documents.mapInArrow(digest, "doc_id long, n_shingles long, high long, low long")
+    return documents.mapInArrow(digest, "doc_id long, n_shingles long, high long, low long, sketch binary")
 
 
 def _buckets(documents: DataFrame, width: int, percent: int) -> DataFrame:
@@ -172,6 +175,30 @@ def _buckets(documents: DataFrame, width: int, percent: int) -> DataFrame:
     return documents.mapInArrow(send, "bucket long, doc_id long")
 
 
+def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that sizes and short sketches do not rule out; a bound, so no link is lost.
+
+    ``sketches`` has doc_id, n_shingles and sketch.
+    """
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = [batch.column(f"n_{side}").to_numpy() for side in "ab"]
+            bits = [np.frombuffer(b"".join(batch.column(f"sketch_{side}").to_pylist()), np.uint64) for side in "ab"]
+            distance = np.bitwise_count(bits[0] ^ bits[1]).reshape(batch.num_rows, -1).sum(axis=1)
+            limit = (size[0] + size[1]) * (100 - percent) // (100 + percent)
+            good = (distance <= limit) & (np.abs(size[0] - size[1]) <= limit)
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    joined = pairs
+    for side in "ab":
+        own = sketches.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+        joined = joined.join(own.hint("merge"), side)
+    return joined.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(sift, "a long, b long")
+
+
 def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose texts' sets reach the similarity."""
 
@@ -278,6 +305,8 @@ def parity_join(documents: DataFrame, width: int = 3, percent: int = 90) -> Data
     filled = digests.filter("n_shingles > 0 and doc_id is not null")
     equal = ["n_shingles", "high", "low"]
     classes = filled.groupBy(*equal).agg(F.min("doc_id").alias("class_id"))
+    # One row for each id, even if rows were repeated.
+    sketches = filled.groupBy("doc_id").agg(F.min_by(F.struct("n_shingles", "sketch"), F.struct(*equal)).alias("s")).select("doc_id", "s.*")
     class_of = materialise(digests.join(classes, equal, "left").select("doc_id", "n_shingles", "class_id"), "classes")
     # Tables that grow with the input are merged at every size, never broadcast at a small one.
     by_id = class_of.filter("class_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("class_id")).hint("merge")
@@ -292,7 +321,7 @@ def parity_join(documents: DataFrame, width: int = 3, percent: int = 90) -> Data
         by_id.select(F.col("doc_id").alias("leader"), F.col("class_id").alias("y")).hint("merge"), "leader"
     )
     pairs = meetings.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = materialise(pairs, "pairs")
+    pairs = materialise(_possible(pairs, sketches, percent), "pairs")
     concerned = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     concerned_texts = materialise(texts.join(concerned.hint("merge"), "doc_id", "left_semi"), "texts")
 
