@@ -261,10 +261,17 @@ def _pairs_of_block(members: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64").drop_duplicates()
 
 
+def _texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts that a verification of the pairs (a, b) reads."""
+    concerned = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return materialise(texts.join(concerned.hint("merge"), "doc_id", "left_semi"), "texts")
+
+
 def _pairs_across_components(crowded: DataFrame, found: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket and that their sketches do not rule out.
 
-    ``crowded`` holds the distinct (bucket, doc_id), ``found`` the components so far.
+    ``crowded`` holds the distinct (bucket, doc_id), ``found`` the components so far. ``texts`` has every member: one
+    whose comparison with the bucket's smallest document was ruled out may still belong to another member.
     """
     labelled = crowded.join(found.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").withColumn(
         "component", F.coalesce("component", "doc_id")
@@ -322,14 +329,12 @@ def parity_join(documents: DataFrame, width: int = 3, percent: int = 90) -> Data
     )
     pairs = meetings.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs = materialise(_possible(pairs, sketches, percent), "pairs")
-    concerned = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    concerned_texts = materialise(texts.join(concerned.hint("merge"), "doc_id", "left_semi"), "texts")
-
-    links = materialise(_links(pairs, concerned_texts, width, percent), "similar")
+    links = materialise(_links(pairs, _texts_of(pairs, texts), width, percent), "similar")
     found = components(links)
     in_buckets = crowded.join(by_id, "doc_id").select("bucket", F.col("class_id").alias("doc_id")).distinct()
-    more = _pairs_across_components(in_buckets, found, concerned_texts, width, percent)
-    more = materialise(_links(more.join(pairs, ["a", "b"], "left_anti"), concerned_texts, width, percent), "similar")
+    across = _pairs_across_components(in_buckets, found, texts, width, percent)
+    across = materialise(across.join(pairs, ["a", "b"], "left_anti"), "across")
+    more = materialise(_links(across, _texts_of(across, texts), width, percent), "similar")
     if not more.isEmpty():
         found = components(links.unionByName(more))
     return class_of.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select(

@@ -65,6 +65,22 @@ def test_blocks_of_a_crowded_bucket(documents_of, monkeypatch):
     assert found == {d: c for d, (_, c) in brute(texts, 3, 80).items()}
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_links_between_documents_whose_buckets_belong_to_dissimilar_ones(documents_of, percent):
+    """Frequent lines stand in many smaller, half-alike documents, which lead every bucket of two similar ones."""
+    rng = random.Random(5)
+    texts, late = [], []
+    for family in range(4):
+        lines = [[f"l{family}q{i}w{k}" for k in range(3)] for i in range(16)]
+        for n in range(150):
+            texts.append(" ".join(w for i, line in enumerate(lines) for w in (line if rng.random() < 0.75 else [f"o{family}x{n}y{i}z{k}" for k in range(3)])))
+        for n in range(3):
+            late.append(" ".join([w for line in lines for w in line][:-1] + [f"end{n}"]))
+    texts = list(enumerate(texts + late))
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in pj.parity_join(documents_of(texts), 1, percent).collect()}
+    assert found == brute(texts, 1, percent)
+
+
 def test_odd_documents(documents_of, odd_texts):
     texts = list(enumerate(odd_texts))
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in pj.parity_join(documents_of(odd_texts)).collect()}
