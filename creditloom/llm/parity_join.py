@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -38,8 +39,8 @@ from creditloom.sources.intermediate import materialise
 BLOCK = 1024
 # Words of 64 bits in the sketch that every set carries along.
 SHORT_SKETCH = 16
-_SIZES: list[int] = [1]
 _BAND_MASK = 0xFF
+_LARGEST_SET = 1 << 40
 
 
 def shingle_sets(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,11 +71,18 @@ def shingle_sets(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndar
     return runs[fresh], np.searchsorted(rows[fresh], np.arange(batch.num_rows + 1))
 
 
+@cache
+def _band_starts(similarity_percent: int) -> tuple[int, ...]:
+    """The smallest set size of every band; each similarity has its own, whatever the process was asked before."""
+    starts = [1]
+    while starts[-1] <= _LARGEST_SET:
+        starts.append(max(starts[-1] + 1, -(-starts[-1] * 100 // similarity_percent)))
+    return tuple(starts)
+
+
 def band_of(size: int, similarity_percent: int) -> int:
     """The band of a set size; the sizes of partners lie in one band or in two neighbours."""
-    while _SIZES[-1] <= size:
-        _SIZES.append(max(_SIZES[-1] + 1, -(-_SIZES[-1] * 100 // similarity_percent)))
-    return bisect_right(_SIZES, size) - 1
+    return bisect_right(_band_starts(similarity_percent), size) - 1
 
 
 def most_difference(total_size: int, similarity_percent: int) -> int:
@@ -84,9 +92,7 @@ def most_difference(total_size: int, similarity_percent: int) -> int:
 
 def parts_of(band: int, similarity_percent: int) -> int:
     """The number of sketch parts of the group of bands (band - 1, band)."""
-    while len(_SIZES) <= band + 1:
-        band_of(_SIZES[-1], similarity_percent)
-    return most_difference(2 * (_SIZES[band + 1] - 1), similarity_percent) + 2
+    return most_difference(2 * (_band_starts(similarity_percent)[band + 1] - 1), similarity_percent) + 2
 
 
 def sketch(hashes: np.ndarray, parts: int) -> np.ndarray:

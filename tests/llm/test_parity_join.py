@@ -81,6 +81,14 @@ def test_links_between_documents_whose_buckets_belong_to_dissimilar_ones(documen
     assert found == brute(texts, 1, percent)
 
 
+def test_similarities_do_not_touch_each_other(documents_of):
+    """Workers that have served one similarity give the right bands for another."""
+    texts = edited_texts(21)
+    for percent in (90, 80, 90):
+        found = {r.doc_id: (r.n_shingles, r.component_id) for r in pj.parity_join(documents_of(texts), 3, percent).collect()}
+        assert found == brute(texts, 3, percent)
+
+
 def test_odd_documents(documents_of, odd_texts):
     texts = list(enumerate(odd_texts))
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in pj.parity_join(documents_of(odd_texts)).collect()}
@@ -106,11 +114,12 @@ def test_sketch_distance_bounds_the_difference():
         assert distance <= len(np.setxor1d(one, other))
 
 
-def test_sizes_of_partners_lie_in_neighbouring_bands():
+@pytest.mark.parametrize("percent", [90, 80, 90, 85])
+def test_sizes_of_partners_lie_in_neighbouring_bands(percent):
     for a in range(1, 3000):
-        for b in {a, -(-a * 100 // 90) - 1, a * 100 // 90}:
-            if b >= a and 100 * a >= 90 * b:
-                assert pj.band_of(b, 90) - pj.band_of(a, 90) in (0, 1)
+        for b in {a, -(-a * 100 // percent) - 1, a * 100 // percent}:
+            if b >= a and 100 * a >= percent * b:
+                assert pj.band_of(b, percent) - pj.band_of(a, percent) in (0, 1)
 
 
 def test_components_of_a_long_chain_and_a_star(spark):
