@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from creditloom.llm.attention_lm import score_with_training
 from creditloom.llm.decontamination import contaminations
+from creditloom.llm.hard_negatives import hard_negatives, mining_sql, whole_numbers
 from creditloom.llm.licences import licence_scan, scan_sql
 from creditloom.llm.packing import packed
 from creditloom.llm.parity_join import parity_join
@@ -107,6 +108,12 @@ def op10_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", _remainder("doc_id") == 1)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    planted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(whole_numbers(vectors.withColumn("label", planted)), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -118,6 +125,7 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_winnowing": op9_winnowing,
     "op10_attention_lm": op10_attention_lm,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -125,4 +133,10 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT doc_id, coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') || '/' || "
         "coalesce(doc_id::VARCHAR, 'unknown') || '.txt' AS path, coalesce(text, '') AS text FROM documents"
     ),
+    "op12_hard_negatives": mining_sql(
+        "SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, "
+        "list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings "
+        "WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL "
+        "AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    ),
 }
