@@ -12,6 +12,7 @@ from creditloom.llm.attention_lm import score_with_training
 from creditloom.llm.decontamination import contaminations
 from creditloom.llm.hard_negatives import hard_negatives, mining_sql, whole_numbers
 from creditloom.llm.licences import licence_scan, scan_sql
+from creditloom.llm.minhash_join import groups_sql, minhash_groups
 from creditloom.llm.packing import packed
 from creditloom.llm.parity_join import parity_join
 from creditloom.llm.sharding import shards
@@ -108,6 +109,10 @@ def op10_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", _remainder("doc_id") == 1)
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_groups(_table(spark, sf_dir, "documents"), width=5, percent=85)
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     planted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -125,6 +130,7 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_winnowing": op9_winnowing,
     "op10_attention_lm": op10_attention_lm,
+    "op11_minhash": op11_minhash,
     "op12_hard_negatives": op12_hard_negatives,
 }
 
@@ -133,6 +139,7 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT doc_id, coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') || '/' || "
         "coalesce(doc_id::VARCHAR, 'unknown') || '.txt' AS path, coalesce(text, '') AS text FROM documents"
     ),
+    "op11_minhash": groups_sql(),
     "op12_hard_negatives": mining_sql(
         "SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, "
         "list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings "
