@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.llm.attention_lm import score_with_training
+from creditloom.llm.conversation_trie import conversation_trie, trie_sql
 from creditloom.llm.decontamination import contaminations
 from creditloom.llm.hard_negatives import hard_negatives, mining_sql, whole_numbers
 from creditloom.llm.licences import licence_scan, scan_sql
@@ -119,6 +120,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(whole_numbers(vectors.withColumn("label", planted)), F.col("vec_id") % 50 == 0)
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -132,6 +137,7 @@ QUERIES: dict[str, Query] = {
     "op10_attention_lm": op10_attention_lm,
     "op11_minhash": op11_minhash,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -146,4 +152,5 @@ ORACLE_SQL: dict[str, str] = {
         "WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL "
         "AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
     ),
+    "op13_conversation_trie": trie_sql(),
 }
