@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +36,7 @@ NUMERIC = [
     "APARTMENTS_AVG",
 ]
 
-# Larger steps and less patience than a full run has; the number of rounds is open, training ends by patience.
-SETTINGS = modelling.BoostingSettings(learning_rate=0.1, max_depth=4, min_rows_per_leaf=20, patience=10)
-STUDY_SETTINGS = modelling.BoostingSettings(learning_rate=0.3, max_depth=3, min_rows_per_leaf=20, patience=3)
+SETTINGS = modelling.BoostingSettings()
 
 
 # Stored tables and trained models by application, data folder and source.
@@ -146,7 +143,7 @@ def _isotonic_calibration(t) -> DataFrame:
 
 @query("imbalance_study")
 def _imbalance_study(t) -> DataFrame:
-    scores = materialise(modelling.strategy_scores(stored_matrix(t), STUDY_SETTINGS), "study-scores")
+    scores = materialise(modelling.strategy_scores(stored_matrix(t), SETTINGS), "study-scores")
     return modelling.strategy_summary(modelling.fold_scores(scores, ["strategy", "fold"]))
 
 
@@ -222,11 +219,9 @@ def _global_importance(t) -> DataFrame:
 
 
 def _tree_pushes(t) -> tuple[DataFrame, float]:
+    """Contributions with the raw values: names of categories, numbers as they were given, NULL where there was none."""
     model = trained(t)
-    rows = modelling.prepared_rows(stored_matrix(t), model.inputs)
-    arrays = rows.select("id", vector_to_array("features").alias("x"))
-    names = modelling.feature_names(model.inputs)
-    return attribution.tree_contributions(t.spark, arrays, model.booster, names, "id")
+    return attribution.tree_contributions(modelling.shown_rows(stored_matrix(t), model.inputs), model.booster, "id", "shown")
 
 
 @query("tree_top_factors")
@@ -273,16 +268,20 @@ def _rule_fidelity(t) -> DataFrame:
     return rules.rule_fidelity(scored(t).withColumn("surrogate", F.floor(F.col("p") * 4) / 4.0 + 0.125))
 
 
-def _surrogate(t):
-    model = trained(t)
-    matrix = stored_matrix(t)
-    inputs = model.inputs.transform(matrix).withColumn("id", F.col(ID))
-    rows = inputs.join(model.score(matrix).select("id", "y", "p"), "id")
-    tree = rules.fit_surrogate(rows, "p", min_rows=500)
-    conditions = rules.leaf_conditions(
-        t.spark, tree, modelling.input_names(model.inputs), modelling.category_labels(model.inputs)
-    )
-    return tree.transform(rows), conditions
+def _surrogate(t) -> tuple[DataFrame, DataFrame]:
+    """Every applicant with leaf and fitted score of the surrogate, and the rules that its paths spell out."""
+
+    def build():
+        model, matrix = trained(t), stored_matrix(t)
+        scores = model.score(matrix).select("id", F.col("y").alias("label"), "p")
+        rows = modelling.prepared_rows(matrix, model.inputs).drop("y").join(scores, "id")
+        rows = materialise(rows.withColumnRenamed("p", "y"), "surrogate-rows")
+        tree = rules.fit_surrogate(rows, model.inputs)
+        conditions = rules.leaf_conditions(t.spark, tree, dict(matrix.dtypes))
+        leaves = tree.leaves(rows, ["id", "label", "y"]).withColumnsRenamed({"y": "p", "label": "y"})
+        return materialise(leaves, "surrogate-leaves"), conditions
+
+    return _once(t, "surrogate", build)
 
 
 @query("surrogate_tree")
@@ -293,9 +292,16 @@ def _surrogate_tree(t) -> DataFrame:
 
 @query("rule_predicates")
 def _rule_predicates(t) -> DataFrame:
-    """Applicants per rule, once by the tree and once by the rule's text."""
+    """Applicants per rule, once by the tree and once by the rule's text, applied to the raw feature table."""
     leaves, conditions = _surrogate(t)
-    both = rules.apply_predicates(leaves, conditions)
-    by_tree = both.groupBy("leaf").agg(F.count(F.lit(1)).alias("by_tree"))
-    by_text = both.groupBy(F.col("rule_leaf").alias("leaf")).agg(F.count(F.lit(1)).alias("by_text"))
+    by_tree = leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("by_tree"))
+    ruled = rules.apply_predicates(stored_matrix(t), conditions)
+    by_text = ruled.groupBy(F.col("rule_leaf").alias("leaf")).agg(F.count(F.lit(1)).alias("by_text"))
     return conditions.select("leaf", "predicate").join(by_tree, "leaf", "left").join(by_text, "leaf", "left")
+
+
+@query("surrogate_fidelity")
+def _surrogate_fidelity(t) -> DataFrame:
+    """How well the rules' tree follows the calibrated score, and how both rank the outcomes."""
+    leaves, _ = _surrogate(t)
+    return rules.rule_fidelity(leaves, surrogate="fitted")

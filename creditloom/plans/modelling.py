@@ -1,52 +1,65 @@
-"""Model pipelines on ``pyspark.ml``: preparation, baseline, boosted trees, calibration, the imbalance study.
+"""Model pipelines: preparation, baseline, boosted trees, calibration, the imbalance study.
 
-Only what a model has learned reaches the driver. Feature rows stay distributed, and every preparation step is
-a stage of a saved-and-loadable ``PipelineModel``.
+Only what a model has learned reaches the driver. Feature rows stay distributed.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from creditloom.functions import FINE_PLACES, exact_mean
 from creditloom.operators import preparation, sampling
 from creditloom.operators.application import ID, LABEL, derived_columns
+from creditloom.operators.boosting import BoostedTrees, Growth, Inputs, fit_boosting, tree_columns, tree_of
 from creditloom.operators.evaluation import cost_threshold, ranking_metrics
 from creditloom.operators.feature_matrix import model_inputs
 from creditloom.operators.neighbours import smote
-from creditloom.sources.intermediate import checkpoint_root, materialise
+from creditloom.sources.intermediate import materialise
 
 FOLDS = 5
 
 
+# Rank resolution of the sketch that proposes cut points; any cut points are right, these are near the quantiles.
+_CUT_ACCURACY = 2000
+
+
 @dataclass(frozen=True)
 class BoostingSettings:
     """Boosting parameters; the defaults are the fixed values of a full training run."""
 
     rounds: int = 2000
     learning_rate: float = 0.03
-    max_depth: int = 5
+    max_leaves: int = 31
+    #: 0 for no limit
+    max_depth: int = 0
     min_rows_per_leaf: int = 50
+    l1: float = 0.1
+    l2: float = 0.1
     row_share: float = 0.8
     feature_share: float = 0.8
     max_bins: int = 64
     seed: int = 42
-    #: rounds without a better loss on the early-stop rows after which training ends
+    #: rounds without a better average precision on the early-stop rows after which training ends
     patience: int = 100
 
+    @property
+    def growth(self) -> Growth:
+        return Growth(self.max_leaves, self.max_depth, self.min_rows_per_leaf, self.l1, self.l2)
+
 
 # --- preparation as pipeline stages ------------------------------------------------------------------------
 
@@ -75,54 +88,45 @@ def align_to_features(df: DataFrame, like: DataFrame, keep: Sequence[str] = (ID,
     return df.select(*columns)
 
 
-def fit_tree_inputs(train: DataFrame) -> PipelineModel:
-    """Median for missing numbers plus a flag that says so, alphabetical codes for categories, one vector."""
+def fit_tree_inputs(train: DataFrame, max_bins: int = BoostingSettings.max_bins) -> Inputs:
+    """Cut points of the numbers and labels of the categories, both bounded by ``max_bins``.
+
+    Numbers are cut near their quantiles; of the categories the most frequent have a bin of their own and the others share
+    one. What the driver sees is bounded by the number of columns.
+    """
     numeric, categorical = model_inputs(train)
-    medians = preparation.fit_medians(train, numeric)
-    gaps = train.agg(*[F.expr(f"count_if(`{c}` IS NULL) AS `{c}`") for c in numeric]).first()
-    gappy = [c for c in numeric if gaps[c]]
-    filled = {f"num_{c}": f"coalesce(CAST(`{c}` AS DOUBLE), {_number(medians[c])})" for c in numeric}
-    flags = {f"gap_{c}": f"CAST(`{c}` IS NULL AS DOUBLE)" for c in gappy}
-    stages = [_adding(filled | flags)]
-    outputs = list(filled) + list(flags)
+    shares = ", ".join(f"{i / (max_bins - 2)!r}D" for i in range(max_bins - 1))
+    cuts: dict[str, list[float]] = {}
+    if numeric:
+        found = train.selectExpr(
+            *[f"percentile_approx(nullif(CAST(`{c}` AS DOUBLE), double('NaN')), array({shares}), {_CUT_ACCURACY}) AS `{c}`" for c in numeric]
+        ).first()
+        # What exceeds the last cut needs none above it.
+        cuts = {c: sorted(set(found[c] or []))[:-1] for c in numeric}
+    labels: dict[str, list[str]] = {c: [] for c in categorical}
     if categorical:
-        codes = preparation.fit_codes(train, categorical)
-        stages.append(codes)
-        outputs += codes.getOutputCols()
-    stages.append(VectorAssembler(inputCols=outputs, outputCol="features"))
-    return PipelineModel(stages)
-
-
-def input_names(inputs: PipelineModel) -> list[str]:
-    return list(inputs.stages[-1].getInputCols())
-
-
-def feature_names(inputs: PipelineModel) -> list[str]:
-    """Input columns under the names of the features they carry."""
-    names = []
-    for column in input_names(inputs):
-        if column.startswith("num_"):
-            names.append(column.removeprefix("num_"))
-        elif column.startswith("gap_"):
-            names.append(f"{column.removeprefix('gap_')}_MISSING")
-        else:
-            names.append(column.removesuffix("_code"))
-    return names
-
-
-def category_labels(inputs: PipelineModel) -> dict[str, list[str]]:
-    """Labels by input column, for decoding the codes."""
-    found: dict[str, list[str]] = {}
-    for stage in inputs.stages:
-        if hasattr(stage, "labelsArray"):
-            found |= {c: list(labels) for c, labels in zip(stage.getOutputCols(), stage.labelsArray)}
-    return found
-
-
-def prepared_rows(matrix: DataFrame, inputs: PipelineModel) -> DataFrame:
-    """``id, y, features`` (the label where there is one)."""
-    label = [F.col(LABEL).cast("int").alias("y")] if LABEL in matrix.columns else []
-    return inputs.transform(matrix).select(F.col(ID).alias("id"), *label, "features")
+        by_rows = Window.partitionBy("column_name").orderBy(F.desc("rows"), "category")
+        counted = preparation.category_counts(train, categorical).withColumn("place", F.row_number().over(by_rows))
+        for r in counted.filter(F.col("place") <= max_bins - 2).orderBy("column_name", "category").collect():
+            labels[r["column_name"]].append(r["category"])
+    names = [*numeric, *categorical]
+    return Inputs(names, [cuts.get(n) for n in names], [labels.get(n) for n in names])
+
+
+def prepared_rows(matrix: DataFrame, inputs: Inputs, filled: Mapping[str, float] | None = None) -> DataFrame:
+    """``id, y, x`` (the label where there is one); ``filled`` are values for missing numbers, which else stay missing."""
+    label = [f"CAST(`{LABEL}` AS INT) AS y"] if LABEL in matrix.columns else []
+    return matrix.selectExpr(f"`{ID}` AS id", *label, f"array({', '.join(inputs.columns(filled))}) AS x")
+
+
+def shown_rows(matrix: DataFrame, inputs: Inputs) -> DataFrame:
+    """``id, x, shown``: the inputs, and their raw values as a reader should see them (two decimals, categories by name)."""
+    kinds = dict(matrix.dtypes)
+    shown = [
+        f"CAST(round(nullif(`{c}`, double('NaN')), 2) AS STRING)" if kinds[c] in ("double", "float") else f"CAST(`{c}` AS STRING)"
+        for c in inputs.names
+    ]
+    return matrix.selectExpr(f"`{ID}` AS id", f"array({', '.join(inputs.columns())}) AS x", f"array({', '.join(shown)}) AS shown")
 
 
 # --- models ------------------------------------------------------------------------------------------------
@@ -131,56 +135,25 @@ def prepared_rows(matrix: DataFrame, inputs: PipelineModel) -> DataFrame:
 def fit_boosted_trees(
     train: DataFrame,
     early_stop: DataFrame | None,
+    inputs: Inputs,
     settings: BoostingSettings,
     weight: float | None = None,
-) -> GBTClassificationModel:
-    """Boosted trees on ``y, features``, as many rounds as the early-stop rows' loss calls for.
+) -> tuple[BoostedTrees, list[float]]:
+    """Boosted trees on ``id, y, x``, as many rounds as the early-stop rows' average precision calls for, and its course.
 
-    Training goes on in growing stretches (a longer fit repeats the rounds of a shorter one, for the seed is fixed)
-    until the best round lies ``patience`` rounds back; the best prefix is what is returned. Without early-stop rows
-    all rounds are kept.
+    Training ends when the best round lies ``patience`` rounds back; the trees up to the best round are kept. Without
+    early-stop rows all rounds are kept.
     """
-    spark = train.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_root(spark))
-    rows = train.select("y", "features")
-    estimator = GBTClassifier(
-        labelCol="y",
-        featuresCol="features",
-        stepSize=settings.learning_rate,
-        maxDepth=settings.max_depth,
-        minInstancesPerNode=settings.min_rows_per_leaf,
-        subsamplingRate=settings.row_share,
-        featureSubsetStrategy=str(settings.feature_share),
-        maxBins=settings.max_bins,
-        cacheNodeIds=True,
-        checkpointInterval=10,
-        seed=settings.seed,
-    )
-    judged = early_stop.select("y", "features") if early_stop is not None else None
-    if weight is not None:
-        weighed = F.when(F.col("y") == 1, float(weight)).otherwise(1.0)
-        rows = rows.withColumn("w", weighed)
-        judged = judged.withColumn("w", weighed) if judged is not None else None
-        estimator.setWeightCol("w")
-    if judged is None:
-        return estimator.setMaxIter(settings.rounds).fit(rows)
-    tried = min(2 * settings.patience, settings.rounds)
-    while True:
-        model = estimator.setMaxIter(tried).fit(rows)
-        losses = model.evaluateEachIteration(judged)
-        best = min(range(len(losses)), key=losses.__getitem__) + 1
-        if tried == settings.rounds or best + settings.patience <= tried:
-            break
-        tried = min(2 * tried, settings.rounds)
-    return model if best == tried else estimator.setMaxIter(best).fit(rows)
-
-
-def probabilities(model, rows: DataFrame) -> DataFrame:
+    return fit_boosting(
+        train, early_stop, inputs, settings.growth, settings.rounds, settings.learning_rate, settings.patience,
+        settings.row_share, settings.feature_share, weight, settings.seed,
+    )
+
+
+def probabilities(model: BoostedTrees, rows: DataFrame) -> DataFrame:
     """``id, y, p``."""
     kept = [c for c in ("id", "y") if c in rows.columns]
-    return model.transform(rows).select(*kept, vector_to_array("probability")[1].alias("p"))
+    return model.margins(rows, kept).select(*kept, (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("margin")))).alias("p"))
 
 
 def fit_isotonic(scored: DataFrame) -> IsotonicRegressionModel:
@@ -288,14 +261,15 @@ def strategy_scores(
     pos_weight = sampling.positive_weight(matrix)
 
     def prepare(fold: int):
-        def run() -> tuple[DataFrame, DataFrame]:
+        def run() -> dict[bool, tuple[Inputs, DataFrame, DataFrame]]:
             train = folded.filter(F.col("fold") != fold).drop("fold")
-            inputs = fit_tree_inputs(train)
             held_out = folded.filter(F.col("fold") == fold)
-            return (
-                materialise(prepared_rows(train, inputs), "fold-train"),
-                materialise(prepared_rows(held_out, inputs), "fold-held-out"),
-            )
+            inputs = fit_tree_inputs(train, settings.max_bins)
+            found = {}
+            for interpolated in {s == "smote" for s in strategies}:
+                own, rows, judged = _training_rows(train, held_out, inputs, interpolated)
+                found[interpolated] = (own, materialise(rows, "fold-train"), materialise(judged, "fold-held-out"))
+            return found
 
         return run
 
@@ -305,10 +279,9 @@ def strategy_scores(
 
     def job(strategy: str, fold: int):
         def run() -> DataFrame:
-            train, held_out = folds[fold]
+            inputs, train, held_out = folds[fold][strategy == "smote"]
             weight = pos_weight if strategy == "scale_pos_weight" else None
-            rows = resampled(train, strategy)
-            model = fit_boosted_trees(rows, held_out, settings, weight)
+            model, _ = fit_boosted_trees(resampled(train, strategy), held_out, inputs, settings, weight)
             scores = probabilities(model, held_out)
             return scores.select(F.lit(strategy).alias("strategy"), F.lit(fold).alias("fold"), "id", "y", "p")
 
@@ -318,15 +291,25 @@ def strategy_scores(
     return reduce(DataFrame.unionByName, _in_parallel(matrix.sparkSession, jobs, parallelism))
 
 
+def _training_rows(train: DataFrame, judged: DataFrame, inputs: Inputs, interpolated: bool) -> tuple[Inputs, DataFrame, DataFrame]:
+    """The inputs as a strategy needs them, and both tables as ``id, y, x``.
+
+    Rows that will be interpolated have categories as numbers and medians for missing numbers; the judged rows then have
+    the same numbers for categories, but their missing numbers stay missing.
+    """
+    if not interpolated:
+        return inputs, prepared_rows(train, inputs), prepared_rows(judged, inputs)
+    coded = inputs.as_numbers()
+    numeric, _ = model_inputs(train)
+    return coded, prepared_rows(train, coded, preparation.fit_medians(train, numeric)), prepared_rows(judged, coded)
+
+
 def resampled(train: DataFrame, strategy: str) -> DataFrame:
-    """Training rows ``id, y, features`` after the strategy's resampling."""
+    """Training rows ``id, y, x`` after the strategy's resampling."""
     if strategy == "undersample":
         return sampling.undersample_majority(train, key="id", label="y")
     if strategy == "smote":
-        points = train.select("id", "y", vector_to_array("features").alias("x"))
-        balanced = smote(points)
-        # Interpolated codes are numbers, not categories.
-        return balanced.select("id", "y", array_to_vector("x").alias("features"))
+        return smote(train.select("id", "y", "x"))
     return train
 
 
@@ -359,13 +342,16 @@ def strategy_summary(folds: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class TrainedModel:
-    inputs: PipelineModel
-    booster: GBTClassificationModel
+    booster: BoostedTrees
     calibrator: IsotonicRegressionModel
     features: DataFrame
     test_scores: DataFrame
     summary: DataFrame
 
+    @property
+    def inputs(self) -> Inputs:
+        return self.booster.inputs
+
     def score(self, matrix: DataFrame) -> DataFrame:
         """``id, y, p, p_raw`` for any feature table."""
         aligned = align_to_features(matrix, self.features)
@@ -381,9 +367,13 @@ class TrainedModel:
         return self.score(aligned.withColumns(derived))
 
     def save(self, folder: str) -> None:
-        """Everything a new session needs: stages, feature columns, test scores (bands come from them) and the summary."""
-        self.inputs.write().overwrite().save(f"{folder}/inputs")
-        self.booster.write().overwrite().save(f"{folder}/booster")
+        """Everything a new session needs: trees, inputs, feature columns, test scores (bands come from them) and the summary."""
+        spark = self.features.sparkSession
+        known = json.dumps({"base": self.booster.base, "inputs": asdict(self.inputs)})
+        spark.createDataFrame([(known,)], "known string").coalesce(1).write.mode("overwrite").text(f"{folder}/inputs")
+        trees = [(i, *map(bytearray, tree_columns(t).values())) for i, t in enumerate(self.booster.trees)]
+        named = ", ".join(f"{c} binary" for c in tree_columns())
+        spark.createDataFrame(trees, f"number int, {named}").write.mode("overwrite").parquet(f"{folder}/booster")
         self.calibrator.write().overwrite().save(f"{folder}/calibrator")
         for name in ("features", "test_scores", "summary"):
             getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
@@ -397,12 +387,11 @@ def load_model(spark: SparkSession, folder: str) -> TrainedModel:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"no trained model in {folder}") from error
         raise
-    return TrainedModel(
-        PipelineModel.load(f"{folder}/inputs"),
-        GBTClassificationModel.load(f"{folder}/booster"),
-        IsotonicRegressionModel.load(f"{folder}/calibrator"),
-        *tables,
-    )
+    known = json.loads(spark.read.text(f"{folder}/inputs").first()[0])
+    inputs = Inputs(**known["inputs"])
+    rows = spark.read.parquet(f"{folder}/booster").orderBy("number").collect()  # the size of the model
+    booster = BoostedTrees(inputs, known["base"], [tree_of(r, inputs.width) for r in rows])
+    return TrainedModel(booster, IsotonicRegressionModel.load(f"{folder}/calibrator"), *tables)
 
 
 def train(
@@ -417,12 +406,14 @@ def train(
         name: split.filter(F.col("split") == name).drop("split")
         for name in ("fit", "early_stop", "calibrate", "test")
     }
-    inputs = fit_tree_inputs(part["fit"])
-    rows = {
-        name: materialise(prepared_rows(df, inputs), f"prepared-{name}") for name, df in part.items()
-    }
+    inputs, fit, early_stop = _training_rows(
+        part["fit"], part["early_stop"], fit_tree_inputs(part["fit"], settings.max_bins), strategy == "smote"
+    )
+    rows = {"fit": materialise(fit, "prepared-fit"), "early_stop": materialise(early_stop, "prepared-early-stop")}
+    for name in ("calibrate", "test"):
+        rows[name] = materialise(prepared_rows(part[name], inputs), f"prepared-{name}")
     weight = sampling.positive_weight(rows["fit"], "y") if strategy == "scale_pos_weight" else None
-    booster = fit_boosted_trees(resampled(rows["fit"], strategy), rows["early_stop"], settings, weight)
+    booster, course = fit_boosted_trees(resampled(rows["fit"], strategy), rows["early_stop"], inputs, settings, weight)
     calibrator = fit_isotonic(probabilities(booster, rows["calibrate"]))
     test = materialise(calibrate(probabilities(booster, rows["test"]), calibrator), "test-scores")
 
@@ -435,7 +426,12 @@ def train(
         exact_mean(gap * gap, FINE_PLACES).alias("test_brier_calibrated"),
     )
     operating = cost_threshold(test).select(F.col("threshold").alias("operating_threshold"))
-    extras = {"n_features": float(len(numeric) + len(categorical)), "boosting_rounds": float(booster.getNumTrees)}
+    extras = {
+        "n_features": float(len(numeric) + len(categorical)),
+        "boosting_rounds": float(len(booster.trees)),
+        "early_stop_average_precision": max(course, default=0.0),
+        "chosen_strategy": float(STRATEGIES.index(strategy)),
+    }
     if baseline_iterations:
         scores = materialise(baseline_scores(matrix, baseline_iterations), "baseline-scores")
         by_fold = ranking_metrics(scores, by=["fold"])
@@ -443,7 +439,7 @@ def train(
     known = [_as_rows(df) for df in (counts, ranking, brier, operating)]
     given = matrix.sparkSession.createDataFrame(list(extras.items()), "metric string, value double")
     summary = reduce(DataFrame.unionByName, [*known, given])
-    return TrainedModel(inputs, booster, calibrator, matrix.limit(0), test, summary)
+    return TrainedModel(booster, calibrator, matrix.limit(0), test, summary)
 
 
 def _as_rows(df: DataFrame) -> DataFrame:

@@ -34,3 +34,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Delete a table that ``materialise`` has stored, once nothing reads it any more."""
+    spark = df.sparkSession
+    root = checkpoint_root(spark)
+    folders = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        inside = system.makeQualified(spark._jvm.org.apache.hadoop.fs.Path(root)).toUri().getPath()
+        if path.toUri().getPath().startswith(f"{inside}/"):
+            system.delete(path, True)

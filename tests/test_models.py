@@ -6,12 +6,11 @@ import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassificationModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from creditloom.operators import attribution, neighbours, preparation, rules
+from creditloom.operators.boosting import Inputs
 from creditloom.operators.evaluation import roc_auc
 from creditloom.plans import modelling
 
@@ -60,71 +59,61 @@ def test_scoring_aligns_any_table(spark, model, applicants):
     assert low > high
 
 
-def test_model_survives_saving(model, applicants, tmp_path):
-    model.save(str(tmp_path))
-    inputs = PipelineModel.load(f"{tmp_path}/inputs")
-    booster = GBTClassificationModel.load(f"{tmp_path}/booster")
-    rows = modelling.prepared_rows(applicants, inputs)
-    again = {r["id"]: r["p"] for r in modelling.probabilities(booster, rows).collect()}
-    first = {r["id"]: r["p_raw"] for r in model.score(applicants).collect()}
-    assert again == first
+def contributions(model, applicants):
+    rows = modelling.shown_rows(applicants, model.inputs)
+    return attribution.tree_contributions(rows, model.booster, "id", "shown"), rows
 
 
-def contributions(spark, model, applicants):
-    rows = modelling.prepared_rows(applicants, model.inputs)
-    arrays = rows.select("id", vector_to_array("features").alias("x"))
-    names = modelling.feature_names(model.inputs)
-    return attribution.tree_contributions(spark, arrays, model.booster, names, "id"), rows
-
-
-def test_contributions_add_up_to_the_log_odds(spark, model, applicants):
-    (pushes, base), rows = contributions(spark, model, applicants)
+def test_contributions_add_up_to_the_log_odds(model, applicants):
+    (pushes, base), rows = contributions(model, applicants)
     total = attribution.contribution_rows(pushes, "id").groupBy("id").agg(F.sum("contribution").alias("s"))
-    raw = model.booster.transform(rows).select("id", vector_to_array("rawPrediction")[1].alias("m"))
-    worst = total.join(raw, "id").agg(F.max(F.abs(F.col("s") + base - 2 * F.col("m")))).first()[0]
-    assert worst < 1e-6
+    worst = total.join(model.booster.margins(rows, ["id"]), "id").agg(F.max(F.abs(F.col("s") + base - F.col("margin")))).first()[0]
+    assert worst < 1e-9
 
 
-def test_contributions_match_the_definition(spark, model, applicants):
+def test_contributions_match_the_definition(model, applicants):
     """Shapley values by enumerating every coalition on one applicant."""
     from itertools import combinations
     from math import factorial
 
-    from creditloom.operators.trees import read_trees
-
-    (pushes, _), rows = contributions(spark, model, applicants)
-    x = np.array(rows.filter("id = 3").select(vector_to_array("features")).first()[0])
-    trees = read_trees(spark, model.booster)
-
-    def worth(known):
-        total = 0.0
-        for tree in trees:
-            for leaf in tree.leaves:
-                weight = 1.0
-                for s in leaf.steps:
-                    if s.feature not in known:
-                        weight *= s.share
-                    elif s.codes is not None:
-                        weight *= x[s.feature] in s.codes
-                    else:
-                        weight *= (x[s.feature] <= s.threshold) == s.left
-                total += 2.0 * tree.weight * leaf.value * weight
-        return total
-
-    d = len(x)
-    got = [r["contribution"] for r in attribution.contribution_rows(pushes.filter("id = 3"), "id").collect()]
+    (pushes, _), rows = contributions(model, applicants)
+    x = np.array([[np.nan if v is None else v for v in rows.filter("id = 7").first()["x"]]])
+    bins = model.inputs.binned(x)[0]
+
+    def worth(known, tree, node=0):
+        feature = tree.feature[node]
+        if feature < 0:
+            return tree.value[node]
+        children = tree.children[node]
+        if feature in known:
+            return worth(known, tree, children[0 if tree.left[node, bins[feature]] else 1])
+        return sum(tree.rows[c] / tree.rows[node] * worth(known, tree, c) for c in children)
+
+    d = len(bins)
+    got = [r["contribution"] for r in attribution.contribution_rows(pushes.filter("id = 7"), "id").collect()]
     for j in range(d):
         others = [i for i in range(d) if i != j]
         expected = sum(
-            factorial(size) * factorial(d - size - 1) / factorial(d) * (worth({*c, j}) - worth(set(c)))
+            factorial(size) * factorial(d - size - 1) / factorial(d) * (worth({*c, j}, tree) - worth(set(c), tree))
+            for tree in model.booster.trees
             for size in range(d)
             for c in combinations(others, size)
         )
         assert got[j] == pytest.approx(expected, abs=1e-9)
 
 
-def test_the_real_driver_ranks_first(spark, model, applicants):
-    (pushes, _), _ = contributions(spark, model, applicants)
+def test_factors_show_what_was_given(model, applicants):
+    (pushes, _), _ = contributions(model, applicants)
+    shown = {(r["id"], r["feature"]): r["value"] for r in attribution.top_factors(pushes, "id", 4).collect()}
+    raw = {r["SK_ID_CURR"]: r for r in applicants.collect()}
+    for i in (0, 1, 7, 8):
+        assert shown[i, "CODE_GENDER"] == raw[i]["CODE_GENDER"]
+        age = raw[i]["OWN_CAR_AGE"]
+        assert shown[i, "OWN_CAR_AGE"] == (None if age is None else str(age))
+
+
+def test_the_real_driver_ranks_first(model, applicants):
+    (pushes, _), _ = contributions(model, applicants)
     assert attribution.global_importance(pushes).first()["feature"] == "EXT_SOURCE_MEAN"
     factors = attribution.top_factors(pushes, "id", 2)
     assert factors.groupBy("id").count().filter("count <> 2").count() == 0
@@ -134,28 +123,45 @@ def test_the_real_driver_ranks_first(spark, model, applicants):
 
 
 def test_rules_partition_the_portfolio(spark):
-    df = spark.range(200).select(
-        "id", (F.col("id") / 20.0).alias("SCORE_FEATURE"), (F.col("id") < 100).cast("int").alias("y")
-    ).withColumns({"p": (10 - F.col("SCORE_FEATURE")) / 10, "features": array_to_vector(F.array("SCORE_FEATURE"))})
-    tree = rules.fit_surrogate(df, "p", max_depth=1, min_rows=20)
-    conditions = rules.leaf_conditions(spark, tree, ["SCORE_FEATURE"])
-    leaves = tree.transform(df)
+    df = spark.range(200).select("id", (F.col("id") / 20.0).alias("SCORE_FEATURE"), (F.col("id") < 100).cast("int").alias("label"))
+    df = df.withColumn("p", (10 - F.col("SCORE_FEATURE")) / 10)
+    inputs = Inputs(["SCORE_FEATURE"], [[i / 20.0 for i in range(4, 199, 5)]], [None])
+    rows = df.select("id", "label", F.col("p").alias("y"), F.array("SCORE_FEATURE").alias("x"))
+    tree = rules.fit_surrogate(rows, inputs, max_depth=1, min_rows=20)
+    conditions = rules.leaf_conditions(spark, tree)
+    leaves = tree.leaves(rows, ["id", "label", "y"]).withColumnsRenamed({"y": "p", "label": "y"})
     table = rules.rule_table(leaves, conditions).collect()
     assert [r["observed_default_rate"] for r in table] == sorted((r["observed_default_rate"] for r in table), reverse=True)
     assert sum(r["n_applicants"] for r in table) == 200
     assert table[0]["observed_default_rate"] == pytest.approx(1.0) and table[-1]["observed_default_rate"] < 0.1
     assert table[0]["sentence"].startswith("IF Score feature <= ")
     assert table[0]["lift_over_base_rate"] == pytest.approx(2.0)
-    assert rules.apply_predicates(leaves, conditions).filter("leaf <> rule_leaf").count() == 0
+    assert rules.apply_predicates(df.join(leaves.select("id", "leaf"), "id"), conditions).filter("leaf <> rule_leaf").count() == 0
 
 
-def test_rules_name_their_categories(spark, applicants, model):
-    rows = model.inputs.transform(applicants).withColumn("p", F.when(F.col("CODE_GENDER") == "M", 0.9).otherwise(0.1))
-    tree = rules.fit_surrogate(rows, "p", max_depth=1, min_rows=20)
-    conditions = rules.leaf_conditions(spark, tree, modelling.input_names(model.inputs), modelling.category_labels(model.inputs))
-    texts = {r["conditions"][0] for r in conditions.collect()}
-    assert any("{M" in t for t in texts) and any("{F" in t for t in texts)
-    assert rules.apply_predicates(tree.transform(rows), conditions).filter("leaf <> rule_leaf").count() == 0
+def test_rules_speak_of_raw_columns(spark):
+    """Ranges, sets of categories, missing and unseen values: each predicate finds its leaf's rows in the raw table."""
+    rng = np.random.default_rng(3)
+    data = []
+    for i in range(3000):
+        amount = None if i % 11 == 0 else float(rng.integers(0, 1000))
+        kind = None if i % 13 == 0 else "it's XNA red blue green".split(" ")[int(rng.integers(0, 5))]
+        flag = bool(rng.integers(0, 2)) if i % 7 else None
+        risk = (amount is None) * 3 + (200 < (amount or 0) < 500) * 2 + (kind in ("XNA", "it's", None)) + 2 * bool(flag) * (kind == "red")
+        data.append((i, int(rng.random() < risk / 8), amount, kind, flag))
+    df = spark.createDataFrame(data, "SK_ID_CURR long, TARGET int, AMOUNT double, KIND string, FLAG boolean").cache()
+    inputs = modelling.fit_tree_inputs(df.filter("coalesce(KIND, '') <> 'green'"))
+    rows = modelling.prepared_rows(df, inputs)
+    tree = rules.fit_surrogate(rows, inputs, max_depth=4, min_rows=100)
+    conditions = rules.leaf_conditions(spark, tree, dict(df.dtypes))
+    both = rules.apply_predicates(df, conditions).join(tree.leaves(rows, ["id"]), F.col("id") == F.col("SK_ID_CURR"))
+    assert both.filter("NOT (leaf <=> rule_leaf)").count() == 0 and both.count() == 3000
+    found = conditions.collect()
+    assert len(found) > 4
+    said = " / ".join(t for r in found for t in r["conditions"])
+    assert "Kind in {" in said and "Amount > " in said and "missing" in said
+    assert all(len({t.split(" ")[0] for t in r["conditions"]}) == len(r["conditions"]) for r in found)
+    assert both.groupBy("leaf").count().agg(F.min("count")).first()[0] >= 100
 
 
 def brute_force(x, k):
@@ -250,16 +256,20 @@ def test_boosting_goes_on_while_early_stop_rows_improve(spark):
     noise = lambda a: (F.pmod(F.xxhash64("id", F.lit(a)), F.lit(1000)) / 1000.0)
     x = [noise(k) for k in range(4)]
     logit = 3 * F.sin(x[0] * 9) + 3 * F.sin(x[1] * 7) * x[2]
-    df = spark.range(4000).select((i).alias("id"), (logit + noise(9) * 2 > 1.5).cast("int").alias("y"), *[c.alias(f"x{k}") for k, c in enumerate(x)])
-    df = VectorAssembler(inputCols=["x0", "x1", "x2", "x3"], outputCol="features").transform(df).cache()
+    df = spark.range(4000).select((i).alias("id"), (logit + noise(9) * 2 > 1.5).cast("int").alias("y"), F.array(*x).alias("x")).cache()
+    inputs = Inputs([f"x{k}" for k in range(4)], [[v / 40 for v in range(1, 40)]] * 4, [None] * 4)
     settings = modelling.BoostingSettings(rounds=200, learning_rate=0.1, max_depth=3, min_rows_per_leaf=10, patience=20)
     fit, stop, judge = df.filter("id % 4 < 2"), df.filter("id % 4 = 2"), df.filter("id % 4 = 3")
-    model = modelling.fit_boosted_trees(fit, stop, settings)
-    assert 50 < model.getNumTrees <= 200
-    losses = modelling.fit_boosted_trees(fit, None, dataclasses.replace(settings, rounds=model.getNumTrees)).evaluateEachIteration(stop)
-    assert min(losses) == losses[-1]
-    linear = LogisticRegression(labelCol="y").fit(fit)
-    auc = [roc_auc(modelling.probabilities(m, judge)).first()[0] for m in (model, linear)]
+    model, course = modelling.fit_boosted_trees(fit, stop, inputs, settings)
+    assert 30 < len(model.trees) <= 200 and max(course) == course[len(model.trees) - 1]
+    again, _ = modelling.fit_boosted_trees(fit, None, inputs, dataclasses.replace(settings, rounds=len(model.trees)))
+    assert all((a.value == b.value).all() for a, b in zip(model.trees, again.trees))
+    flat = VectorAssembler(inputCols=["x0", "x1", "x2", "x3"], outputCol="features").transform(
+        df.select("id", "y", *[F.col("x")[k].alias(f"x{k}") for k in range(4)])
+    )
+    linear = LogisticRegression(labelCol="y").fit(flat.filter("id % 4 < 2")).transform(flat.filter("id % 4 = 3"))
+    scores = [modelling.probabilities(model, judge), linear.select("id", "y", vector_to_array("probability")[1].alias("p"))]
+    auc = [roc_auc(s).first()[0] for s in scores]
     assert auc[0] > auc[1] + 0.05
 
 
