@@ -110,14 +110,15 @@ def _one_hot_top20(t) -> DataFrame:
 
 @query("smote_oversample")
 def _smote_oversample(t) -> DataFrame:
-    """New defaulted applicants on imputed inputs, enough to match the others."""
-    medians = preparation.fit_medians(t[APP], NUMERIC)
-    x = F.array(*[F.col(c) for c in NUMERIC])
-    rows = preparation.impute(t[APP], medians).select(F.col(ID).alias("id"), F.col(LABEL).alias("y"), x.alias("x"))
+    """New defaulted applicants on imputed numbers and coded categories, enough to match the others."""
+    applicants = t[APP].select(ID, LABEL, *NUMERIC, *CATEGORICAL)
+    inputs = modelling.fit_tree_inputs(applicants).as_numbers()
+    numeric = [n for n, labels in zip(inputs.names, inputs.labels) if labels is None]
+    rows = modelling.prepared_rows(applicants, inputs, preparation.fit_medians(applicants, numeric))
     counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     minority = materialise(rows.filter("y = 1").select("id", "x"), "minority")
     made = synthetic_rows(minority, counts[0] - counts[1])
-    return made.select("id", "copy", "neighbour", "u", *[F.col("x")[i].alias(c) for i, c in enumerate(NUMERIC)])
+    return made.select("id", "copy", "neighbour", "u", *[F.col("x")[i].alias(c) for i, c in enumerate(inputs.names)])
 
 
 # --- models ------------------------------------------------------------------------------------------------

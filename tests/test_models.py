@@ -170,12 +170,18 @@ def brute_force(x, k):
     return np.sort(away, axis=1)[:, :k]
 
 
-@pytest.mark.parametrize("case", ["spread", "copies", "few"])
-def test_neighbours_are_exact(spark, many_partitions, case):
+@pytest.mark.parametrize("case", ["spread", "copies", "few", "wide", "far"])
+def test_neighbours_are_exact(spark, many_partitions, monkeypatch, case):
+    """Many small cells, cells of copies, cells with fewer points than neighbours, many columns, large numbers."""
+    monkeypatch.setattr(neighbours, "CELL", 23)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(4 if case == "few" else 400, 3)) * [10, 1, 1]
     if case == "copies":
         x[:150] = x[0]
+    if case == "wide":
+        x = np.repeat(rng.normal(size=(40, 30)) * 20, 10, axis=0) + rng.normal(size=(400, 30))
+    if case == "far":
+        x = np.concatenate([x + 1e8, x[:7] * 1e5])[:400]
     points = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, x array<double>")
     got = neighbours.nearest_neighbours(points, 5).collect()
     expected = brute_force(x, 5)
