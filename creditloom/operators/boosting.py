@@ -257,7 +257,7 @@ def _sampled(batch, pending: Sequence[Tree], n_inputs: int, loss: str, number: i
     return bins, *_gradients(loss, margin, y, w)
 
 
-def _worth(g: np.ndarray, h: np.ndarray, l1: float, l2: np.ndarray) -> np.ndarray:
+def _worth(g: np.ndarray, h: np.ndarray, l1: float, l2: float) -> np.ndarray:
     return np.maximum(np.abs(g) - l1, 0.0) ** 2 / (h + l2)
 
 
@@ -267,31 +267,43 @@ def best_splits(histograms: np.ndarray, categorical: np.ndarray, growth: Growth)
     Numbers keep their order, with missing values before or behind; categories are ordered by gradient over Hessian.
     """
     count, width, _ = histograms.shape
-    total = histograms.sum(axis=1)
-    natural = np.arange(width)
-    behind = np.concatenate([natural[1:], [0]])
-    ratio = histograms[:, :, 0] / (histograms[:, :, 1] + CATEGORY_SMOOTHING)
-    # Categories that no row has come last.
-    by_ratio = np.argsort(np.where(histograms[:, :, 2] > 0, ratio, np.inf), axis=1, kind="stable")
-    orders = [np.where(categorical[:, None], by_ratio, behind), np.where(categorical[:, None], by_ratio, natural)]
-    l2 = (growth.l2 + np.where(categorical, CATEGORY_L2, 0.0))[:, None]
-    gain = np.full(count, -1.0)
-    left = np.zeros((count, width), bool)
-    sums = np.zeros((count, 3))
-    for order in orders:
-        l = np.cumsum(np.take_along_axis(histograms, order[:, :, None], axis=1), axis=1)
-        r = total[:, None] - l
-        fits = (l[..., 2] >= growth.min_rows) & (r[..., 2] >= growth.min_rows)
-        fits &= (l[..., 1] >= LEAST_HESSIAN) & (r[..., 1] >= LEAST_HESSIAN)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            better = _worth(l[..., 0], l[..., 1], growth.l1, l2) + _worth(r[..., 0], r[..., 1], growth.l1, l2)
-            better -= _worth(total[:, 0], total[:, 1], growth.l1, l2[:, 0])[:, None]
-        better = np.where(fits, better, -1.0)
-        place = better.argmax(axis=1)
-        found = better[np.arange(count), place]
-        for k in np.flatnonzero(found > gain):
-            gain[k], sums[k], left[k] = found[k], l[k, place[k]], False
-            left[k, order[k, : place[k] + 1]] = True
+    gain, left, sums = np.full(count, -1.0), np.zeros((count, width), bool), np.zeros((count, 3))
+    for kind in (False, True):
+        some = np.flatnonzero(categorical == kind)
+        if not len(some):
+            continue
+        own, natural = histograms[some], np.arange(width)
+        orders = [np.broadcast_to(natural, (len(some), width))]
+        if kind:
+            # Categories that no row has come last.
+            ratio = own[:, :, 0] / (own[:, :, 1] + CATEGORY_SMOOTHING)
+            orders = [np.argsort(np.where(own[:, :, 2] > 0, ratio, np.inf), axis=1, kind="stable")]
+            own = np.take_along_axis(own, orders[0][:, :, None], axis=1)
+        upto = np.cumsum(own, axis=1)
+        sides = [upto]
+        if not kind:
+            # Without the missing values, which then go right.
+            sides.insert(0, upto[:, 1:] - upto[:, :1])
+            orders.insert(0, np.broadcast_to(natural[1:], (len(some), width - 1)))
+        l2 = growth.l2 + (CATEGORY_L2 if kind else 0.0)
+        total = upto[:, -1:]
+        whole = _worth(total[..., 0], total[..., 1], growth.l1, l2)
+        for l, order in zip(sides, orders):
+            r = total - l
+            fits = (l[..., 2] >= growth.min_rows) & (r[..., 2] >= growth.min_rows)
+            fits &= (l[..., 1] >= LEAST_HESSIAN) & (r[..., 1] >= LEAST_HESSIAN)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                better = _worth(l[..., 0], l[..., 1], growth.l1, l2) + _worth(r[..., 0], r[..., 1], growth.l1, l2) - whole
+            better = np.where(fits, better, -1.0)
+            place = better.argmax(axis=1)
+            rows = np.arange(len(some))
+            found = better[rows, place]
+            ahead = found > gain[some]
+            for k in rows[ahead]:
+                left[some[k]] = False
+                left[some[k], order[k, : place[k] + 1]] = True
+            sums[some[ahead]] = l[rows, place][ahead]
+            gain[some[ahead]] = found[ahead]
     return gain, left, sums
 
 
@@ -477,12 +489,14 @@ def _grow_in_one_task(
                 sums.add(own, gradient, hessian)  # noqa: B023
                 whole = sums.whole().astype(np.float64)
                 whole[..., :2] *= _UNIT
-                found = {}
-                for node, part in zip(wanted, whole):
-                    gain, left, split = best_splits(part, categorical[features], growth)  # noqa: B023
-                    best = int(gain.argmax())
-                    found[node] = (gain[best], int(features[best]), left[best], split[best], part[best].sum(axis=0))  # noqa: B023
-                return found
+                flat = whole.reshape(-1, inputs.width, 3)
+                parts = best_splits(flat, np.tile(categorical[features], len(wanted)), growth)  # noqa: B023
+                gain, left, split = (part.reshape(len(wanted), len(features), *part.shape[1:]) for part in parts)  # noqa: B023
+                best = gain.argmax(axis=1)
+                total = whole[:, 0].sum(axis=1)
+                return {
+                    node: (gain[i, b], int(features[b]), left[i, b], split[i, b], total[i]) for i, (node, b) in enumerate(zip(wanted, best))  # noqa: B023
+                }
 
             done.append(_grown(inputs.width, growth, rate, measure))
             margin = margin + done[-1].added(bins)

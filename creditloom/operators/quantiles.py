@@ -1,9 +1,11 @@
-"""Exact quantiles of many columns in two scans.
+"""Exact quantiles of many columns in a few scans.
 
 Sorting a column, or handing it to an exact percentile aggregate, gathers it in one task. Instead a first
 scan brackets each quantile with a mergeable approximate percentile, and a second scan counts what lies below
 each bracket exactly and keeps only the distinct values inside it, with their counts. The brackets hold a
-fraction of a percent of the rows, and frequent values are counted before anything is moved.
+fraction of a percent of the rows, and frequent values are counted before anything is moved. Where that fraction could still
+be more than ``_BRACKET`` values, brackets are narrowed first: rows below and inside are counted, the inside is sketched
+again, and so on, so the last step sees a bounded number of values whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -16,6 +18,9 @@ from pyspark.sql import functions as F
 # Rank resolution of the sketch that brackets a quantile.
 _ACCURACY = 10_000
 
+# Values of one bracket that the last step may see.
+_BRACKET = 200_000
+
 _SCHEMA = "column_name string, probability double, value double"
 
 
@@ -34,16 +39,18 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     listed = ", ".join(f"CAST({b!r} AS DOUBLE)" for b in bounds)
     # One row: the brackets of every column.
     sketched = numbers.agg(
-        *[F.expr(f"percentile_approx(`{c}`, array({listed}), {accuracy}) AS b{i}") for i, c in enumerate(columns)]
+        *[F.expr(f"percentile_approx(`{c}`, array({listed}), {accuracy}) AS b{i}") for i, c in enumerate(columns)],
+        *[F.expr(f"count(`{c}`) AS n{i}") for i, c in enumerate(columns)],
     ).first()
     asked = [
-        (c, float(p), found[2 * i], found[2 * i + 1])
-        for c, found in zip(columns, sketched)
+        (c, float(p), found[2 * i], found[2 * i + 1], rows)
+        for c, found, rows in zip(columns, sketched, sketched[len(columns) :])
         if found
         for i, p in enumerate(probabilities)
     ]
     if not asked:
         return spark.createDataFrame([], _SCHEMA)
+    asked = _narrowed(numbers, asked)
 
     # Each value falls below, inside or above each bracket of its column.
     placed = ", ".join(
@@ -94,5 +101,40 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     return found.select("column_name", "probability", value.alias("value"))
 
 
+def _narrowed(numbers: DataFrame, asked: list[tuple]) -> list[tuple]:
+    """column, probability, low, high of brackets that hold at most ``_BRACKET`` distinct values.
+
+    A bracket of a sketch holds its margins and as much again as the sketch's error, of all rows or of the rows sketched.
+    """
+    share = 6.0 / _ACCURACY
+    done = {i: a[:4] for i, a in enumerate(asked) if a[4] * share <= _BRACKET}
+    wide = {i: a for i, a in enumerate(asked) if i not in done}
+    while wide:
+        inside = {i: f"`{c}` BETWEEN {_double(low)} AND {_double(high)}" for i, (c, _, low, high, _) in wide.items()}
+        counts = numbers.selectExpr(
+            *[f"count_if(`{c}` < {_double(low)}) AS b{i}" for i, (c, _, low, _, _) in wide.items()],
+            *[f"count_if({test}) AS i{i}" for i, test in inside.items()],
+        ).first()
+        ranks = {}
+        for i, (_, p, _, _, n) in wide.items():
+            place, margin = (p * (n - 1) - counts[f"b{i}"]) / max(counts[f"i{i}"] - 1, 1), 2.0 / _ACCURACY
+            ranks[i] = [min(max(place + d, 0.0), 1.0) for d in (-margin, margin)]
+        cuts = numbers.selectExpr(
+            *[
+                f"percentile_approx(CASE WHEN {inside[i]} THEN `{a[0]}` END, array({ranks[i][0]!r}D, {ranks[i][1]!r}D), {_ACCURACY}) AS c{i}"
+                for i, a in wide.items()
+            ]
+        ).first()
+        for i, (c, p, low, high, n) in list(wide.items()):
+            closer = (max(low, cuts[f"c{i}"][0]), min(high, cuts[f"c{i}"][1]))
+            # One frequent value can be most of a bracket; then there is nothing left to narrow.
+            if counts[f"i{i}"] * share <= _BRACKET or closer == (low, high):
+                done[i] = (c, p, *closer)
+                del wide[i]
+            else:
+                wide[i] = (c, p, *closer, n)
+    return [done[i] for i in sorted(done)]
+
+
 def _double(value: float) -> str:
     return f"CAST('{value!r}' AS DOUBLE)"

@@ -37,6 +37,8 @@ NUMERIC = [
 ]
 
 SETTINGS = modelling.BoostingSettings()
+# Twenty fits: larger steps and less patience, everything else as in a full run.
+STUDY_SETTINGS = modelling.BoostingSettings(learning_rate=0.1, patience=20)
 
 
 # Stored tables and trained models by application, data folder and source.
@@ -144,7 +146,7 @@ def _isotonic_calibration(t) -> DataFrame:
 
 @query("imbalance_study")
 def _imbalance_study(t) -> DataFrame:
-    scores = materialise(modelling.strategy_scores(stored_matrix(t), SETTINGS), "study-scores")
+    scores = materialise(modelling.strategy_scores(stored_matrix(t), STUDY_SETTINGS), "study-scores")
     return modelling.strategy_summary(modelling.fold_scores(scores, ["strategy", "fold"]))
 
 

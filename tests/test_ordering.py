@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from creditloom.operators.ordering import global_ntile, global_position, running_totals
+from creditloom.operators import quantiles
 from creditloom.operators.quantiles import exact_quantiles
 from tests.conftest import plan_of
 
@@ -70,3 +71,21 @@ def test_quantiles_of_a_large_column(spark, many_partitions):
     got = {r["probability"]: r["value"] for r in exact_quantiles(df, ["x"], [0.05, 0.5, 0.99]).collect()}
     for p in (0.05, 0.5, 0.99):
         assert got[p] == pytest.approx(np.quantile(values, p), rel=1e-12)
+
+
+@pytest.mark.parametrize("kind", ["distinct", "frequent"])
+def test_brackets_are_narrowed_until_few_values_are_left(spark, monkeypatch, kind):
+    monkeypatch.setattr(quantiles, "_ACCURACY", 200)
+    monkeypatch.setattr(quantiles, "_BRACKET", 60)
+    seen = []
+    narrowed = quantiles._narrowed
+    monkeypatch.setattr(quantiles, "_narrowed", lambda numbers, asked: seen.append(narrowed(numbers, asked)) or seen[-1])
+    x = np.random.default_rng(1).permutation(30_000) * 0.5
+    if kind == "frequent":
+        x[:20_000] = 77.0
+    df = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(5)
+    asked = [0.0, 0.031, 0.5, 0.77, 1.0]
+    got = {r["probability"]: r["value"] for r in exact_quantiles(df, ["x"], asked).collect()}
+    assert got == {p: pytest.approx(float(np.quantile(x, p)), abs=1e-9) for p in asked}
+    for _, _, low, high in seen[0]:
+        assert len(np.unique(x[(x >= low) & (x <= high)])) <= 60
