@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditloom.functions import FINE_PLACES, exact_mean, exact_sum, ratio
-from creditloom.operators.ordering import bin_of_position, global_position, running_totals
+from creditloom.operators.ordering import bin_of_position, block_totals, global_position, running_totals, stored_in_order, with_next
 
 # Resolutions of sums of probabilities and of rates, whose addends never exceed one.
 
@@ -26,13 +26,14 @@ FALSE_POSITIVE_COST = 1.0
 ROC_POINTS = 200
 
 
+def _score_counts(scored: DataFrame, label: str, score: str) -> DataFrame:
+    counts = {"n": F.count(F.lit(1)), "pos": F.sum(F.col(label).cast("long"))}
+    return scored.groupBy(F.col(score).alias("score")).agg(*[c.alias(n) for n, c in counts.items()])
+
+
 def score_ladder(scored: DataFrame, label: str = "y", score: str = "p") -> DataFrame:
     """``score, n, pos`` per distinct score, highest first, with the counts above it and the totals."""
-    counts = (
-        scored.groupBy(F.col(score).alias("score"))
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    )
-    return running_totals(counts, [F.col("score").desc()], ["n", "pos"])
+    return running_totals(_score_counts(scored, label, score), [F.col("score").desc()], ["n", "pos"])
 
 
 def _cumulative() -> dict[str, Column]:
@@ -120,22 +121,15 @@ def ranking_metrics(scored: DataFrame, label: str = "y", score: str = "p", by: S
 
 def roc_curve(scored: DataFrame, label: str = "y", score: str = "p", points: int = ROC_POINTS) -> DataFrame:
     """``point, fpr, tpr`` from (0, 0) on, without points on a straight line, evenly thinned to ``points``."""
-    ladder = score_ladder(scored, label, score).withColumn("one", F.lit(1).cast("long"))
+    # One stored order serves the counts, the neighbours and the numbering of the corners.
+    ordered = stored_in_order(_score_counts(scored, label, score).withColumn("one", F.lit(1).cast("long")), [F.col("score").desc()])
+    ladder = with_next(block_totals(ordered, ["n", "pos", "one"]), ["n", "pos"])
     # A point is a corner when the counts change from this score to the next.
-    numbered = running_totals(ladder, [F.col("score").desc()], ["one"])
-    following = numbered.select(
-        (F.col("one_before") - 1).alias("one_before"), F.col("n").alias("next_n"), F.col("pos").alias("next_pos")
-    )
     at_end = (F.col("one_before") == 0) | (F.col("one_before") == F.col("one_total") - 1)
     bends = (F.col("n") != F.col("next_n")) | (F.col("pos") != F.col("next_pos"))
-    corners = numbered.join(following, "one_before", "left").filter(
-        at_end | bends | (F.col("one_total") <= 2)
-    )
-    kept = running_totals(
-        corners.select("score", "one", *[c.alias(k) for k, c in _cumulative().items()]),
-        [F.col("score").desc()],
-        ["one"],
-    )
+    corner = F.coalesce(at_end | bends | (F.col("one_total") <= 2), F.lit(False))
+    numbered = block_totals(ladder.withColumn("one", corner.cast("long")).drop("one_total", "one_before"), ["one"])
+    kept = numbered.filter("one = 1").select("one_before", "one_total", *[c.alias(k) for k, c in _cumulative().items()])
     origin = (
         kept.agg(F.max("one_total").alias("one_total"))
         .filter(F.col("one_total").isNotNull())

@@ -53,13 +53,32 @@ def global_position(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     return ordered.withColumn("position", position).drop("_slot", "_block", "_n_before")
 
 
-def running_totals(df: DataFrame, order: Sequence[Column], columns: Sequence[str]) -> DataFrame:
-    """Add, for each whole-number column ``c``, ``c_before`` (sum over earlier rows) and ``c_total``."""
-    ordered = _with_offsets(stored_in_order(df, order), {c: F.sum(c) for c in columns})
+def block_totals(ordered: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Add, for each whole-number column ``c`` of a stored order, ``c_before`` (sum over earlier rows) and ``c_total``."""
+    summed = _with_offsets(ordered, {c: F.sum(c) for c in columns})
     inside = Window.partitionBy("_block").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
     totals = {f"{c}_before": F.col(f"_{c}_before") + F.coalesce(F.sum(c).over(inside), zero) for c in columns}
-    return ordered.withColumns(totals).drop("_slot", "_block", *[f"_{c}_before" for c in columns])
+    return summed.withColumns(totals).drop(*[f"_{c}_before" for c in columns])
+
+
+def running_totals(df: DataFrame, order: Sequence[Column], columns: Sequence[str]) -> DataFrame:
+    """Add, for each whole-number column ``c``, ``c_before`` (sum over earlier rows) and ``c_total``."""
+    return block_totals(stored_in_order(df, order), columns).drop("_slot", "_block")
+
+
+def with_next(ordered: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Add, for each column ``c`` of a stored order, ``next_c`` of the row that follows, NULL at the end.
+
+    A block's last row is followed by the first one of the next block that has rows.
+    """
+    first = ordered.groupBy("_block").agg(F.min_by(F.struct(*columns), "_slot").alias("_first"))
+    # One row per range partition.
+    border = first.select("_block", F.lead("_first").over(Window.orderBy("_block")).alias("_border"))
+    inside = Window.partitionBy("_block").orderBy("_slot")
+    joined = ordered.withColumn("_inside", F.lead(F.struct(*columns)).over(inside)).join(F.broadcast(border), "_block")
+    following = F.coalesce("_inside", "_border")
+    return joined.withColumns({f"next_{c}": following[c] for c in columns}).drop("_inside", "_border")
 
 
 def tile_of_position(tiles: int) -> Column:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from creditloom.operators import bands, evaluation
+from tests.conftest import plan_of
 
 
 def frame(spark, y, p):
@@ -132,13 +133,17 @@ def roc_points(y, p, limit=200):
 
 
 @pytest.mark.parametrize(("n", "decimals"), [(60, 1), (1500, None)])
-def test_roc_curve(spark, many_partitions, n, decimals):
+def test_roc_curve(spark, many_partitions, monkeypatch, n, decimals):
+    orders = []
+    stored = evaluation.stored_in_order
+    monkeypatch.setattr(evaluation, "stored_in_order", lambda *a: orders.append(1) or stored(*a))
     y, p = sample(n, 4, decimals)
     got = sorted(evaluation.roc_curve(frame(spark, y, p)).collect(), key=lambda r: r["point"])
     expected = [(a / (y == 0).sum(), b / (y == 1).sum()) for a, b in roc_points(y, p)]
     assert len(got) == len(expected)
     assert np.allclose([(r["fpr"], r["tpr"]) for r in got], expected)
-    assert len(got) <= 200
+    assert len(got) <= 200 and len(orders) == 1
+    assert "rangepartitioning" not in plan_of(evaluation.roc_curve(frame(spark, y, p)))
 
 
 def test_bands_and_their_application(spark, many_partitions):
