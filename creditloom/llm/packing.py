@@ -8,8 +8,9 @@ with the largest imbalances are merged again and again, the fullest windows of o
 one partition is left. Its windows are near equal. If one of them exceeds the capacity, the group is parted anew into one
 window more. Items of a document that meet again in a window, one after the other, become one piece.
 
-The end of a task's input has no full group; its ids are laid out in windows of the capacity, and what is left over in
-windows whose lengths are the powers of two that add up to it, so they need no padding.
+The end of a task's input, or all of a small one, has no full group; it is differenced in the same way into as many
+windows as it fills. What is left over, less than a window and the slack, is laid out in windows whose lengths are the powers of
+two that add up to it, so they need no padding.
 """
 
 from __future__ import annotations
@@ -88,7 +89,9 @@ class WordIds(dict):
 
     def of(self, text: str) -> bytes:
         """The ids of a text: those of its words in turn, since the tokenizer never joins two of them."""
-        return b"".join(map(self.__getitem__, _SPACE.split(text)))
+        # Python takes four separators for white space that the tokenizer does not.
+        odd = any(mark in text for mark in "\x1c\x1d\x1e\x1f")
+        return b"".join(map(self.__getitem__, _SPACE.split(text) if odd else text.split()))
 
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:
@@ -186,7 +189,7 @@ def packed(
 
     Each id of each document lies in exactly one piece. A null or empty text has the end id alone; repeated rows are
     documents of their own; no documents give no rows. Columns besides doc_id and text are not read. ``slack`` ids of
-    a group are left for the imbalance that differencing leaves. A sequence number holds the task's partition, so a
+    a full group, and their share of a smaller one, are left for the imbalance that differencing leaves. A sequence number holds the task's partition, so a
     task that runs again gives the same numbers to the rows that it packs.
     """
 
@@ -225,6 +228,13 @@ def packed(
                 if len(out) >= 4096:
                     yield _batch(out)
                     out = []
+        windows = held // capacity
+        if windows:
+            group, waiting = _cut(waiting, windows * capacity - -(-slack * windows // group_windows))
+            # Fewer windows are balanced by smaller items, as many as a full group has.
+            size = max(1, item_tokens * windows // group_windows)
+            items = [(doc, start + i, ids[4 * i : 4 * (i + size)], total) for doc, start, ids, total in group for i in range(0, len(ids) // 4, size)]
+            out.extend(rows(pack_group(items, windows, capacity)))
         out.extend(rows(pack_rest(waiting, capacity)))
         if out:
             yield _batch(out)

@@ -75,3 +75,22 @@ def test_the_rest_needs_no_padding():
     windows = list(pack_rest([(1, 0, b"\0" * 4 * 300, 300), (2, 0, b"\0" * 4 * 77, 77)], 128))
     lengths = [sum(len(p[2]) // 4 for p in w) for w in windows]
     assert lengths == [128, 128, 64, 32, 16, 8, 1]
+
+
+def test_small_tasks_are_differenced_too(spark):
+    """Many tasks of a few windows each: nearly all windows come out of a differencing, and padding stays below a hundredth."""
+    from tests.conftest import SF
+
+    documents = spark.read.parquet(f"{SF}/documents.parquet").repartition(19)
+    texts = {r.doc_id: r.text for r in documents.select("doc_id", "text").collect()}
+    rows = packed(documents, PATH).collect()
+    assert check_pieces(rows, texts, 2048) > 0.99
+    total = {}
+    for r in rows:
+        total[r.sequence_id] = total.get(r.sequence_id, 0) + r.length
+    tasks = {s >> 33 for s in total}
+    for task in tasks:
+        own = [n for s, n in total.items() if s >> 33 == task]
+        powers = [n for n in own if n & (n - 1) == 0]
+        assert len(powers) - powers.count(2048) <= 13
+        assert min((n for n in own if n & (n - 1)), default=2048) > 2048 - 3 * 48
