@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from creditloom.functions import FINE_PLACES, exact_mean, exact_sum, is_not_employed
 from creditloom.operators.application import ID, LABEL
+from creditloom.operators.heavy_keys import join_parents
 from creditloom.operators.ordering import global_ntile
 from creditloom.operators.segments import age_band, mean_days_late, rate_by_segment, tenure_band
 
@@ -110,7 +111,8 @@ def exposure_by_outcome(applications: DataFrame, bureau: DataFrame) -> DataFrame
 
 
 def credits_by_gender(applications: DataFrame, bureau: DataFrame) -> DataFrame:
-    joined = applications.select(ID, "CODE_GENDER").join(bureau.select(ID, "SK_ID_BUREAU"), ID)
+    """Distinct credits per gender; a client with very many credits does not fill one task."""
+    joined = join_parents(bureau.select(ID, "SK_ID_BUREAU"), applications.select(ID, "CODE_GENDER"), ID)
     return joined.groupBy("CODE_GENDER").agg(F.countDistinct("SK_ID_BUREAU").alias("credits"))
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from creditloom.functions import HASH_SPACE, spread_hash
 from creditloom.operators.application import ID, LABEL
+from creditloom.sources.intermediate import materialise
 
 # Size of the reduced portfolio and the share of unlabelled applicants it keeps.
 REDUCED_PORTFOLIO_SIZE = 50_000
@@ -71,63 +72,41 @@ def fit_hash_cuts(
 ) -> HashCuts:
     """Locate every quota: one aggregate, then a ranking of the few cells in which quotas end.
 
-    The driver sees at most one count per histogram cell and stratum, and one row per cut. Rows whose stratum is NULL
-    take no part: they are in no sample, and their split or fold is NULL.
+    The driver sees one size per stratum and one row per cut; the counts of the cells stay distributed. Rows whose stratum is
+    NULL take no part: they are in no sample, and their split or fold is NULL.
     """
-    counted = (
-        df.filter(F.col(stratum).isNotNull())
-        .groupBy(F.col(stratum).alias("stratum"), _cell(key, seed).alias("cell"))
-        .count()
-        .orderBy("stratum", "cell")
-        .collect()
-    )
-    cells: dict[object, list[tuple[int, int]]] = {}
-    for row in counted:
-        cells.setdefault(row["stratum"], []).append((row["cell"], row["count"]))
-    if not cells:
-        raise ValueError("no rows to cut")
-    sizes = {s: sum(n for _, n in rows) for s, rows in cells.items()}
-    total = sum(sizes.values())
-
-    # (stratum, cell, rank inside the cell) of the last row before each cut
-    wanted: dict[object, list[tuple[int, int] | None]] = {}
-    for s, rows in cells.items():
-        upto = list(accumulate(n for _, n in rows))
-        wanted[s] = []
-        for quota in quotas(sizes[s], total):
-            quota = min(quota, sizes[s])
-            if quota < 1:
-                wanted[s].append(None)
-                continue
-            i = next(i for i, reached in enumerate(upto) if reached >= quota)
-            wanted[s].append((rows[i][0], quota - (upto[i] - rows[i][1])))
-
-    targets = {(s, t) for s, marks in wanted.items() for t in marks if t}
-    found = _ranked_rows(df, targets, key, stratum, seed)
-    ends = {s: [found[(s, m)] if m else None for m in marks] for s, marks in wanted.items()}
-    return HashCuts(key, stratum, seed, sizes, ends)
-
-
-def _ranked_rows(df: DataFrame, targets: set, key: str, stratum: str, seed: int) -> dict:
-    if not targets:
-        return {}
-    marked = df.select(
+    spark = df.sparkSession
+    kind = df.select(F.col(stratum).alias("stratum")).schema["stratum"].dataType.simpleString()
+    marked = df.filter(F.col(stratum).isNotNull()).select(
         F.col(stratum).alias("stratum"),
         F.col(key).cast("long").alias("k"),
         spread_hash(key, seed).alias("h"),
         _cell(key, seed).alias("cell"),
     )
-    # One row per cut.
-    spark = df.sparkSession
-    kind = df.select(F.col(stratum).alias("stratum")).schema["stratum"].dataType.simpleString()
-    wanted = spark.createDataFrame(
-        [(s, cell, rank) for s, (cell, rank) in targets], f"stratum {kind}, cell long, rank long"
-    )
-    in_cells = marked.join(F.broadcast(wanted.select("stratum", "cell").distinct()), ["stratum", "cell"], "left_semi")
-    order = Window.partitionBy("stratum", "cell").orderBy("h", "k")
-    ranked = in_cells.withColumn("rank", F.row_number().over(order).cast("long"))
-    rows = ranked.join(F.broadcast(wanted), ["stratum", "cell", "rank"], "left_semi").collect()
-    return {(r["stratum"], (r["cell"], r["rank"])): (r["h"], r["k"]) for r in rows}
+    # At most 2 ** 14 cells a stratum.
+    counted = materialise(marked.groupBy("stratum", "cell").agg(F.count(F.lit(1)).alias("n")), "cells")
+    sizes = {r["stratum"]: r["n"] for r in counted.groupBy("stratum").agg(F.sum("n").alias("n")).collect()}
+    if not sizes:
+        raise ValueError("no rows to cut")
+    total = sum(sizes.values())
+    asked = {s: [min(quota, n) for quota in quotas(n, total)] for s, n in sizes.items()}
+    ends: dict[object, list[tuple[int, int] | None]] = {s: [None] * len(q) for s, q in asked.items()}
+    cuts = [(s, i, quota) for s, of_stratum in asked.items() for i, quota in enumerate(of_stratum) if quota >= 1]
+    if cuts:
+        upto = F.sum("n").over(Window.partitionBy("stratum").orderBy("cell"))
+        ladder = counted.withColumn("upto", upto)
+        wanted = spark.createDataFrame(cuts, f"stratum {kind}, cut int, quota long")
+        # The cell in which a quota ends, and its last row's place there.
+        inside = (F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota"))
+        marks = ladder.join(wanted, "stratum").filter(inside)
+        marks = materialise(marks.select("stratum", "cell", "cut", (F.col("quota") - F.col("upto") + F.col("n")).alias("rank")), "marks")
+        # One row per cut on the right.
+        in_cells = marked.join(marks.select("stratum", "cell").distinct(), ["stratum", "cell"], "left_semi")
+        order = Window.partitionBy("stratum", "cell").orderBy("h", "k")
+        ranked = in_cells.withColumn("rank", F.row_number().over(order).cast("long"))
+        for r in ranked.join(marks, ["stratum", "cell", "rank"]).select("stratum", "cut", "h", "k").collect():
+            ends[r["stratum"]][r["cut"]] = (r["h"], r["k"])
+    return HashCuts(key, stratum, seed, sizes, ends)
 
 
 def _nearest(x: float) -> int:
