@@ -32,45 +32,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditloom.llm.components import components
-from creditloom.llm.text import PrefixHash, lower_ascii, mix, pieces, text_bytes, word_bounds
+from creditloom.llm.meetings import confirmed
+from creditloom.llm.text import mix, pieces, shingle_sets
 from creditloom.sources.intermediate import materialise
 
 # Members of one bucket that are compared by sketches in one block.
 BLOCK = 1024
-# Words of 64 bits in the sketch that every set carries along.
-SHORT_SKETCH = 16
+# The fewest words of 64 bits in the sketch that every set carries along.
+SHORT_SKETCH = 8
 _BAND_MASK = 0xFF
 _LARGEST_SET = 1 << 40
 
 
-def shingle_sets(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct shingle hashes of all texts of a batch, and where each row's begin (one more at the end)."""
-    data, offsets = text_bytes(batch.column("text"))
-    data = lower_ascii(data)
-    starts, ends, before = word_bounds(data, offsets)
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(batch.num_rows + 1, np.int64)
-    words = PrefixHash(data).ranges(starts, ends)
-    n_words = np.diff(before)
-    # Runs are formed everywhere and dropped where they would reach into the next row.
-    last = np.repeat(before[1:], n_words)
-    place = np.arange(len(words))
-    length = np.minimum(width, np.repeat(n_words, n_words))
-    runs = np.zeros(len(words), np.uint64)
-    for j in range(width):
-        taken = j < length
-        follower = words[np.minimum(place + j, len(words) - 1)]
-        runs = np.where(taken, mix(runs * np.uint64(0x9E3779B97F4A7C15) + follower + np.uint64(j + 1)), runs)
-    whole = place + length <= last
-    rows = np.repeat(np.arange(batch.num_rows), n_words)[whole]
-    runs = runs[whole]
-    order = np.lexsort((runs, rows))
-    runs, rows = runs[order], rows[order]
-    fresh = np.ones(len(runs), bool)
-    fresh[1:] = (runs[1:] != runs[:-1]) | (rows[1:] != rows[:-1])
-    return runs[fresh], np.searchsorted(rows[fresh], np.arange(batch.num_rows + 1))
-
-
 @cache
 def _band_starts(similarity_percent: int) -> tuple[int, ...]:
     """The smallest set size of every band; each similarity has its own, whatever the process was asked before."""
@@ -95,6 +68,19 @@ def parts_of(band: int, similarity_percent: int) -> int:
     return most_difference(2 * (_band_starts(similarity_percent)[band + 1] - 1), similarity_percent) + 2
 
 
+def sketch_words(size: int) -> int:
+    """The words of the sketch that a set carries along: a power of two, with one to two bits for a shingle.
+
+    Any width gives a bound; this one tells sets apart that share a third. A wide sketch folds into a narrower one.
+    """
+    return max(SHORT_SKETCH, 1 << max(0, size.bit_length() - 6))
+
+
+def folded(drawn: np.ndarray, words: int) -> np.ndarray:
+    """The narrower sketch that a carried one contains; both widths are powers of two."""
+    return np.bitwise_xor.reduce(drawn.reshape(-1, words), axis=0)
+
+
 def sketch(hashes: np.ndarray, parts: int) -> np.ndarray:
     """The parity sketch of one set: ``parts`` words of 64 bits."""
     out = np.zeros(parts, np.uint64)
@@ -120,19 +106,6 @@ def bucket_keys(hashes: np.ndarray, band: int, similarity_percent: int) -> np.nd
     return (spread & ~np.uint64(_BAND_MASK)) | np.uint64(band)  # 8 bits tell 200 bands, sets of 10**9 shingles
 
 
-def similar(one: np.ndarray, other: np.ndarray, similarity_percent: int) -> bool:
-    """Whether two sorted sets reach the similarity: first by sketches, then by their elements."""
-    total = len(one) + len(other)
-    limit = most_difference(total, similarity_percent)
-    if abs(len(one) - len(other)) > limit:
-        return False
-    parts = limit + 1
-    if int(np.bitwise_count(sketch(one, parts) ^ sketch(other, parts)).sum()) > limit:
-        return False
-    shared = len(np.intersect1d(one, other, assume_unique=True))
-    return 100 * shared >= similarity_percent * (total - shared)
-
-
 def _digests(documents: DataFrame, width: int) -> DataFrame:
     """doc_id, the set's size and a 128-bit digest of the set, for every row."""
 
@@ -144,7 +117,7 @@ def _digests(documents: DataFrame, width: int) -> DataFrame:
                 np.cumsum(hashes, out=sums[0][1:])
                 np.cumsum(mix(hashes), out=sums[1][1:])
                 columns = [pa.array((s[begins[1:]] - s[begins[:-1]]).view(np.int64)) for s in sums]
-                drawn = [sketch(hashes[a:b], SHORT_SKETCH).tobytes() for a, b in zip(begins[:-1], begins[1:])]
+                drawn = [sketch(hashes[a:b], sketch_words(int(b - a))).tobytes() for a, b in zip(begins[:-1], begins[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(np.diff(begins), pa.int64()), *columns, pa.array(drawn, pa.binary())],
                     ["doc_id", "n_shingles", "high", "low", "sketch"],
@@ -182,7 +155,7 @@ def _buckets(documents: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that sizes and short sketches do not rule out; a bound, so no link is lost.
+    """Those of the pairs (a, b) that sizes and carried sketches do not rule out; a bound, so no link is lost.
 
     ``sketches`` has doc_id, n_shingles and sketch.
     """
@@ -192,10 +165,12 @@ def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             size = [batch.column(f"n_{side}").to_numpy() for side in "ab"]
-            bits = [np.frombuffer(b"".join(batch.column(f"sketch_{side}").to_pylist()), np.uint64) for side in "ab"]
-            distance = np.bitwise_count(bits[0] ^ bits[1]).reshape(batch.num_rows, -1).sum(axis=1)
             limit = (size[0] + size[1]) * (100 - percent) // (100 + percent)
-            good = (distance <= limit) & (np.abs(size[0] - size[1]) <= limit)
+            good = np.abs(size[0] - size[1]) <= limit
+            for i in np.flatnonzero(good):
+                drawn = [np.frombuffer(batch.column(f"sketch_{side}")[i].as_buffer(), np.uint64) for side in "ab"]
+                words = min(map(len, drawn))
+                good[i] = np.bitwise_count(folded(drawn[0], words) ^ folded(drawn[1], words)).sum() <= limit[i]
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
     joined = pairs
@@ -205,49 +180,6 @@ def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(sift, "a long, b long")
 
 
-def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose texts' sets reach the similarity."""
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, "text_a", 1 << 20):
-                sides = []
-                for side in "ab":
-                    rows = pa.RecordBatch.from_arrays([part.column(f"text_{side}")], ["text"])
-                    sides.append(shingle_sets(rows, width))
-                (one, at), (other, to) = sides
-                good = [
-                    similar(one[at[i] : at[i + 1]], other[to[i] : to[i + 1]], percent) for i in range(part.num_rows)
-                ]
-                kept = part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-                if kept.num_rows:
-                    yield kept
-
-    joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
-    joined = joined.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
-
-
-def _sketches(wanted: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The sketch that each wanted document (doc_id) has in the group of each wanted band, with the set's size."""
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch):
-                hashes, begins = shingle_sets(part, width)
-                drawn = [
-                    sketch(hashes[begins[i] : begins[i + 1]], parts_of(band, percent)).tobytes()
-                    for i, band in enumerate(part.column("band").to_pylist())
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("band"), pa.array(np.diff(begins)), pa.array(drawn, pa.binary())],
-                    ["doc_id", "band", "size", "sketch"],
-                )
-
-    joined = texts.join(wanted.hint("merge"), "doc_id").select("doc_id", "band", "text")
-    return joined.mapInArrow(draw, "doc_id long, band long, size long, sketch binary")
-
-
 def _pairs_of_block(members: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Pairs of different components in one block whose sketches do not rule the similarity out.
 
@@ -257,27 +189,23 @@ def _pairs_of_block(members: pd.DataFrame, percent: int) -> pd.DataFrame:
     rows, columns = (members, members) if alone else (members[members.part == members.lo], members[members.part == members.hi])
     found = []
     if len(rows) and len(columns):
-        sketches = np.stack([np.frombuffer(s, np.uint64) for s in columns["sketch"]])
+        words = members["sketch"].str.len().min() // 8
+        narrow = lambda drawn: folded(np.frombuffer(drawn, np.uint64), words)
+        sketches = np.stack([narrow(s) for s in columns["sketch"]])
         size, component, doc = (columns[c].to_numpy() for c in ("size", "component", "doc_id"))
         for one in zip(rows["doc_id"], rows["component"], rows["size"], rows["sketch"]):
             limit = (size + one[2]) * (100 - percent) // (100 + percent)
-            distance = np.bitwise_count(sketches ^ np.frombuffer(one[3], np.uint64)).sum(axis=1)
+            distance = np.bitwise_count(sketches ^ narrow(one[3])).sum(axis=1)
             good = (distance <= limit) & (component != one[1])
             found.extend((min(one[0], d), max(one[0], d)) for d in doc[good])
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64").drop_duplicates()
 
 
-def _texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The texts that a verification of the pairs (a, b) reads."""
-    concerned = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    return materialise(texts.join(concerned.hint("merge"), "doc_id", "left_semi"), "texts")
-
-
-def _pairs_across_components(crowded: DataFrame, found: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _pairs_across_components(crowded: DataFrame, found: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket and that their sketches do not rule out.
 
-    ``crowded`` holds the distinct (bucket, doc_id), ``found`` the components so far. ``texts`` has every member: one
-    whose comparison with the bucket's smallest document was ruled out may still belong to another member.
+    ``crowded`` holds the distinct (bucket, doc_id), ``found`` the components so far, ``sketches`` every set's size and
+    carried sketch.
     """
     labelled = crowded.join(found.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").withColumn(
         "component", F.coalesce("component", "doc_id")
@@ -287,17 +215,13 @@ def _pairs_across_components(crowded: DataFrame, found: DataFrame, texts: DataFr
     )
     # Two members have been compared with one another already.
     mixed = mixed.filter("first < last and members > 2").select("bucket", F.ceil(F.col("members") / BLOCK).alias("blocks"))
-    left = materialise(
-        labelled.join(mixed.hint("merge"), "bucket").withColumn("band", F.col("bucket").bitwiseAND(F.lit(_BAND_MASK)).cast("long")), "mixed"
-    )
-    drawn = _sketches(left.select("doc_id", "band").distinct(), texts, width, percent)
     part = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
     dealt = (
-        left.join(drawn.hint("merge"), ["doc_id", "band"])
+        labelled.join(mixed.hint("merge"), "bucket")
+        .join(sketches.withColumnRenamed("n_shingles", "size").hint("merge"), "doc_id")
         .withColumn("part", part)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .withColumn("lo", F.least("part", "other"))
-        .withColumn("hi", F.greatest("part", "other"))
+        .withColumns({"lo": F.least("part", "other").cast("int"), "hi": F.greatest("part", "other").cast("int"), "part": F.col("part").cast("int")})
         .select("bucket", "lo", "hi", "part", "doc_id", "component", "size", "sketch")
     )
     pairs = dealt.groupBy("bucket", "lo", "hi").applyInPandas(lambda rows: _pairs_of_block(rows, percent), "a long, b long")
@@ -335,12 +259,12 @@ def parity_join(documents: DataFrame, width: int = 3, percent: int = 90) -> Data
     )
     pairs = meetings.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs = materialise(_possible(pairs, sketches, percent), "pairs")
-    links = materialise(_links(pairs, _texts_of(pairs, texts), width, percent), "similar")
+    links = materialise(confirmed(pairs, texts, width, percent), "similar")
     found = components(links)
     in_buckets = crowded.join(by_id, "doc_id").select("bucket", F.col("class_id").alias("doc_id")).distinct()
-    across = _pairs_across_components(in_buckets, found, texts, width, percent)
+    across = _pairs_across_components(in_buckets, found, sketches, percent)
     across = materialise(across.join(pairs, ["a", "b"], "left_anti"), "across")
-    more = materialise(_links(across, _texts_of(across, texts), width, percent), "similar")
+    more = materialise(confirmed(across, texts, width, percent), "similar")
     if not more.isEmpty():
         found = components(links.unionByName(more))
     return class_of.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select(
