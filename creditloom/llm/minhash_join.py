@@ -10,8 +10,8 @@ an overlap join, and the candidates that it keeps are confirmed on the full sets
 * **Prefix.** All documents put their tokens into one order. Two that share ``t`` of ``k`` tokens share one at least of
   the first ``k - t + 1``, so only these are posted. The order runs from rare to frequent, by counts in a table of fixed
   size, so the long lists of a common passage are not merged at all. Any order is exact; this one keeps lists short.
-* **Skipping.** In each list, everyone is counted against the list's smallest document first; what that links needs no
-  further counting. Only lists that still hold several components are merged in full, and there only pairs of different
+* **Skipping.** In each list, everyone is counted against one document first, the one with the most frequent tokens, which copies
+  have in common with the text that they are copies of; what that links needs no further counting. Only lists that still hold several components are merged in full, and there only pairs of different
   components, in blocks of bounded size, whose sizes can reach the similarity.
 
 So no pair that agrees often enough is lost, and no list is written out as all its pairs.
@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.llm.components import components
-from creditloom.llm.parity_join import shingle_sets
-from creditloom.llm.text import mix, pieces
+from creditloom.llm.meetings import confirmed
+from creditloom.llm.parity_join import folded, most_difference, sketch, sketch_words
+from creditloom.llm.text import mix, pieces, shingle_sets
 from creditloom.sources.intermediate import materialise
 
 COORDINATES = 48
@@ -38,8 +39,6 @@ COORDINATES = 48
 MISSED = 1e-6
 # Members of one list that are counted against one another in one block.
 BLOCK = 1024
-# Documents confirmed against one copy of the text of the document that they met.
-MEETING = 256
 # Bits of the table of token counts, 2 MB whatever the input.
 COUNT_BITS = 18
 # Rows of whole blocks that are worked on at a time.
@@ -87,7 +86,10 @@ def _drawn(column: pa.Array) -> np.ndarray:
 
 
 def _signed(texts: DataFrame, width: int, coordinates: int) -> DataFrame:
-    """doc_id, the set's size, a 128-bit digest of the set and its signature, for every row."""
+    """doc_id, the set's size, a 128-bit digest of the set, its signature and a parity sketch, for every row.
+
+    The sketch is for the full-set check: it bounds the sets' difference, with two to four bits for a shingle.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,12 +98,13 @@ def _signed(texts: DataFrame, width: int, coordinates: int) -> DataFrame:
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64)]) for h in (hashes, mix(hashes))]
                 digests = [pa.array((s[begins[1:]] - s[begins[:-1]]).view(np.int64)) for s in sums]
                 drawn = [row.tobytes() for row in signatures(hashes, begins, coordinates)]
+                folds = [sketch(hashes[a:b], 2 * sketch_words(int(b - a))).tobytes() for a, b in zip(begins[:-1], begins[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.diff(begins), pa.int64()), *digests, pa.array(drawn, pa.binary())],
-                    ["doc_id", "n_shingles", "high", "low", "signature"],
+                    [part.column("doc_id"), pa.array(np.diff(begins), pa.int64()), *digests, pa.array(drawn, pa.binary()), pa.array(folds, pa.binary())],
+                    ["doc_id", "n_shingles", "high", "low", "signature", "sketch"],
                 )
 
-    return texts.mapInArrow(sign, "doc_id long, n_shingles long, high long, low long, signature binary")
+    return texts.mapInArrow(sign, "doc_id long, n_shingles long, high long, low long, signature binary, sketch binary")
 
 
 def _token_counts(classes: DataFrame) -> np.ndarray:
@@ -122,7 +125,10 @@ def _token_counts(classes: DataFrame) -> np.ndarray:
 
 
 def _postings(classes: DataFrame, counts: np.ndarray, prefix: int) -> DataFrame:
-    """token and doc_id for the first ``prefix`` tokens of every document, from rare to frequent."""
+    """token, doc_id and weight for the first ``prefix`` tokens of every document, from rare to frequent.
+
+    The weight adds the counts of all its tokens up: the text that others are copies of has more frequent ones than they.
+    """
     shared = classes.sparkSession.sparkContext.broadcast(counts)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,63 +138,65 @@ def _postings(classes: DataFrame, counts: np.ndarray, prefix: int) -> DataFrame:
                 times = shared.value[tokens >> np.uint64(64 - COUNT_BITS)]
                 first = np.lexsort((tokens, times), axis=1)[:, :prefix]
                 posted = np.take_along_axis(tokens, first, axis=1).ravel().view(np.int64)
-                docs = np.repeat(batch.column("doc_id").to_numpy(), prefix)
-                yield pa.RecordBatch.from_arrays([pa.array(posted), pa.array(docs)], ["token", "doc_id"])
+                docs, weights = (np.repeat(c, prefix) for c in (batch.column("doc_id").to_numpy(), times.sum(axis=1)))
+                yield pa.RecordBatch.from_arrays([pa.array(posted), pa.array(docs), pa.array(weights)], ["token", "doc_id", "weight"])
 
-    return classes.select("doc_id", "signature").mapInArrow(post, "token long, doc_id long")
+    return classes.select("doc_id", "signature").mapInArrow(post, "token long, doc_id long, weight long")
 
 
 def _size_reaches(one: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(one, other) >= percent * np.maximum(one, other)
 
 
+class _Sketches:
+    """The parity sketches of rows, at their own and at half their width."""
+
+    def __init__(self, column: pa.Array, sizes: np.ndarray) -> None:
+        self.sizes = sizes
+        drawn = [np.frombuffer(s, np.uint64) for s in column.to_pylist()]
+        self.words = np.array([len(d) for d in drawn], np.int64)
+        self.place = np.zeros((2, len(drawn)), np.int64)
+        self.by_words: dict[int, np.ndarray] = {}
+        for words in np.unique(np.concatenate([self.words, self.words // 2])).tolist():
+            rows = [np.flatnonzero(self.words == words), np.flatnonzero(self.words == 2 * words)]
+            self.place[0, rows[0]], self.place[1, rows[1]] = np.arange(len(rows[0])), len(rows[0]) + np.arange(len(rows[1]))
+            self.by_words[words] = np.array([drawn[i] for i in rows[0]] + [folded(drawn[i], words) for i in rows[1]], np.uint64).reshape(-1, words)
+
+    def allow(self, one: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
+        """Whether the sketches of rows of near sizes leave it possible that their sets reach the similarity."""
+        good = np.ones(len(one), bool)
+        shared = np.minimum(self.words[one], self.words[other])
+        for words in np.unique(shared).tolist():
+            some = np.flatnonzero(shared == words)
+            a, b = (self.by_words[words][self.place[(self.words[r[some]] > words).astype(int), r[some]]] for r in (one, other))
+            distance = np.bitwise_count(a ^ b).sum(axis=1)
+            good[some] = distance <= most_difference(self.sizes[one[some]] + self.sizes[other[some]], percent)
+        return good
+
+
 def _counted(pairs: DataFrame, classes: DataFrame, percent: int, least: int) -> DataFrame:
-    """Those of the pairs (a, b) that agree in ``least`` coordinates and whose sizes allow the similarity."""
+    """Those of the pairs (a, b) that agree in ``least`` coordinates and whose sizes and sketches allow the similarity."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 equal = (_drawn(batch.column("signature_a")) == _drawn(batch.column("signature_b"))).sum(axis=1)
-                sizes = _size_reaches(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), percent)
-                yield batch.select(["a", "b"]).filter(pa.array((equal >= least) & sizes))
+                sizes = [batch.column(f"n_{side}").to_numpy() for side in "ab"]
+                good = np.flatnonzero((equal >= least) & _size_reaches(*sizes, percent))
+                left = batch.take(pa.array(good))
+                drawn = pa.concat_arrays([left.column(f"sketch_{side}") for side in "ab"])
+                sketches = _Sketches(drawn, np.concatenate([n[good] for n in sizes]))
+                rows = np.arange(len(good))
+                yield left.select(["a", "b"]).filter(pa.array(sketches.allow(rows, rows + len(good), percent), pa.bool_()))
 
     joined = pairs
     for side in "ab":
-        own = classes.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("signature").alias(f"signature_{side}"))
+        own = classes.select(F.col("doc_id").alias(side), *[F.col(c).alias(f"{n}_{side}") for c, n in _CARRIED.items()])
         joined = joined.join(own.hint("merge"), side)
-    return joined.select("a", "b", "n_a", "n_b", "signature_a", "signature_b").mapInArrow(count, "a long, b long")
+    return joined.select("a", "b", *[f"{n}_{side}" for n in _CARRIED.values() for side in "ab"]).mapInArrow(count, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the stored pairs (a, b) whose full sets reach the similarity.
-
-    The text of ``a`` travels once for ``MEETING`` partners, who stream past its set.
-    """
-    concerned = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = materialise(texts.join(concerned.hint("merge"), "doc_id", "left_semi"), "texts")
-    rounds = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEETING).alias("rounds"))
-    met = pairs.join(rounds.hint("merge"), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("rounds")).alias("round"))
-    hosts = met.select("a", "round").distinct().join(texts.withColumnRenamed("doc_id", "a").hint("merge"), "a")
-    guests = met.join(texts.withColumnRenamed("doc_id", "b").hint("merge"), "b")
-    columns = ["a", "round", "b", "text"]
-    seated = guests.select(columns).unionByName(hosts.withColumn("b", F.lit(None).cast("long")).select(columns))
-    seated = seated.repartition("a", "round").sortWithinPartitions("a", "round", F.col("b").asc_nulls_first())
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host = np.zeros(0, np.uint64)
-        for batch in batches:
-            for part in pieces(batch):
-                hashes, begins = shingle_sets(part, width)
-                good = []
-                for i, guest in enumerate(part.column("b").to_pylist()):
-                    own = hashes[begins[i] : begins[i + 1]]
-                    if guest is None:
-                        host = own
-                    shared = len(np.intersect1d(host, own, assume_unique=True)) if guest is not None else 0
-                    good.append(guest is not None and 100 * shared >= percent * (len(host) + len(own) - shared))
-                yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return seated.mapInArrow(confirm, "a long, b long")
+_CARRIED = {"n_shingles": "n", "signature": "signature", "sketch": "sketch"}
 
 
 def _agreeing(rows: pa.Table, percent: int, least: int) -> pa.RecordBatch:
@@ -196,7 +204,7 @@ def _agreeing(rows: pa.Table, percent: int, least: int) -> pa.RecordBatch:
     token, lo, hi, part, doc, component, size = (
         rows[c].to_numpy() for c in ("token", "lo", "hi", "part", "doc_id", "component", "n_shingles")
     )
-    drawn = _drawn(rows["signature"].combine_chunks())
+    drawn, sketches = _drawn(rows["signature"].combine_chunks()), _Sketches(rows["sketch"], size)
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
     block = np.cumsum(new)
@@ -209,6 +217,8 @@ def _agreeing(rows: pa.Table, percent: int, least: int) -> pa.RecordBatch:
         asked &= _size_reaches(size[one], size[other], percent)
         one, other = one[asked], other[asked]
         good = (drawn[one] == drawn[other]).sum(axis=1) >= least
+        one, other = one[good], other[good]
+        good = sketches.allow(one, other, percent)
         found.append(np.sort(np.stack([doc[one[good]], doc[other[good]]], axis=1), axis=1))
     pairs = np.unique(np.concatenate(found or [np.zeros((0, 2), np.int64)]), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -231,7 +241,7 @@ def _across_components(lists: DataFrame, found: DataFrame, classes: DataFrame, p
         .join(classes.hint("merge"), "doc_id")
         .select(
             "token", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"),
-            "part", "doc_id", "component", "n_shingles", "signature",
+            "part", "doc_id", "component", "n_shingles", "signature", "sketch",
         )
     )
     dealt = dealt.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
@@ -268,24 +278,28 @@ def minhash_groups(documents: DataFrame, width: int = 5, percent: int = 85, coor
     signed = materialise(_signed(texts, width, coordinates), "signatures")
     equal = ["n_shingles", "high", "low"]
     filled = signed.filter("n_shingles > 0 and doc_id is not null")
-    by_set = filled.groupBy(*equal).agg(F.min("doc_id").alias("class_id"), F.any_value("signature").alias("signature"))
-    by_set = materialise(by_set, "sets")
+    by_set = filled.groupBy(*equal).agg(F.min("doc_id").alias("class_id"), F.any_value(F.struct("signature", "sketch")).alias("drawn"))
+    by_set = materialise(by_set.select(*equal, "class_id", "drawn.*"), "sets")
     # An id that repeats with different texts can lead several sets; one of them speaks for it.
-    classes = by_set.groupBy(F.col("class_id").alias("doc_id")).agg(F.min(F.struct("n_shingles", "signature")).alias("s"))
+    classes = by_set.groupBy(F.col("class_id").alias("doc_id")).agg(F.min(F.struct("n_shingles", "signature", "sketch")).alias("s"))
     classes = materialise(classes.select("doc_id", "s.*"), "classes")
-    class_of = signed.drop("signature").join(by_set.drop("signature").hint("merge"), equal, "left")
+    class_of = signed.drop("signature", "sketch").join(by_set.select(*equal, "class_id").hint("merge"), equal, "left")
 
     postings = materialise(_postings(classes, _token_counts(classes), coordinates - least + 1), "postings")
-    heads = postings.groupBy("token").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).filter("leader < last")
-    lists = materialise(postings.join(heads.select("token", "leader").hint("merge"), "token"), "lists")
-    meetings = lists.filter("leader <> doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
+    heads = postings.groupBy("token").agg(
+        F.max(F.struct("weight", "doc_id")).alias("head"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")
+    )
+    heads = heads.filter("first < last").select("token", F.col("head.doc_id").alias("leader"))
+    lists = materialise(postings.drop("weight").join(heads.hint("merge"), "token"), "lists")
+    met = lists.filter("leader <> doc_id")
+    meetings = met.select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
     pairs = materialise(_counted(meetings, classes, percent, least), "pairs")
-    links = materialise(_confirmed(pairs, texts, width, percent), "similar")
+    links = materialise(confirmed(pairs, texts, width, percent), "similar")
     found = components(links)
     across = _across_components(lists, found, classes, percent, least)
     across = materialise(across.join(pairs.hint("merge"), ["a", "b"], "left_anti"), "across")
     if not across.isEmpty():
-        more = materialise(_confirmed(across, texts, width, percent), "similar")
+        more = materialise(confirmed(across, texts, width, percent), "similar")
         found = components(links.unionByName(more))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id"))
     return class_of.join(found.withColumnRenamed("node", "class_id").hint("merge"), "class_id", "left").select(
@@ -305,11 +319,11 @@ def groups_sql(width: int = 5, percent: int = 85) -> str:
       FROM words),
     sizes AS (SELECT doc_id, count(*) AS n FROM runs GROUP BY doc_id),
     shared AS (
-      SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM runs a JOIN runs b ON a.run = b.run AND a.doc_id < b.doc_id
+      SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM runs a JOIN runs b ON a.run = b.run AND a.doc_id < b.doc_id
       GROUP BY a.doc_id, b.doc_id),
     links AS (
       SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
-      WHERE 100 * both >= {percent} * (x.n + y.n - both)),
+      WHERE 100 * n_both >= {percent} * (x.n + y.n - n_both)),
     edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
     reached(doc_id, node) AS (
       SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM reached r JOIN edges e ON e.a = r.node),

@@ -6,6 +6,7 @@ from math import comb
 import numpy as np
 import pytest
 
+from creditloom.llm import meetings
 from creditloom.llm import minhash_join as mj
 from tests.llm.test_parity_join import brute, edited_texts
 
@@ -26,7 +27,7 @@ def test_members_that_the_smallest_document_does_not_link(documents_of, monkeypa
     """Half-alike documents that share frequent lines lead the lists of later, similar ones; small blocks."""
     monkeypatch.setattr(mj, "BLOCK", 4)
     monkeypatch.setattr(mj, "_HELD", 16)
-    monkeypatch.setattr(mj, "MEETING", 2)
+    monkeypatch.setattr(meetings, "MEETING", 2)
     rng = random.Random(5)
     lines = [[f"q{i}w{k}" for k in range(8)] for i in range(12)]
     texts = []
@@ -68,3 +69,26 @@ def test_signatures_agree_as_often_as_sets_are_similar():
         one, other = (mj.signatures(s, np.array([0, len(s)]), 256)[0] for s in sides)
         agreed.append((one == other).mean())
     assert np.mean(agreed) == pytest.approx(0.85, abs=0.02)
+
+
+def test_sketches_never_rule_a_similar_pair_out():
+    import pyarrow as pa
+
+    from creditloom.llm.parity_join import sketch, sketch_words
+
+    rng = np.random.default_rng(9)
+    sets = []
+    for n in (1, 2, 7, 40, 255, 256, 511, 512, 700, 3000):
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        for change in (0, 1, n // 12, n // 5, n // 2):
+            kept = base[: n - change] if rng.random() < 0.5 else base
+            sets.append(np.unique(np.concatenate([kept, rng.integers(0, 2**63, change).astype(np.uint64)])))
+    sizes = np.array([len(s) for s in sets])
+    sketches = mj._Sketches(pa.array([sketch(s, 2 * sketch_words(len(s))).tobytes() for s in sets], pa.binary()), sizes)
+    one, other = np.triu_indices(len(sets), 1)
+    near = mj._size_reaches(sizes[one], sizes[other], 85)
+    one, other = one[near], other[near]
+    shared = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(one, other)])
+    similar = 100 * shared >= 85 * (sizes[one] + sizes[other] - shared)
+    allowed = sketches.allow(one, other, 85)
+    assert similar.any() and (allowed | ~similar).all() and not allowed[shared < 0.6 * sizes[one]].any()
