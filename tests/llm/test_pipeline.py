@@ -72,5 +72,5 @@ def test_every_kept_document_is_packed(stages):
 def test_registered_with_the_queries(spark):
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     numbers = {re.match(r"op(\d+)_", n)[1] for n in entry.queries() if re.match(r"op\d+_", n)}
-    assert numbers == {str(n) for n in range(1, 11)}
+    assert numbers == {str(n) for n in range(1, 14)}
     assert corpus_pipeline.run(spark, SF).count() > 0
