@@ -1,7 +1,7 @@
 from creditloom.functions.exact import FINE_PLACES, exact_mean, exact_sum
 from creditloom.functions.hashing import HASH_SPACE, spread_hash
 from creditloom.functions.risk import clean_tenure, is_not_employed, ratio, years
-from creditloom.functions.wording import currency, display_number, humanise, percent
+from creditloom.functions.wording import currency, display_number, fixed, humanise, percent
 
 __all__ = [
     "FINE_PLACES",
@@ -11,6 +11,7 @@ __all__ = [
     "display_number",
     "exact_mean",
     "exact_sum",
+    "fixed",
     "humanise",
     "is_not_employed",
     "percent",

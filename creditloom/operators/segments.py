@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.functions import FINE_PLACES, exact_mean, is_not_employed, percent, ratio, years
+from creditloom.functions import FINE_PLACES, exact_mean, fixed, is_not_employed, percent, ratio, years
 from creditloom.operators.application import ID, LABEL
 from creditloom.operators.ordering import global_ntile
 
@@ -197,7 +197,7 @@ def insights() -> list[Insight]:
                     percent("bottom"),
                     percent("top"),
                 ),
-                F.when(F.col("top") > 0, _sentence(" - %.1fx the risk.", ratio("bottom", "top"))).otherwise("."),
+                F.when(F.col("top") > 0, _sentence(" - %sx the risk.", fixed(ratio("bottom", "top"), 1))).otherwise("."),
             ),
         ),
         Insight(
@@ -236,14 +236,14 @@ def insights() -> list[Insight]:
                 "best": F.min_by(quintile, F.struct(F.col("default_rate"), F.col("quintile"))),
             },
             _sentence(
-                "Quintile %d (avg ratio %.1fx income) defaults most often, at %s, versus %s in quintile %d "
-                "(avg ratio %.1fx).",
+                "Quintile %d (avg ratio %sx income) defaults most often, at %s, versus %s in quintile %d "
+                "(avg ratio %sx).",
                 F.col("worst.quintile"),
-                F.col("worst.avg_credit_income_ratio"),
+                fixed(F.col("worst.avg_credit_income_ratio"), 1),
                 worst_rate,
                 best_rate,
                 F.col("best.quintile"),
-                F.col("best.avg_credit_income_ratio"),
+                fixed(F.col("best.avg_credit_income_ratio"), 1),
             ),
         ),
         Insight(
