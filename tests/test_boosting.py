@@ -104,6 +104,25 @@ def test_many_tasks_grow_the_trees_of_one(spark, monkeypatch):
         assert (a.feature == b.feature).all() and (a.left == b.left).all() and (a.value == b.value).all() and (a.rows == b.rows).all()
 
 
+def test_one_task_grows_the_trees_of_many_above_the_rows_of_a_task(spark, monkeypatch):
+    """A table of several tasks needs no job for each level of a tree, and gives the trees that such jobs give."""
+    x, y = generated(900, 8)
+    rows, growth = table(spark, x, y), bo.Growth(max_leaves=12, min_rows=5)
+    grown = []
+    by_jobs = bo.grow_tree
+    monkeypatch.setattr(bo, "grow_tree", lambda *a: grown.append(a) or by_jobs(*a))
+    monkeypatch.setattr(bo, "TASK_ROWS", 200)
+    ask = lambda: bo.fit_boosting(rows, None, INPUTS, growth, 5, 0.3, 10, 0.8, 0.7)[0]
+    held = ask()
+    assert not grown
+    monkeypatch.setattr(bo, "HELD_ROWS", 100)
+    by_level = ask()
+    assert len(grown) == len(by_level.trees) == len(held.trees) == 5
+    for a, b in zip(held.trees, by_level.trees):
+        assert (a.feature == b.feature).all() and (a.left == b.left).all() and (a.value == b.value).all() and (a.rows == b.rows).all()
+        assert (a.added_by_input(INPUTS.binned(x).T) == a.added(INPUTS.binned(x))).all()
+
+
 def test_course_is_the_average_precision_of_every_prefix(spark, monkeypatch):
     monkeypatch.setattr(bo, "STRETCH", 4)
     x, y = generated(900, 6)
