@@ -29,6 +29,8 @@ FOLDS = 3
 STRONG, WEAK = 3.0, 1.5
 LEXICON_SIZE = 4000
 KNOWN_TOKENS = 300_000
+# Documents that the pipeline's stage hands on at once.
+LOT = 512
 # Words that address the reader, and the letters that digits and signs stand for.
 SECOND_PERSON = frozenset(
     "you your yours yourself du dich dir dein deine deiner ihr euch tu te toi ton ta tes vous votre vos tú ti usted ustedes".split()
@@ -56,39 +58,52 @@ class Tokens(dict):
     def __init__(self, lexicon: dict[str, float]) -> None:
         super().__init__()
         self.lexicon = lexicon
-        self.facts: list[tuple[float, ...]] = []
+        # A row for each token: numbers take far less room there than as objects.
+        self.facts = np.zeros((1024, 8))
+
+    def weight(self, word: str) -> float:
+        """The highest weight of the word's ``entries``."""
+        get, size = self.lexicon.get, len(word)
+        best = get(word + "$", 0.0)
+        for n in range(4, min(size, 8)):
+            best = max(best, get(word[:n], 0.0))
+        return best
 
     def __missing__(self, token: str) -> int:
         word, hidden = plain(token)
-        weight = max((self.lexicon.get(e, 0.0) for e in entries(word)), default=0.0)
-        letters = sum(map(str.isalpha, token))
-        self.facts.append((
-            weight, word in SECOND_PERSON, sum(map(str.isupper, token)), letters > 2 and token.isupper(),
-            token.count("!"), sum(not c.isalnum() for c in token) - token.count("!"), hidden, letters,
-        ))
-        self[token] = number = len(self.facts) - 1
+        if token.isalpha():
+            letters, exclamations, others = len(token), 0, 0
+        else:
+            letters, exclamations = sum(map(str.isalpha, token)), token.count("!")
+            others = len(token) - sum(map(str.isalnum, token)) - exclamations
+        upper = 0 if token.islower() else sum(map(str.isupper, token))
+        number = len(self)
+        if number == len(self.facts):
+            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
+        self.facts[number] = (
+            self.weight(word), word in SECOND_PERSON, upper, letters > 2 and token.isupper(), exclamations, others, hidden, letters
+        )
+        self[token] = number
         return number
 
     def features(self, text: str) -> np.ndarray:
         """The dense features of one text; an empty text has zeros."""
         if len(self) >= KNOWN_TOKENS:
             self.clear()
-            self.facts.clear()
         tokens = text.split()
         if not tokens:
             return np.zeros(len(FEATURES))
-        numbers = list(map(self.__getitem__, tokens))
+        numbers = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
         kinds, counts = np.unique(numbers, return_counts=True)
-        facts = np.array([self.facts[k] for k in kinds])
+        facts = self.facts[kinds]
         sums = counts @ facts
         weight = facts[:, 0]
         strong = weight >= STRONG
         n, letters = len(tokens), max(sums[7], 1.0)
         near = 0.0
         if strong.any() and sums[1]:
-            at = np.array([self.facts[k][0] >= STRONG for k in numbers])
-            second = np.flatnonzero([self.facts[k][1] for k in numbers])
-            places = np.flatnonzero(at)
+            second = np.flatnonzero(self.facts[numbers, 1])
+            places = np.flatnonzero(self.facts[numbers, 0] >= STRONG)
             after = np.searchsorted(second, places)
             gaps = np.minimum(
                 np.abs(places - second[np.minimum(after, len(second) - 1)]), np.abs(places - second[np.maximum(after - 1, 0)])
@@ -277,8 +292,10 @@ def without_toxic(documents: DataFrame, model: ToxicityModel, threshold: float =
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(shared.value.lexicon)
         for batch in batches:
-            features = np.array([tokens.features(t.as_py() or "") for t in batch.column("text")])
-            scores = shared.value.scores(features.reshape(-1, len(FEATURES)))
-            yield batch.filter(pa.array(scores < threshold))
+            # Whole texts go on in lots, so that few are held twice.
+            for part in (batch.slice(at, LOT) for at in range(0, batch.num_rows, LOT)):
+                features = np.array([tokens.features(t.as_py() or "") for t in part.column("text")])
+                scores = shared.value.scores(features.reshape(-1, len(FEATURES)))
+                yield part.filter(pa.array(scores < threshold))
 
     return documents.mapInArrow(keep, documents.schema)

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from creditloom.llm.toxicity import FEATURES, Boosting, Tokens, fit_toxicity, isotonic, learn_lexicon, toxicity_scores, train, without_toxic
+from creditloom.llm.toxicity import FEATURES, Boosting, Tokens, entries, fit_toxicity, isotonic, learn_lexicon, plain, toxicity_scores, train, without_toxic
 from tests.conftest import SF
 
 BAD = ["nitwit", "blockhead", "dunce", "oaf"]
@@ -99,3 +99,17 @@ def test_query_on_given_tables(spark):
 
     rows = QUERIES["op5_toxicity"](spark, SF).collect()
     assert len(rows) == 200 and all(r.predicted == (r.score >= 0.5) for r in rows)
+
+
+def test_known_tokens_are_rows_of_numbers():
+    tokens = Tokens({"badw": 4.0, "fool$": 2.0})
+    words = ["badword", "fool", "FOOL!", "f00l", "you", "3.5", "¿qué?", "ǅ", "a" * 30, *[f"w{i}x" for i in range(3000)]]
+    tokens.features(" ".join(words))
+    assert tokens.facts.nbytes <= 2 * 64 * len(words)  # objects took some 600 bytes a token
+    for word in words:
+        letters, shown = plain(word)
+        weight = max(tokens.lexicon.get(e, 0.0) for e in entries(letters))
+        upper, marks = sum(c.isupper() for c in word), sum(not c.isalnum() for c in word)
+        held = sum(c.isalpha() for c in word)
+        expected = [weight, letters == "you", upper, held > 2 and word.isupper(), word.count("!"), marks - word.count("!"), shown, held]
+        assert tokens.facts[tokens[word]].tolist() == expected
