@@ -187,18 +187,25 @@ def _pairs_of_block(members: pd.DataFrame, percent: int) -> pd.DataFrame:
     """
     alone = members.lo.iloc[0] == members.hi.iloc[0]
     rows, columns = (members, members) if alone else (members[members.part == members.lo], members[members.part == members.hi])
-    found = []
+    found = [np.zeros((0, 2), np.int64)]
     if len(rows) and len(columns):
         words = members["sketch"].str.len().min() // 8
         narrow = lambda drawn: folded(np.frombuffer(drawn, np.uint64), words)
+        columns = columns.sort_values("size", kind="stable")
+        rows = columns if alone else rows
         sketches = np.stack([narrow(s) for s in columns["sketch"]])
         size, component, doc = (columns[c].to_numpy() for c in ("size", "component", "doc_id"))
-        for one in zip(rows["doc_id"], rows["component"], rows["size"], rows["sketch"]):
+        for place, one in enumerate(zip(rows["doc_id"], rows["component"], rows["size"], rows["sketch"])):
             limit = (size + one[2]) * (100 - percent) // (100 + percent)
-            distance = np.bitwise_count(sketches ^ narrow(one[3])).sum(axis=1)
-            good = (distance <= limit) & (component != one[1])
-            found.extend((min(one[0], d), max(one[0], d)) for d in doc[good])
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64").drop_duplicates()
+            near = np.flatnonzero(np.abs(size - one[2]) <= limit)
+            if not len(near):
+                continue
+            # Sizes rise, so those near enough stand together; inside one part each pair is met once.
+            first, last = max(near[0], place + 1 if alone else 0), near[-1] + 1
+            distance = np.bitwise_count(sketches[first:last] ^ narrow(one[3])).sum(axis=1)
+            met = doc[first:last][(distance <= limit[first:last]) & (component[first:last] != one[1])]
+            found.append(np.column_stack([np.minimum(met, one[0]), np.maximum(met, one[0])]))
+    return pd.DataFrame(np.concatenate(found), columns=["a", "b"]).drop_duplicates()
 
 
 def _pairs_across_components(crowded: DataFrame, found: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:

@@ -4,10 +4,12 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from creditloom.llm import parity_join as pj
 from creditloom.llm.components import components
+from creditloom.llm.text import mix
 
 
 def sets_of(texts, width):
@@ -126,3 +128,35 @@ def test_components_of_a_long_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(50)] + [(1000, 1000 + i) for i in range(1, 300)] + [(7, 7)]
     found = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(found[i] == 0 for i in range(51)) and all(found[1000 + i] == 1000 for i in range(300))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_blocks_send_each_pair_once_and_without_objects(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    shingles = mix(np.arange(1, 130, dtype=np.uint64))
+    sets = [np.unique(rng.choice(shingles[:n], n - 2, replace=False)) for n in rng.integers(40, 130, 60)]
+    members = pd.DataFrame({
+        "lo": 0, "hi": 0, "part": 0, "doc_id": rng.permutation(60), "component": rng.integers(0, 5, 60), "size": [len(s) for s in sets],
+        "sketch": [pj.sketch(s, pj.sketch_words(len(s))).tobytes() for s in sets],
+    })
+    mixed = members.assign(hi=1, part=np.arange(60) % 2)
+    counted = []
+    counts = np.bitwise_count
+    for block in (members, mixed):
+        words = block["sketch"].str.len().min() // 8
+        narrow = [pj.folded(np.frombuffer(s, np.uint64), words) for s in block["sketch"]]
+        expected = set()
+        for i in range(60):
+            for j in range(i):
+                one, other = block.iloc[i], block.iloc[j]
+                limit = (one["size"] + other["size"]) * 20 // 180
+                near = abs(one["size"] - other["size"]) <= limit and np.bitwise_count(narrow[i] ^ narrow[j]).sum() <= limit
+                if near and one.component != other.component and (block is members or one.part != other.part):
+                    expected.add((min(one.doc_id, other.doc_id), max(one.doc_id, other.doc_id)))
+        monkeypatch.setattr(np, "bitwise_count", lambda x: counted.append(len(x)) or counts(x))
+        found = pj._pairs_of_block(block, 80)
+        monkeypatch.setattr(np, "bitwise_count", counts)
+        assert expected and sorted(map(tuple, found.to_numpy().tolist())) == sorted(expected)
+        # Sizes too far apart are not compared, nor one pair twice.
+        assert sum(counted) < (60 * 59 // 2 if block is members else 30 * 30)
+        counted.clear()
