@@ -135,6 +135,25 @@ def test_course_is_the_average_precision_of_every_prefix(spark, monkeypatch):
         assert average_precision(prefix.margins(judged, ["y"]), score="margin").first()[0] == course[n - 1]
 
 
+def test_fits_side_by_side_are_those_of_one_after_the_other(spark, monkeypatch):
+    """Equal trees and courses, with one ranking for all fits, although they end at different rounds."""
+    monkeypatch.setattr(bo, "STRETCH", 4)
+    tables = [table(spark, *generated(n, seed)) for n, seed in ((600, 6), (900, 7), (300, 9))]
+    fits = [bo.Fit(t.filter("id % 3 > 0"), t.filter("id % 3 = 0"), INPUTS, weight) for t, weight in zip(tables, (None, 2.5, None))]
+    growth = bo.Growth(max_leaves=6, min_rows=20)
+    expected = [bo.fit_boosting(f.train, f.judged, INPUTS, growth, 30, 0.3, 3, 0.8, 0.7, f.weight) for f in fits]
+    ranked = []
+    by_fit = bo.average_precision_of_each
+    monkeypatch.setattr(bo, "average_precision_of_each", lambda *a, **k: ranked.append(a) or by_fit(*a, **k))
+    found = bo.fit_side_by_side(fits, growth, 30, 0.3, 3, 0.8, 0.7)
+    assert len(ranked) == -(-max(len(course) for _, course in expected) // 4)
+    assert len({len(course) for _, course in expected}) > 1
+    for (one, course), (other, courses) in zip(expected, found):
+        assert one.base == other.base and course == courses and len(one.trees) == len(other.trees)
+        for a, b in zip(one.trees, other.trees):
+            assert (a.feature == b.feature).all() and (a.left == b.left).all() and (a.value == b.value).all() and (a.rows == b.rows).all()
+
+
 def test_odd_tables(spark):
     growth = bo.Growth(min_rows=1)
     alone = bo.fit_boosting(table(spark, np.full((4, 3), np.nan), [0, 0, 1, 0]), None, INPUTS, growth, 3, 0.1, 2)[0]
