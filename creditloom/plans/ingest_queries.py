@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from creditloom.plans.registry import query
@@ -30,17 +30,20 @@ def _fresh_folder(t, label: str) -> str:
     return f"{checkpoint_root(t.spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def _as_csv(t, names) -> str:
-    folder = _fresh_folder(t, "csv")
+def _as_csv(t, names) -> tuple[str, dict[str, int]]:
+    """The folder of the written files, and the rows that went into each, counted on the way."""
+    folder, rows = _fresh_folder(t, "csv"), {}
     for name in names:
-        t[name].write.option("header", True).csv(f"{folder}/{name}.csv")
-    return folder
+        counted = Observation()
+        t[name].observe(counted, F.count(F.lit(1)).alias("rows")).write.option("header", True).csv(f"{folder}/{name}.csv")
+        rows[name] = counted.get.get("rows", 0)
+    return folder, rows
 
 
 @query("csv_scan")
 def _csv_scan(t) -> DataFrame:
     """Applications written as CSV and read back with inferred types."""
-    return scan_csv(t.spark, f"{_as_csv(t, ['application_train'])}/application_train.csv")
+    return scan_csv(t.spark, f"{_as_csv(t, ['application_train'])[0]}/application_train.csv")
 
 
 @query("load_table")
@@ -78,8 +81,8 @@ def _rowcount_audit(t) -> DataFrame:
 @query("published_portfolio")
 def _published_portfolio(t) -> DataFrame:
     """A full cycle: CSV files, load, audit, publish, open; rows per table of what was published."""
-    raw, warehouse = _as_csv(t, _PORTFOLIO), _fresh_folder(t, "warehouse")
-    manifest = [SourceTable(n, f"{n}.csv", t[n].count(), n) for n in _PORTFOLIO]
+    (raw, rows), warehouse = _as_csv(t, _PORTFOLIO), _fresh_folder(t, "warehouse")
+    manifest = [SourceTable(n, f"{n}.csv", rows[n], n) for n in _PORTFOLIO]
     build_portfolio(t.spark, raw, warehouse, manifest)
     counts = [
         df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")

@@ -14,6 +14,8 @@ _C1 = [chr(b) for b in range(0x80, 0xA0)]
 _AS_WINDOWS = {c: text for c in _C1 if (text := c.encode("latin-1").decode("cp1252", errors="ignore"))}
 _NOT_WINDOWS = [c for c in _C1 if c not in _AS_WINDOWS]
 
+_FIRST_ROWS = 1000
+
 
 def _reader(spark: SparkSession, encoding: str, multi_line: bool):
     # Rows with too few fields are padded with NULL; a quote inside quotes is doubled.
@@ -36,12 +38,18 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
 
 
 def _yes_no_columns(df: DataFrame) -> list[str]:
-    """String columns that hold nothing but Yes and No."""
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
-    if not texts:
-        return []
-    found = df.agg(*[F.bool_and(F.col(f"`{c}`").isin("Yes", "No")).alias(f"c{i}") for i, c in enumerate(texts)]).first()
-    return [c for i, c in enumerate(texts) if found[i]]
+    """String columns that hold nothing but Yes and No.
+
+    The first rows rule out most columns; only the others are read to the end.
+    """
+    columns = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
+    for rows in (df.limit(_FIRST_ROWS), df):
+        if not columns:
+            break
+        found = rows.agg(*[F.bool_and(F.col(f"`{c}`").isin("Yes", "No")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+        # NULL where there was no value yet.
+        columns = [c for i, c in enumerate(columns) if found[i] or rows is not df and found[i] is None]
+    return columns
 
 
 def whole_number_columns_as_long(schema: StructType) -> StructType:

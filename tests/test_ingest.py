@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from creditloom.sources import csv_files
 from creditloom.sources.artifacts import write_results
 from creditloom.sources.csv_files import detect_encoding, scan_csv
 from creditloom.sources.ingest import IncompleteLoad, build_portfolio, load_table, open_portfolio, published_build
@@ -115,3 +116,11 @@ def test_the_glossary_is_a_source():
     from creditloom.sources.manifest import MANIFEST
 
     assert [t.expected_rows for t in MANIFEST if t.name == "column_descriptions"] == [None]
+
+
+def test_columns_that_the_first_rows_rule_out_are_not_read_to_the_end(spark, monkeypatch):
+    monkeypatch.setattr(csv_files, "_FIRST_ROWS", 100)
+    late = lambda text: F.when(F.col("id") < 2000, text).otherwise(F.raise_error(F.lit("read to the end")).cast("string"))
+    rows = spark.range(0, 5000, 1, 1).select(late(F.lit("Maybe")).alias("other"), F.when(F.col("id") > 4000, "Yes").alias("flag"))
+    assert csv_files._yes_no_columns(rows) == ["flag"]
+    assert csv_files._yes_no_columns(rows.select(F.when(F.col("flag").isNull(), "No").otherwise("Maybe").alias("late"))) == []
