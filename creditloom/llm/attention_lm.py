@@ -5,10 +5,12 @@ tell words apart, and a text's probability is the product of its ids' probabilit
 class given the ids before it, from the attention model, times that of the id in its class. Frequent ids are classes of
 their own; the others are grouped by the neighbours they have.
 
-What grows with the corpus are counts: every training word and, through the words, every subword id. They are formed by
-Spark jobs and give the probabilities inside classes and the word frequencies. The attention model itself is trained in
-numpy on a sample of distinct texts that grows with the square root of the training tokens. A word's probability is a mixture of the attention model's and its frequency; the share is
-fitted on sample texts that did not train the attention model.
+All training texts count. Spark jobs form the counts of every training word and, through the words, of every subword id;
+they give the probabilities inside classes and the word frequencies. One more job counts the neighbours by which ids are
+grouped. The attention model starts from weights that a sample of distinct texts gives; from there every task takes the
+windows of all its training texts, each id once, and the tasks' weights are averaged by the number of their ids. A word's
+probability is a mixture of the attention model's and its frequency. The share is fitted on all training words, each with
+the probability it had just before its window was learned.
 
 Texts are scored in windows that overlap: each window brings context from the one before, every id is scored once, and
 many windows go through the masked attention together. The most frequent words' counts are broadcast (``head_words`` of
@@ -18,11 +20,14 @@ them at most). Other words leave the scan with their attention probability and m
 from __future__ import annotations
 
 import base64
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
@@ -42,6 +47,13 @@ LOT = 64
 QUERIES = 16
 # Training tokens up to which the sample has its smallest size; above, it grows with their square root.
 SMALL_CORPUS = 20_000_000
+# Words of the texts that are encoded at a time, windows of a step, and the first rate of the pass over all texts.
+LOT_WORDS = 50_000
+BATCH = 64
+RATE = 0.003
+# Ids whose rows travel together, and steps of a histogram of log probabilities for a factor of e.
+BLOCK = 256
+FINE = 64
 _LN10 = float(np.log(10.0))
 
 
@@ -55,6 +67,11 @@ def words_of(text: str | None) -> list[str]:
     return [w.decode() for w in (text or "").encode().lower().split()]
 
 
+def _in_range(sums: np.ndarray) -> bool:
+    """Whether sums of exponentials have kept their digits, and products with them as well."""
+    return bool(((sums > 1e-30) & (sums < 1e30)).all())
+
+
 class Attention:
     """One layer of causal self-attention and a position-wise layer over subword ids, with class scores on top."""
 
@@ -76,31 +93,12 @@ class Attention:
             "classes": draw(width, classes), "bias": np.zeros(classes, np.float32),
         }
 
-    def _split(self, x: np.ndarray) -> np.ndarray:
-        b, n, d = x.shape
-        return x.reshape(b, n, self.heads, d // self.heads).transpose(0, 2, 1, 3)
-
-    def _join(self, x: np.ndarray) -> np.ndarray:
-        b, h, n, d = x.shape
-        return np.ascontiguousarray(x.transpose(0, 2, 1, 3)).reshape(b, n, h * d)
-
-    def _attend(self, ids: np.ndarray):
-        p, n = self.p, ids.shape[1]
-        x = p["ids"][self.row_of[ids]] + p["places"][:n]
-        q, k, v = (self._split(x @ p[name]) for name in ("query", "key", "value"))
-        scale = np.float32(1 / np.sqrt(self.width // self.heads))
-        a = np.matmul(q, k.transpose(0, 1, 3, 2)) * scale + self.mask[:n, :n]
-        a -= a.max(axis=-1, keepdims=True)
-        np.exp(a, out=a)
-        a /= a.sum(axis=-1, keepdims=True)
-        o = self._join(np.matmul(a, v))
-        return x, q, k, v, a, o, x + o @ p["out"]
-
-    def log_probabilities(self, ids: np.ndarray, wanted: np.ndarray, targets: np.ndarray, start: int = 0, most: float = 0) -> np.ndarray:
+    def log_probabilities(self, ids: np.ndarray, wanted: np.ndarray, targets: np.ndarray, start: int = 0, careful: bool = False) -> np.ndarray:
         """Log probability (natural) of the target class at every wanted place of the windows, none of them before ``start``.
 
         Queries are taken ``QUERIES`` at a time, each lot with the keys up to its last place, so little of what the mask hides
-        is worked out. Scores stay far below where exp overflows; should one overflow all the same, all are held below ``most``.
+        is worked out. Scores stay far from where exp leaves its range; should one get there all the same, the largest of each row
+        is taken off first (``careful``).
         """
         p, (b, n), d, h = self.p, ids.shape, self.width, self.heads
         x = (p["ids"][self.row_of[ids]] + p["places"][:n]).reshape(b * n, d)
@@ -113,63 +111,104 @@ class Attention:
         for first in range(start, n, QUERIES):
             last = min(first + QUERIES, n)
             a = np.matmul(q[:, :, first:last], k[:, :, :last].transpose(0, 1, 3, 2))
-            if most:
-                np.minimum(a, most, out=a)
             a[..., first:] += self.mask[first:last, first:last]
-            with np.errstate(over="ignore"):
+            if careful:
+                a -= a.max(axis=-1, keepdims=True)
+            with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
                 np.exp(a, out=a)
-            part = np.matmul(a, v[:, :, :last])
-            o[:, first - start : last - start] = (part[..., :-1] / part[..., -1:]).transpose(0, 2, 1, 3)
+                part = np.matmul(a, v[:, :, :last])
+                o[:, first - start : last - start] = (part[..., :-1] / part[..., -1:]).transpose(0, 2, 1, 3)
         y = x[wanted.ravel()] + o[wanted[:, start:]].reshape(-1, d) @ p["out"]
         y += np.maximum(y @ p["up"] + p["up_bias"], 0) @ p["down"]
         z = y @ p["classes"]
         z += p["bias"]
-        if most:
-            np.minimum(z, most, out=z)
+        if careful:
+            z -= z.max(axis=1, keepdims=True)
         picked = z[np.arange(len(z)), targets].astype(np.float64)
-        with np.errstate(over="ignore"):
-            out = picked - np.log(np.exp(z, out=z).sum(axis=1))
-        return out if most or np.isfinite(out).all() else self.log_probabilities(ids, wanted, targets, start, 60)
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            sums = np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype)
+            out = picked - np.log(sums)
+        if careful or (np.isfinite(out).all() and _in_range(sums)):
+            return out
+        return self.log_probabilities(ids, wanted, targets, start, True)
 
     def gradients(self, ids: np.ndarray, wanted: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log probability over the wanted places, and its gradient by parameter."""
-        p, g = self.p, {}
-        x, q, k, v, a, o, y = self._attend(ids)
-        rows = y[wanted]
-        up = rows @ p["up"] + p["up_bias"]
-        act = np.maximum(up, 0)
-        h = rows + act @ p["down"]
-        z = h @ p["classes"] + p["bias"]
-        z -= z.max(axis=1, keepdims=True)
-        e = np.exp(z)
-        share = e / e.sum(axis=1, keepdims=True)
-        n = np.arange(len(z))
-        loss = float(-np.log(share[n, targets] + 1e-30).mean())
-        share[n, targets] -= 1
-        dz = share / np.float32(len(z))
-        g["classes"], g["bias"] = h.T @ dz, dz.sum(0)
-        dh = dz @ p["classes"].T
-        g["down"] = act.T @ dh
-        dup = (dh @ p["down"].T) * (up > 0)
-        g["up"], g["up_bias"] = rows.T @ dup, dup.sum(0)
+        log_p, g, rows = self._backward(ids, wanted, targets)
+        dense = np.zeros_like(self.p["ids"])
+        dense[rows] = g["ids"]
+        return float(-log_p.mean()), g | {"ids": dense}
+
+    def _backward(
+        self, ids: np.ndarray, wanted: np.ndarray, targets: np.ndarray, careful: bool = False
+    ) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
+        """Log probability at every wanted place, the gradient of their negative mean, and the rows of ids it has.
+
+        Weights of attention stay unnormalised: their sums come out of the product as one more column, and go into it on the
+        way back. Should exp leave its range, the largest exponent of each row is taken off first (``careful``).
+        """
+        p, (b, n), d, h = self.p, ids.shape, self.width, self.heads
+        at, g = self.row_of[ids.ravel()], {}
+        x = (p["ids"][at].reshape(b, n, d) + p["places"][:n]).reshape(b * n, d)
+        scale = np.float32(1 / np.sqrt(d // h))
+        into = np.concatenate([p["query"] * scale, p["key"], p["value"]], axis=1)
+        q, k, v = (x @ into).reshape(b, n, 3, h, d // h).transpose(2, 0, 3, 1, 4)
+        v = np.concatenate([v, np.ones((b, h, n, 1), x.dtype)], axis=3)
+        a = np.matmul(q, k.transpose(0, 1, 3, 2))
+        a += self.mask[:n, :n]
+        if careful:
+            a -= a.max(axis=-1, keepdims=True)
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            np.exp(a, out=a)
+            mixed = np.matmul(a, v)
+            total = mixed[..., -1:]
+            o = mixed[..., :-1] / total
+        o_flat = o.transpose(0, 2, 1, 3).reshape(b * n, d)
+        y = x + o_flat @ p["out"]
+        chosen = np.flatnonzero(wanted)
+        rows = y[chosen]
+        act = np.maximum(rows @ p["up"] + p["up_bias"], 0)
+        top = rows + act @ p["down"]
+        z = top @ p["classes"]
+        z += p["bias"]
+        if careful:
+            z -= z.max(axis=1, keepdims=True)
+        place = np.arange(len(z))
+        log_p = z[place, targets].astype(np.float64)
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            sums = np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype)
+            log_p -= np.log(sums)
+        if not careful and not (_in_range(sums) and _in_range(total)):
+            return self._backward(ids, wanted, targets, True)
+        z *= (1 / (len(z) * sums))[:, None]
+        z[place, targets] -= np.float32(1 / len(z))
+        g["classes"], g["bias"] = top.T @ z, np.ones(len(z), z.dtype) @ z
+        d_top = z @ p["classes"].T
+        g["down"] = act.T @ d_top
+        d_up = (d_top @ p["down"].T) * (act > 0)
+        g["up"], g["up_bias"] = rows.T @ d_up, d_up.sum(0)
         dy = np.zeros_like(y)
-        dy[wanted] = dh + dup @ p["up"].T
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        g["out"] = flat(o).T @ flat(dy)
-        do = self._split(dy @ p["out"].T)
-        da = np.matmul(do, v.transpose(0, 1, 3, 2))
-        dv = np.matmul(a.transpose(0, 1, 3, 2), do)
-        ds = a * (da - (da * a).sum(axis=-1, keepdims=True)) * np.float32(1 / np.sqrt(self.width // self.heads))
-        dx = dy.copy()
-        for name, d in (("query", np.matmul(ds, k)), ("key", np.matmul(ds.transpose(0, 1, 3, 2), q)), ("value", dv)):
-            d = self._join(d)
-            g[name] = flat(x).T @ flat(d)
-            dx += d @ p[name].T
+        dy[chosen] = d_top + d_up @ p["up"].T
+        g["out"] = o_flat.T @ dy
+        do = (dy @ p["out"].T).reshape(b, n, h, d // h).transpose(0, 2, 1, 3)
+        # The mean change over a row's weights is that of its output.
+        do = np.concatenate([do, -(do * o).sum(axis=-1, keepdims=True)], axis=3) / total
+        ds = np.matmul(do, v.transpose(0, 1, 3, 2))
+        ds *= a
+        back = np.empty((b, n, 3, h, d // h), x.dtype)
+        back[:, :, 0] = np.matmul(ds, k).transpose(0, 2, 1, 3)
+        back[:, :, 1] = np.matmul(ds.transpose(0, 1, 3, 2), q).transpose(0, 2, 1, 3)
+        back[:, :, 2] = np.matmul(a.transpose(0, 1, 3, 2), do[..., :-1]).transpose(0, 2, 1, 3)
+        back = back.reshape(b * n, 3 * d)
+        g["query"], g["key"], g["value"] = np.split(x.T @ back, 3, axis=1)
+        g["query"] = g["query"] * scale
+        dx = dy + back @ into.T
         g["places"] = np.zeros_like(p["places"])
-        g["places"][: ids.shape[1]] = dx.sum(0)
-        g["ids"] = np.zeros_like(p["ids"])
-        np.add.at(g["ids"], self.row_of[ids.ravel()], flat(dx))
-        return loss, g
+        g["places"][:n] = dx.reshape(b, n, d).sum(0)
+        order = np.argsort(at, kind="stable")
+        held, begins = np.unique(at[order], return_index=True)
+        g["ids"] = np.add.reduceat(dx[order], begins)
+        return log_p, g, held
 
     def train(self, windows: np.ndarray, targets: np.ndarray, wanted: np.ndarray, steps: int, batch: int = 64, rate: float = 0.01) -> float:
         """Adam over random batches of windows with a falling rate; returns the last loss."""
@@ -188,6 +227,44 @@ class Attention:
                 self.p[name] -= (now * fair).astype(np.float32)
         return loss
 
+    def copy(self) -> Attention:
+        other = object.__new__(Attention)
+        other.__dict__ |= self.__dict__ | {"p": {n: v.copy() for n, v in self.p.items()}}
+        return other
+
+
+class Course:
+    """Adam steps of one task over the windows that come by; rows of ids move when a batch holds them."""
+
+    def __init__(self, attention: Attention) -> None:
+        self.attention, self.steps, self.rng = attention, 0, np.random.default_rng(3)
+        self.first = {n: np.zeros_like(v) for n, v in attention.p.items()}
+        self.second = {n: np.zeros_like(v) for n, v in attention.p.items()}
+
+    def learn(self, before: np.ndarray, targets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """One pass over sequences, every place once; its log probability just before its window was learned."""
+        out = np.zeros(len(before))
+        places, wanted = window_places(lengths, self.attention.length, self.attention.length)
+        mixed = self.rng.permutation(len(places))
+        for lot in range(0, len(mixed), BATCH):
+            some = mixed[lot : lot + BATCH]
+            at, scored = places[some], wanted[some]
+            chosen = at[scored]
+            out[chosen], g, rows = self.attention._backward(before[at], scored, targets[chosen])
+            # A batch that the lot's end cuts short moves the weights less.
+            self._step(g, rows, len(chosen) / (BATCH * self.attention.length))
+        return out
+
+    def _step(self, g: dict[str, np.ndarray], rows: np.ndarray, size: float) -> None:
+        self.steps += 1
+        now = RATE * min(1.0, self.steps / 20) / np.sqrt(1 + self.steps / 200) * min(1.0, size)
+        fair = np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
+        for name, value in g.items():
+            moved = rows if name == "ids" else slice(None)
+            first = self.first[name][moved] = 0.9 * self.first[name][moved] + 0.1 * value
+            second = self.second[name][moved] = 0.99 * self.second[name][moved] + 0.01 * value * value
+            self.attention.p[name][moved] -= np.float32(now * fair) * first / (np.sqrt(second) + np.float32(1e-8))
+
 
 def window_places(lengths: np.ndarray, length: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (in the joined sequences) of every window, and which of them the window scores.
@@ -252,9 +329,7 @@ class WordTable(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.ids: list[int] = []
-        self.ends: list[int] = []
-        self.counts: list[int] = []
+        self.ids, self.ends, self.counts = array("q"), array("q"), array("q")
         self[END_WORD]  # noqa: B018 - number 0
 
     def __missing__(self, word: str) -> int:
@@ -266,30 +341,53 @@ class WordTable(dict):
 
     def encode(self, texts: list[list[str]]) -> tuple[np.ndarray, ...]:
         """Word numbers (each text ends with the end), word counts by text, ids and ids' counts by word."""
-        numbers = np.array([n for words in texts for n in (*map(self.__getitem__, words), 0)], np.int64)
         per_text = np.array([len(w) + 1 for w in texts], np.int64)
-        ends = np.array(self.ends, np.int64)
+        flat_words = chain.from_iterable((*words, END_WORD) for words in texts)
+        numbers = np.fromiter(map(self.__getitem__, flat_words), np.int64, int(per_text.sum()))
+        # The lists are read in place, so they cannot grow while a view of them lives.
+        ends = np.frombuffer(self.ends, np.int64)
         sizes = np.diff(ends, prepend=0)[numbers]
-        begin = (ends - np.diff(ends, prepend=0))[numbers]
+        begin = ends[numbers] - sizes
         flat = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        return numbers, per_text, np.array(self.ids, np.int64)[flat], sizes
+        return numbers, per_text, np.frombuffer(self.ids, np.int64)[flat], sizes
+
+    def counts_of(self, numbers: np.ndarray) -> np.ndarray:
+        return np.frombuffer(self.counts, np.int64)[numbers]
+
 
+def _lots(batch: pa.RecordBatch, table: WordTable) -> Iterator[tuple[int, list[list[str]]]]:
+    """The words of a batch's texts, some ``LOT_WORDS`` at a time, each lot with the number of its first row."""
+    texts, held, first = [], 0, 0
+    for i, cell in enumerate(batch.column("text")):
+        texts.append(words_of(cell.as_py()))
+        held += len(texts[-1]) + 1
+        if held > LOT_WORDS or i + 1 == batch.num_rows:
+            yield first, texts
+            texts, held, first = [], 0, i + 1
+            if len(table) > KNOWN_WORDS:
+                table.forget()
 
-def _classes(counts: np.ndarray, sample: np.ndarray, own: int, groups: int) -> np.ndarray:
-    """A class for every id: the ``own`` most frequent alone, others grouped by the neighbours they have in the sample."""
-    order = np.argsort(-counts, kind="stable")
-    class_of = np.full(N_IDS, own + groups - 1, np.int64)  # ids that the sample does not show
-    class_of[order[:own]] = np.arange(own)
-    shown = np.setdiff1d(np.unique(sample), order[:own])
+
+def _own_classes(counts: np.ndarray, own: int, groups: int) -> np.ndarray:
+    """The ``own`` most frequent ids as classes of their own, all others in the last class."""
+    class_of = np.full(N_IDS, own + groups - 1, np.int64)
+    class_of[np.argsort(-counts, kind="stable")[:own]] = np.arange(own)
+    return class_of
+
+
+def _neighbours(class_of: np.ndarray, own: int, ids: np.ndarray, total: np.ndarray) -> None:
+    """Count into ``total`` (N_IDS rows) the classes of their own before and after each id that has none."""
+    column = np.where(class_of[ids] < own, class_of[ids], own)
+    cells = total.reshape(-1)
+    for here, other, shift in ((slice(1, None), slice(None, -1), 0), (slice(None, -1), slice(1, None), own + 1)):
+        used = column[here] == own
+        np.add.at(cells, ids[here][used] * total.shape[1] + column[other][used] + shift, 1)
+
+
+def _grouped(class_of: np.ndarray, own: int, groups: int, shown: np.ndarray, profile: np.ndarray) -> np.ndarray:
+    """Ids without a class of their own in classes by the neighbours that ``profile`` counts for the ``shown`` ones."""
     if len(shown) == 0 or groups < 2:
         return class_of
-    column = np.where(class_of[sample] < own, class_of[sample], own)
-    row = np.full(N_IDS, -1)
-    row[shown] = np.arange(len(shown))
-    profile = np.zeros((len(shown), 2 * (own + 1)))
-    for here, other, shift in ((sample[1:], column[:-1], 0), (sample[:-1], column[1:], own + 1)):
-        used = row[here] >= 0
-        np.add.at(profile, (row[here[used]], other[used] + shift), 1)
     weight = profile.sum(1)
     profile = np.sqrt(profile / np.maximum(weight, 1)[:, None])
     centres = profile[np.argsort(-weight, kind="stable")[: groups - 1]]
@@ -298,10 +396,55 @@ def _classes(counts: np.ndarray, sample: np.ndarray, own: int, groups: int) -> n
         for g in range(len(centres)):
             if (nearest == g).any():
                 centres[g] = np.average(profile[nearest == g], axis=0, weights=weight[nearest == g] + 1e-9)
+    class_of = class_of.copy()
     class_of[shown] = own + nearest
     return class_of
 
 
+def _classes(counts: np.ndarray, ids: np.ndarray, own: int, groups: int) -> np.ndarray:
+    """A class for every id: the ``own`` most frequent alone, others grouped by the neighbours they have in ``ids``."""
+    class_of = _own_classes(counts, own, groups)
+    total = np.zeros((N_IDS, 2 * (own + 1)), np.int32)
+    _neighbours(class_of, own, ids, total)
+    shown = np.setdiff1d(np.unique(ids), np.flatnonzero(class_of < own))
+    return _grouped(class_of, own, groups, shown, total[shown].astype(np.float64))
+
+
+def _blocks(values: np.ndarray) -> Iterator[bytes]:
+    for start in range(0, len(values), BLOCK):
+        yield values[start : start + BLOCK].tobytes()
+
+
+def _all_classes(training: DataFrame, counts: np.ndarray, subword_path: str, own: int, groups: int) -> np.ndarray:
+    """The classes of ``_classes`` from all training texts; tasks count neighbours, blocks of ids are added up apart."""
+    class_of, width = _own_classes(counts, own, groups), 2 * (own + 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, total = WordTable(encoder(subword_path), {}), np.zeros((N_IDS, width), np.int32)
+        for batch in batches:
+            for _, texts in _lots(batch, table):
+                _neighbours(class_of, own, table.encode(texts)[2], total)
+        for number, held in enumerate(_blocks(total)):
+            if any(held):
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([held], pa.binary())], ["block", "held"])
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(held, np.int32).astype(np.int64) for held in rows["held"])
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "held": [total.astype(np.float32).tobytes()]})
+
+    parts = training.select("text").mapInArrow(count, "block int, held binary")
+    shown, profiles = [], []
+    # A row for each block of ids, whatever the corpus.
+    for row in parts.groupBy("block").applyInPandas(add, "block int, held binary").orderBy("block").toLocalIterator():
+        block = np.frombuffer(row.held, np.float32).reshape(-1, width)
+        met = np.flatnonzero(block.any(axis=1))
+        shown.append(row.block * BLOCK + met)
+        profiles.append(block[met])
+    if not shown:
+        return class_of
+    return _grouped(class_of, own, groups, np.concatenate(shown), np.concatenate(profiles))
+
+
 def word_counts(documents: DataFrame) -> DataFrame:
     """word and n of every token, the end among them as ``END_WORD``; partial counts are formed in the scan."""
 
@@ -375,11 +518,12 @@ def fit_language_model(
     training: DataFrame, words: DataFrame, subword_path: str, sample_texts: int = 1000, sample_ids: int = 400_000,
     steps: int = 500, own_classes: int = 96, groups: int = 32, head_words: int = 100_000,
 ) -> LanguageModel:
-    """Fit on all training counts (``words``) and on the distinct training texts with the smallest hashes.
+    """Fit on all training texts and their counts (``words``).
 
-    The attention model learns ``steps`` steps from windows of ``sample_ids`` ids of ``sample_texts`` texts, spread over all
-    of them; the three numbers grow with the square root of the training tokens above ``SMALL_CORPUS``. Without training texts, all ids are equally
-    likely in their classes and the attention model stays as it was drawn.
+    The attention model starts with ``steps`` steps over windows of ``sample_ids`` ids of the ``sample_texts`` distinct texts
+    with the smallest hashes; the three numbers grow with the square root of the training tokens above ``SMALL_CORPUS``.
+    Then it learns from all training texts. Without any, all ids are equally likely in their classes and the attention
+    model stays as it was drawn.
     """
     tokens, distinct = words.agg(F.sum("n"), F.count(F.lit(1))).first()
     frequent = words.orderBy(F.desc("n"), "word").limit(head_words).toArrow()
@@ -391,50 +535,124 @@ def fit_language_model(
     texts = _sample(training, sample_texts)
     if not texts:
         texts, steps = [[]], 0
-    numbers, per_text, ids, sizes = table.encode(texts)
-    attention = Attention(own_classes + groups, np.unique(ids))
-    word_text = np.repeat(np.arange(len(texts)), per_text)
-    lengths = np.bincount(np.repeat(word_text, sizes), minlength=len(texts))
-    class_of = _classes(counts, ids, own_classes, groups)
+    _, per_text, ids, sizes = table.encode(texts)
+    attention = Attention(own_classes + groups, np.flatnonzero(counts))
+    lengths = np.bincount(np.repeat(np.repeat(np.arange(len(texts)), per_text), sizes), minlength=len(texts))
+    class_of = _all_classes(training, counts, subword_path, own_classes, groups) if tokens else _own_classes(counts, own_classes, groups)
     smooth = counts + 0.5
-    log_share = np.log(smooth / np.bincount(class_of, smooth, own_classes + groups)[class_of])
+    in_class = np.bincount(class_of, smooth, own_classes + groups)
+    log_share = np.log(smooth / in_class[class_of])
     model = LanguageModel(attention, class_of, log_share, 0.5, head, len(head) == distinct, tokens or 0, distinct)
-    attention.p["bias"] = np.log(np.bincount(class_of, smooth, own_classes + groups) + 1e-9).astype(np.float32)
+    attention.p["bias"] = np.log(in_class + 1e-9).astype(np.float32)
     attention.p["bias"] -= attention.p["bias"].max()
     if steps:
-        kept_back = np.arange(len(texts)) % 10 == 9
         places, wanted = window_places(lengths, attention.length, model.stride)
         owner = np.searchsorted(np.cumsum(lengths), places[:, 0], side="right")
-        learned = np.flatnonzero(~kept_back[owner] | (len(texts) < 10))
-        of_text = np.bincount(owner[learned], minlength=len(texts))
-        learned = learned[_spread(of_text, max(1, sample_ids // model.stride))]
+        learned = np.flatnonzero(_spread(np.bincount(owner, minlength=len(texts)), max(1, sample_ids // model.stride)))
         before = np.append(END_ID, ids[:-1])
         before[np.cumsum(lengths) - lengths] = END_ID
         attention.train(before[places[learned]], class_of[ids[places[learned]]], wanted[learned], steps)
-        judged = kept_back if kept_back.any() else ~kept_back
-        judged_texts = [t for t, k in zip(texts, judged) if k]
-        table.head = head | _counts_of(words, {END_WORD, *(w for t in judged_texts for w in t)} - head.keys())
-        table.forget()
-        model.mixture = _fit_mixture(model, table, judged_texts)
+        # Ids that the sample does not show start where its ids are on average.
+        known = attention.row_of[np.unique(ids)]
+        unseen = np.setdiff1d(np.arange(len(attention.p["ids"])), known)
+        attention.p["ids"][unseen] = attention.p["ids"][known].mean(axis=0)
+    if tokens:
+        _learn_all(model, training, words, subword_path)
     return model
 
 
-def _counts_of(words: DataFrame, some: set[str]) -> dict[str, int]:
-    """The training counts of some words, as many as a sample holds."""
-    if not some:
-        return {}
-    wanted = words.sparkSession.createDataFrame([(w,) for w in sorted(some)], "word string")
-    return {r.word: r.n for r in words.join(F.broadcast(wanted), "word", "left_semi").collect()}
+def _learn_all(model: LanguageModel, training: DataFrame, words: DataFrame, subword_path: str) -> None:
+    """Take the attention model through all training texts, and fit the mixture to the probabilities met on the way.
+
+    Every task starts from the same weights and learns its own texts once; a weight's value is the mean over the tasks, by
+    their ids. Its blocks are averaged apart, so no task or driver holds all tasks' weights.
+    """
+    shared = training.sparkSession.sparkContext.broadcast(model)
+    shapes = {name: value.shape for name, value in model.attention.p.items()}
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        course, table = Course(model.attention.copy()), WordTable(encoder(subword_path), model.head)
+        seen, ratios = 0, Counter()
+        for batch in batches:
+            for _, texts in _lots(batch, table):
+                numbers, per_text, ids, sizes = table.encode(texts)
+                seen += len(ids)
+                lengths = np.add.reduceat(sizes, np.cumsum(per_text) - per_text)
+                before = np.append(END_ID, ids[:-1])
+                before[np.cumsum(lengths) - lengths] = END_ID
+                log_p = course.learn(before, model.class_of[ids], lengths) + model.log_share[ids]
+                log_p = np.add.reduceat(log_p, np.cumsum(sizes) - sizes)
+                count = table.counts_of(numbers)
+                inside = count >= 0
+                met, n = np.unique(_ratio_steps(log_p[inside], count[inside]), return_counts=True)
+                ratios.update(dict(zip(met.tolist(), n.tolist())))
+                outside = np.flatnonzero(~inside)
+                flat = [w for some in texts for w in (*some, END_WORD)]
+                yield _learned(word=[flat[i] for i in outside.tolist()], log_p=log_p[outside])
+        yield _learned(step=list(ratios), n=list(ratios.values()))
+        if seen:
+            for name, value in course.attention.p.items():
+                held = list(_blocks(value))
+                yield _learned(n=[seen] * len(held), name=[name] * len(held), block=list(range(len(held))), held=held)
+
+    def average(rows: pd.DataFrame) -> pd.DataFrame:
+        total = sum(n * np.frombuffer(held, np.float32).astype(np.float64) for n, held in zip(rows["n"], rows["held"]))
+        mean = (total / rows["n"].sum()).astype(np.float32)
+        return pd.DataFrame({"name": rows["name"].iloc[:1], "block": rows["block"].iloc[:1], "held": [mean.tobytes()]})
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            met, n = np.unique(_ratio_steps(batch.column("log_p").to_numpy(), batch.column("n").to_numpy()), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array(n, pa.int64())], ["step", "n"])
+
+    learned = materialise(training.select("text").mapInArrow(learn, _LEARNED), "learned")
+    kept = learned.filter("held is not null").select("name", "block", "n", "held")
+    blocks = kept.groupBy("name", "block").applyInPandas(average, "name string, block int, held binary").orderBy("name", "block")
+    found = {name: [] for name in shapes}
+    # The weights once, whatever the number of tasks.
+    for row in blocks.toLocalIterator():
+        found[row.name].append(np.frombuffer(row.held, np.float32))
+    for name, shape in shapes.items():
+        model.attention.p[name] = np.concatenate(found[name]).reshape(shape)
+    loose = learned.filter("word is not null").select("word", "log_p").join(words, "word").select("log_p", "n")
+    ratios = learned.filter("step is not null").select("step", "n").unionByName(loose.mapInArrow(steps, "step int, n long"))
+    rows = ratios.groupBy("step").agg(F.sum("n").alias("n")).orderBy("step").collect()  # bounded by the range of steps
+    model.mixture = _fit_mixture(np.array([r.step for r in rows]), np.array([r.n for r in rows], float), model.train_tokens)
+    shared.unpersist()
+
+
+_LEARNED = "word string, log_p double, step int, n long, name string, block int, held binary"
+_LEARNED_TYPES = [pa.string(), pa.float64(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.binary()]
+
+
+def _learned(**columns) -> pa.RecordBatch:
+    """Rows of what a task has learned; columns that are not named are null."""
+    rows = len(next(iter(columns.values())))
+    names = [column.split()[0] for column in _LEARNED.split(", ")]
+    given = [pa.array(columns[n], t) if n in columns else pa.nulls(rows, t) for n, t in zip(names, _LEARNED_TYPES)]
+    return pa.RecordBatch.from_arrays(given, names)
+
+
+# Stands for words whose other occurrences are none, so that the attention model alone can give them.
+_ALONE = 1 << 20
+
+
+def _ratio_steps(log_p: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Logarithm, in steps, of a word's attention probability by its count, its own occurrence left out of it."""
+    others = count - 1
+    steps = np.floor(FINE * (log_p - np.log(np.maximum(others, 1)))).astype(np.int64)
+    return np.where(others > 0, np.clip(steps, -_ALONE, _ALONE - 1), _ALONE)
 
 
-def _fit_mixture(model: LanguageModel, table: WordTable, texts: list[list[str]]) -> float:
-    """The share that makes texts likeliest, each word's own occurrence left out of its count."""
-    log_p, count, _ = word_scores(model, table, texts)
-    p, share = np.exp(log_p), np.maximum(count - 1, 0) / max(model.train_tokens, 1)
+def _fit_mixture(steps: np.ndarray, n: np.ndarray, tokens: int) -> float:
+    """The share that makes the words likeliest, ``n`` of them in each step of ``_ratio_steps``."""
+    # The middle of a step, as attention probability by frequency.
+    ratio = np.exp(np.minimum((steps + 0.5) / FINE + np.log(tokens), 700))
     mixture = 0.5
     for _ in range(30):
-        part = mixture * p
-        mixture = float(np.clip((part / (part + (1 - mixture) * share + 1e-300)).mean(), 0.02, 0.98))
+        part = np.where(steps == _ALONE, 1.0, mixture * ratio / (mixture * ratio + 1 - mixture))
+        mixture = float(np.clip(np.average(part, weights=n), 0.02, 0.98))
     return mixture
 
 
@@ -444,7 +662,7 @@ def word_scores(model: LanguageModel, table: WordTable, texts: list[list[str]])
     word_ends = np.cumsum(sizes)
     lengths = np.add.reduceat(sizes, np.cumsum(per_text) - per_text)
     log_p = np.add.reduceat(model.id_scores(ids, lengths), word_ends - sizes)
-    return log_p, np.array(table.counts, np.int64)[numbers], per_text
+    return log_p, table.counts_of(numbers), per_text
 
 
 _SCAN = (
@@ -462,18 +680,10 @@ def _scan(documents: DataFrame, model: LanguageModel, subword_path: str) -> Data
         table = WordTable(encoder(subword_path), model.head)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            docs, held, lots = batch.column("doc_id").to_pylist(), 0, [0]
-            texts = []
-            for i, cell in enumerate(batch.column("text")):
-                texts.append(words_of(cell.as_py()))
-                held += len(texts[-1]) + 1
-                if held > 50_000 or i + 1 == batch.num_rows:
-                    yield _scored(model, table, texts, docs[lots[-1] : i + 1], row)
-                    row += len(texts)
-                    lots.append(i + 1)
-                    texts, held = [], 0
-                    if len(table) > KNOWN_WORDS:
-                        table.forget()
+            docs = batch.column("doc_id").to_pylist()
+            for first, texts in _lots(batch, table):
+                yield _scored(model, table, texts, docs[first : first + len(texts)], row)
+                row += len(texts)
 
     return documents.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(scan, _SCAN)
 

@@ -167,3 +167,52 @@ def test_no_training_texts_and_no_documents(documents_of):
     rows = lm.score_with_training(documents, documents.filter("false"), PATH).collect()
     assert {r.doc_id: (r.n_tokens, r.n_known, r.base_score) for r in rows} == {0: (3, 0, 0.0), 1: (1, 0, 0.0)}
     assert lm.score_with_training(documents.filter("false"), documents, PATH).count() == 0
+
+
+def test_all_training_texts_are_learned(documents_of):
+    texts = corpus(200, 7)
+    # Words that only texts outside the sample hold follow one another without a choice.
+    late = ["maison stone " * 30] * 100
+    documents = documents_of(texts + late)
+    words = lm.word_counts(documents).cache()
+    sample = lm._sample(documents, 5)
+    assert lm.words_of(late[0]) not in sample
+    small = dict(sample_texts=5, sample_ids=1_000, steps=30, own_classes=24, groups=8)
+    unlearned = lm.fit_language_model(documents_of(texts), words, PATH, **small)
+    model = lm.fit_language_model(documents, words, PATH, **small)
+    table = lm.WordTable(lm.encoder(PATH), model.head)
+    new = [lm.words_of(late[0])]
+    assert lm.word_scores(model, table, new)[0].sum() > lm.word_scores(unlearned, table, new)[0].sum() + 5
+
+
+def test_classes_come_from_all_training_texts(documents_of):
+    texts = corpus(40, 8) + ["alpha beta gamma delta"]
+    documents = documents_of(texts)
+    words = lm.word_counts(documents).cache()
+    counts = lm._id_counts(words, PATH)
+    table = lm.WordTable(lm.encoder(PATH), {})
+    ids = table.encode([lm.words_of(t) for t in texts])[2]
+    found = lm._all_classes(documents.coalesce(1), counts, PATH, 4, 6)
+    assert found.tolist() == lm._classes(counts, ids, 4, 6).tolist()
+    rare = table.encode([["alpha"]])[2][0]
+    model = lm.fit_language_model(documents, words, PATH, sample_texts=2, steps=2, own_classes=4, groups=6)
+    assert model.attention.row_of[rare] < len(model.attention.p["ids"]) - 1
+
+
+def test_fits_are_alike(documents_of):
+    texts = corpus(60, 9)
+    documents = documents_of(texts)
+    words = lm.word_counts(documents).cache()
+    fit = lambda n: lm.fit_language_model(documents.coalesce(n), words, PATH, steps=5, own_classes=12, groups=4)
+    one, same = fit(1), fit(1)
+    assert all(np.array_equal(one.attention.p[n], same.attention.p[n]) for n in one.attention.p)
+    assert one.mixture == same.mixture and 0.02 <= one.mixture <= 0.98
+
+
+def test_scores_far_below_are_probabilities():
+    model = lm.Attention(9, np.arange(40), length=16)
+    ids, wanted, targets = np.arange(16)[None], np.ones((1, 16), bool), np.arange(16) % 9
+    usual = model.log_probabilities(ids, wanted, targets)
+    model.p["bias"] -= 200
+    assert np.allclose(model.log_probabilities(ids, wanted, targets), usual, atol=1e-3)
+    assert np.allclose(model._backward(ids, wanted, targets)[0], usual, atol=1e-3)
