@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.llm.text import pieces, shingle_sets
-from creditloom.sources.intermediate import materialise
+from creditloom.sources.intermediate import materialise, release
 
 # Documents confirmed against one copy of the text of the document that they met.
 MEETING = 256
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the stored pairs (a, b) whose full sets reach the similarity.
+    """Those of the stored pairs (a, b) whose full sets reach the similarity, stored; the copy of their texts goes again.
 
     The text of ``a`` travels once for ``MEETING`` partners, who stream past its set.
     """
@@ -45,4 +45,6 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                     good.append(guest is not None and 100 * shared >= percent * (len(host) + len(own) - shared))
                 yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return seated.mapInArrow(confirm, "a long, b long")
+    found = materialise(seated.mapInArrow(confirm, "a long, b long"), "similar")
+    release(texts)
+    return found

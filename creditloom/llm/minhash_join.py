@@ -294,12 +294,12 @@ def minhash_groups(documents: DataFrame, width: int = 5, percent: int = 85, coor
     met = lists.filter("leader <> doc_id")
     meetings = met.select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
     pairs = materialise(_counted(meetings, classes, percent, least), "pairs")
-    links = materialise(confirmed(pairs, texts, width, percent), "similar")
+    links = confirmed(pairs, texts, width, percent)
     found = components(links)
     across = _across_components(lists, found, classes, percent, least)
     across = materialise(across.join(pairs.hint("merge"), ["a", "b"], "left_anti"), "across")
     if not across.isEmpty():
-        more = materialise(confirmed(across, texts, width, percent), "similar")
+        more = confirmed(across, texts, width, percent)
         found = components(links.unionByName(more))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id"))
     return class_of.join(found.withColumnRenamed("node", "class_id").hint("merge"), "class_id", "left").select(

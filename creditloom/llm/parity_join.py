@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from creditloom.llm.components import components
 from creditloom.llm.meetings import confirmed
 from creditloom.llm.text import mix, pieces, shingle_sets
-from creditloom.sources.intermediate import materialise
+from creditloom.sources.intermediate import materialise, release
 
 # Members of one bucket that are compared by sketches in one block.
 BLOCK = 1024
@@ -266,12 +266,14 @@ def parity_join(documents: DataFrame, width: int = 3, percent: int = 90) -> Data
     )
     pairs = meetings.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs = materialise(_possible(pairs, sketches, percent), "pairs")
-    links = materialise(confirmed(pairs, texts, width, percent), "similar")
+    links = confirmed(pairs, texts, width, percent)
     found = components(links)
     in_buckets = crowded.join(by_id, "doc_id").select("bucket", F.col("class_id").alias("doc_id")).distinct()
     across = _pairs_across_components(in_buckets, found, sketches, percent)
     across = materialise(across.join(pairs, ["a", "b"], "left_anti"), "across")
-    more = materialise(confirmed(across, texts, width, percent), "similar")
+    for done in (crowded, digests, pairs):
+        release(done)
+    more = confirmed(across, texts, width, percent)
     if not more.isEmpty():
         found = components(links.unionByName(more))
     return class_of.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select(

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ import pytest
 from creditloom.llm import parity_join as pj
 from creditloom.llm.components import components
 from creditloom.llm.text import mix
+from creditloom.sources.intermediate import checkpoint_root
 
 
 def sets_of(texts, width):
@@ -160,3 +162,13 @@ def test_blocks_send_each_pair_once_and_without_objects(seed, monkeypatch):
         # Sizes too far apart are not compared, nor one pair twice.
         assert sum(counted) < (60 * 59 // 2 if block is members else 30 * 30)
         counted.clear()
+
+
+def test_stored_texts_and_sketches_go_again(documents_of, spark):
+    common = " ".join(f"word{i}" for i in range(60))
+    root = Path(checkpoint_root(spark))
+    before = set(root.iterdir())
+    joined = pj.parity_join(documents_of([common, common + " more", "something else entirely"]), 3, 90)
+    assert {r.doc_id: r.component_id for r in joined.collect()} == {0: 0, 1: 0, 2: 2}
+    kept = {p.name.split("-")[0] for p in set(root.iterdir()) - before}
+    assert "similar" in kept and not kept & {"texts", "crowded", "digests", "pairs"}
