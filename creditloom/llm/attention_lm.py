@@ -6,8 +6,8 @@ class given the ids before it, from the attention model, times that of the id in
 their own; the others are grouped by the neighbours they have.
 
 All training texts count. Spark jobs form the counts of every training word and, through the words, of every subword id;
-they give the probabilities inside classes and the word frequencies. One more job counts the neighbours by which ids are
-grouped. The attention model starts from weights that a sample of distinct texts gives; from there every task takes the
+they give the probabilities inside classes and the word frequencies. Then every text is encoded once and stored as ids; all
+later passes read these. One job counts the neighbours by which ids are grouped. The attention model starts from weights that a sample of distinct texts gives; from there every task takes the
 windows of all its training texts, each id once, and the tasks' weights are averaged by the number of their ids. A word's
 probability is a mixture of the attention model's and its frequency. The share is fitted on all training words, each with
 the probability it had just before its window was learned.
@@ -32,16 +32,17 @@ import public_tokenizers
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.sources.intermediate import materialise
+from creditloom.sources.intermediate import materialise, release
 
 END_ID = 50256
 N_IDS = 50257
 # The end of a text in the table of word counts; no word holds white space.
 END_WORD = "\n"
 KNOWN_WORDS = 300_000
+HEAD_WORDS = 100_000
 # Windows that are scored at a time, so that their scores stay in a core's cache, and queries of one lot of keys.
 LOT = 64
 QUERIES = 16
@@ -85,6 +86,7 @@ class Attention:
         self.row_of = np.full(N_IDS, len(known_ids), np.int32)
         self.row_of[known_ids] = np.arange(len(known_ids))
         self.mask = np.triu(np.full((length, length), -1e9, np.float32), 1)
+        self.spaces: dict[str, np.ndarray] = {}
         self.p = {
             "ids": 0.3 * rng.standard_normal((len(known_ids) + 1, width)).astype(np.float32),
             "places": np.zeros((length, width), np.float32),
@@ -93,6 +95,24 @@ class Attention:
             "classes": draw(width, classes), "bias": np.zeros(classes, np.float32),
         }
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"spaces": {}}
+
+    def _space(self, name: str, *shape: int) -> np.ndarray:
+        """Room for an intermediate result, the same for one batch after another: fresh pages cost more than the sums in them."""
+        size, kind = int(np.prod(shape)), self.p["ids"].dtype
+        held = self.spaces.get(name)
+        if held is None or held.size < size or held.dtype != kind:
+            held = self.spaces[name] = np.empty(size, kind)
+        return held[:size].reshape(shape)
+
+    def _product(self, name: str, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return np.matmul(left, right, out=self._space(name, *left.shape[:-1], right.shape[-1]))
+
+    def _rows(self, name: str, table: np.ndarray, at: np.ndarray) -> np.ndarray:
+        # All of them exist; "clip" lets them go straight to their place.
+        return table.take(at, axis=0, out=self._space(name, len(at), table.shape[1]), mode="clip")
+
     def log_probabilities(self, ids: np.ndarray, wanted: np.ndarray, targets: np.ndarray, start: int = 0, careful: bool = False) -> np.ndarray:
         """Log probability (natural) of the target class at every wanted place of the windows, none of them before ``start``.
 
@@ -100,28 +120,19 @@ class Attention:
         is worked out. Scores stay far from where exp leaves its range; should one get there all the same, the largest of each row
         is taken off first (``careful``).
         """
-        p, (b, n), d, h = self.p, ids.shape, self.width, self.heads
-        x = (p["ids"][self.row_of[ids]] + p["places"][:n]).reshape(b * n, d)
-        scale = np.float32(1 / np.sqrt(d // h))
-        mixed = x @ np.concatenate([p["query"] * scale, p["key"], p["value"]], axis=1)
-        q, k, v = mixed.reshape(b, n, 3, h, d // h).transpose(2, 0, 3, 1, 4)
-        # The row sums come out of the product as one more column.
-        v = np.concatenate([v, np.ones((b, h, n, 1), np.float32)], axis=3)
-        o = np.empty((b, n - start, h, d // h), np.float32)
-        for first in range(start, n, QUERIES):
-            last = min(first + QUERIES, n)
-            a = np.matmul(q[:, :, first:last], k[:, :, :last].transpose(0, 1, 3, 2))
-            a[..., first:] += self.mask[first:last, first:last]
-            if careful:
-                a -= a.max(axis=-1, keepdims=True)
-            with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-                np.exp(a, out=a)
-                part = np.matmul(a, v[:, :, :last])
-                o[:, first - start : last - start] = (part[..., :-1] / part[..., -1:]).transpose(0, 2, 1, 3)
-        y = x[wanted.ravel()] + o[wanted[:, start:]].reshape(-1, d) @ p["out"]
-        y += np.maximum(y @ p["up"] + p["up_bias"], 0) @ p["down"]
-        z = y @ p["classes"]
-        z += p["bias"]
+        p, (b, n), d = self.p, ids.shape, self.width
+        x, q, k, v = self._inputs(self.row_of.take(ids.ravel()), n)
+        mixed = self._space("mixed", b, n - start, self.heads, d // self.heads + 1)
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            for first, last, a in self._weights(q, k, start, careful):
+                np.matmul(a, v[:, :, :last], out=mixed.transpose(0, 2, 1, 3)[:, :, first - start : last - start])
+            o = np.divide(mixed[..., :-1], mixed[..., -1:], out=self._space("o", *mixed.shape[:-1], d // self.heads)).reshape(-1, d)
+        y = self._rows("rows", x, np.flatnonzero(wanted))
+        y[:, :d] += self._rows("out", o, np.flatnonzero(wanted[:, start:])) @ p["out"]
+        act = self._product("act", y, np.vstack([p["up"], p["up_bias"]]))
+        np.maximum(act, 0, out=act)
+        y[:, :d] += act @ p["down"]
+        z = self._product("z", y, np.vstack([p["classes"], p["bias"]]))
         if careful:
             z -= z.max(axis=1, keepdims=True)
         picked = z[np.arange(len(z)), targets].astype(np.float64)
@@ -132,6 +143,34 @@ class Attention:
             return out
         return self.log_probabilities(ids, wanted, targets, start, True)
 
+    def _inputs(self, rows: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+        """Inputs by place, with a one as the last of them, and queries, keys and values by window and head.
+
+        The one makes biases a row of a product, and the last of a head's values, so that sums of weights come out of the
+        product with the values.
+        """
+        p, d, h = self.p, self.width, self.heads
+        x = self._space("x", len(rows), d + 1)
+        x[:, :d], x[:, d] = self._rows("ids", p["ids"], rows), 1
+        x.reshape(-1, n, d + 1)[..., :d] += p["places"][:n]
+        into = np.zeros((d + 1, 3 * d + h), x.dtype)
+        into[:d, : 2 * d] = np.concatenate([p["query"] * np.float32(1 / np.sqrt(d // h)), p["key"]], axis=1)
+        into[:d, 2 * d :] = np.concatenate([p["value"].reshape(d, h, d // h), np.zeros((d, h, 1), x.dtype)], axis=2).reshape(d, -1)
+        into[d, 2 * d + d // h :: d // h + 1] = 1
+        parts = np.split(self._product("parts", x, into).reshape(-1, n, 3 * d + h), (d, 2 * d), axis=2)
+        return x, *(part.reshape(*part.shape[:2], h, -1).transpose(0, 2, 1, 3) for part in parts)
+
+    def _weights(self, q: np.ndarray, k: np.ndarray, start: int, careful: bool) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Weights of attention, not normalised, of ``QUERIES`` places at a time (the first, the last), by keys up to the last."""
+        n = q.shape[2]
+        for first in range(start, n, QUERIES):
+            last = min(first + QUERIES, n)
+            a = self._product("a", q[:, :, first:last], k[:, :, :last].transpose(0, 1, 3, 2))
+            a += np.ascontiguousarray(self.mask[first:last, :last])
+            if careful:
+                a -= a.max(axis=-1, keepdims=True)
+            yield first, last, np.exp(a, out=a)
+
     def gradients(self, ids: np.ndarray, wanted: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log probability over the wanted places, and its gradient by parameter."""
         log_p, g, rows = self._backward(ids, wanted, targets)
@@ -148,29 +187,32 @@ class Attention:
         way back. Should exp leave its range, the largest exponent of each row is taken off first (``careful``).
         """
         p, (b, n), d, h = self.p, ids.shape, self.width, self.heads
-        at, g = self.row_of[ids.ravel()], {}
-        x = (p["ids"][at].reshape(b, n, d) + p["places"][:n]).reshape(b * n, d)
-        scale = np.float32(1 / np.sqrt(d // h))
-        into = np.concatenate([p["query"] * scale, p["key"], p["value"]], axis=1)
-        q, k, v = (x @ into).reshape(b, n, 3, h, d // h).transpose(2, 0, 3, 1, 4)
-        v = np.concatenate([v, np.ones((b, h, n, 1), x.dtype)], axis=3)
-        a = np.matmul(q, k.transpose(0, 1, 3, 2))
-        a += self.mask[:n, :n]
-        if careful:
-            a -= a.max(axis=-1, keepdims=True)
+        at, g = self.row_of.take(ids.ravel()), {}
+        x, q, k, v = self._inputs(at, n)
+        mixed = self._space("mixed", b, n, h, d // h + 1)
         with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-            np.exp(a, out=a)
-            mixed = np.matmul(a, v)
+            a = self._product("a", q, k.transpose(0, 1, 3, 2))
+            a += self.mask[:n, :n]
+            if careful:
+                a -= a.max(axis=-1, keepdims=True)
+            # Most of what the mask hides is zero without being worked out.
+            for first in range(0, n, QUERIES):
+                last = min(first + QUERIES, n)
+                np.exp(a[:, :, first:last, :last], out=a[:, :, first:last, :last])
+                a[:, :, first:last, last:] = 0
+            np.matmul(a, v, out=mixed.transpose(0, 2, 1, 3))
             total = mixed[..., -1:]
-            o = mixed[..., :-1] / total
-        o_flat = o.transpose(0, 2, 1, 3).reshape(b * n, d)
-        y = x + o_flat @ p["out"]
+            o = np.divide(mixed[..., :-1], total, out=self._space("o", b, n, h, d // h))
+        o_flat = o.reshape(b * n, d)
         chosen = np.flatnonzero(wanted)
-        rows = y[chosen]
-        act = np.maximum(rows @ p["up"] + p["up_bias"], 0)
-        top = rows + act @ p["down"]
-        z = top @ p["classes"]
-        z += p["bias"]
+        rows = self._rows("rows", x, chosen)
+        rows[:, :d] += self._rows("out", o_flat, chosen) @ p["out"]
+        act = self._product("act", rows, np.vstack([p["up"], p["up_bias"]]))
+        np.maximum(act, 0, out=act)
+        top = self._space("top", *rows.shape)
+        top[:] = rows
+        top[:, :d] += act @ p["down"]
+        z = self._product("z", top, np.vstack([p["classes"], p["bias"]]))
         if careful:
             z -= z.max(axis=1, keepdims=True)
         place = np.arange(len(z))
@@ -180,35 +222,50 @@ class Attention:
             log_p -= np.log(sums)
         if not careful and not (_in_range(sums) and _in_range(total)):
             return self._backward(ids, wanted, targets, True)
-        z *= (1 / (len(z) * sums))[:, None]
-        z[place, targets] -= np.float32(1 / len(z))
-        g["classes"], g["bias"] = top.T @ z, np.ones(len(z), z.dtype) @ z
-        d_top = z @ p["classes"].T
+        # The gradient by z, before each row is divided by its sum and all by the number of rows.
+        z[place, targets] -= sums
+        part = (1 / (len(z) * sums))[:, None]
+        got = (top * part).T @ z
+        g["classes"], g["bias"] = got[:d], got[d]
+        d_top = self._product("d_top", z, p["classes"].T)
+        d_top *= part
         g["down"] = act.T @ d_top
-        d_up = (d_top @ p["down"].T) * (act > 0)
-        g["up"], g["up_bias"] = rows.T @ d_up, d_up.sum(0)
-        dy = np.zeros_like(y)
-        dy[chosen] = d_top + d_up @ p["up"].T
+        d_up = self._product("d_up", d_top, p["down"].T)
+        d_up *= act > 0
+        got = rows.T @ d_up
+        g["up"], g["up_bias"] = got[:d], got[d]
+        d_top += d_up @ p["up"].T
+        dy = self._space("dy", b * n, d)
+        dy[:] = 0
+        dy[chosen] = d_top
         g["out"] = o_flat.T @ dy
-        do = (dy @ p["out"].T).reshape(b, n, h, d // h).transpose(0, 2, 1, 3)
+        do = self._space("do", *mixed.shape)
+        np.divide(self._product("out", dy, p["out"].T).reshape(o.shape), total, out=do[..., :-1])
         # The mean change over a row's weights is that of its output.
-        do = np.concatenate([do, -(do * o).sum(axis=-1, keepdims=True)], axis=3) / total
-        ds = np.matmul(do, v.transpose(0, 1, 3, 2))
+        np.negative(np.einsum("bnhe,bnhe->bnh", do[..., :-1], o), out=do[..., -1])
+        do = do.transpose(0, 2, 1, 3)
+        back = self._space("back", b, n, 3, h, d // h)
+        dq, dk, dv = back.transpose(2, 0, 3, 1, 4)
+        ds = self._product("ds", do, v.transpose(0, 1, 3, 2))
         ds *= a
-        back = np.empty((b, n, 3, h, d // h), x.dtype)
-        back[:, :, 0] = np.matmul(ds, k).transpose(0, 2, 1, 3)
-        back[:, :, 1] = np.matmul(ds.transpose(0, 1, 3, 2), q).transpose(0, 2, 1, 3)
-        back[:, :, 2] = np.matmul(a.transpose(0, 1, 3, 2), do[..., :-1]).transpose(0, 2, 1, 3)
+        np.matmul(ds, k, out=dq)
+        np.matmul(ds.transpose(0, 1, 3, 2), q, out=dk)
+        np.matmul(a.transpose(0, 1, 3, 2), do[..., :-1], out=dv)
         back = back.reshape(b * n, 3 * d)
-        g["query"], g["key"], g["value"] = np.split(x.T @ back, 3, axis=1)
+        g["query"], g["key"], g["value"] = np.split(x[:, :d].T @ back, 3, axis=1)
+        scale = np.float32(1 / np.sqrt(d // h))
         g["query"] = g["query"] * scale
-        dx = dy + back @ into.T
+        dx = self._product("dx", back, np.concatenate([p["query"] * scale, p["key"], p["value"]], axis=1).T)
+        dx += dy
         g["places"] = np.zeros_like(p["places"])
         g["places"][:n] = dx.reshape(b, n, d).sum(0)
-        order = np.argsort(at, kind="stable")
-        held, begins = np.unique(at[order], return_index=True)
-        g["ids"] = np.add.reduceat(dx[order], begins)
-        return log_p, g, held
+        order = np.argsort(at.astype(np.uint16), kind="stable")
+        held = at[order]
+        begins = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
+        # Pairs of numbers are added as complex ones, which takes half the steps.
+        pairs = self._rows("ids", dx, order).view(np.result_type(dx.dtype, np.complex64))
+        g["ids"] = np.add.reduceat(pairs, begins).view(dx.dtype)
+        return log_p, g, held[begins]
 
     def train(self, windows: np.ndarray, targets: np.ndarray, wanted: np.ndarray, steps: int, batch: int = 64, rate: float = 0.01) -> float:
         """Adam over random batches of windows with a falling rate; returns the last loss."""
@@ -229,7 +286,7 @@ class Attention:
 
     def copy(self) -> Attention:
         other = object.__new__(Attention)
-        other.__dict__ |= self.__dict__ | {"p": {n: v.copy() for n, v in self.p.items()}}
+        other.__dict__ |= self.__getstate__() | {"p": {n: v.copy() for n, v in self.p.items()}}
         return other
 
 
@@ -311,6 +368,14 @@ class LanguageModel:
                 out[chosen] = self.attention.log_probabilities(before[at], scored, self.class_of[ids[chosen]], start)
         return out + self.log_share[ids]
 
+    def head_counts(self) -> np.ndarray:
+        """Counts by place in the head; -1 at place -1, that of all other words."""
+        return np.array([*self.head.values(), -1])
+
+    def word_log_p(self, ids: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The attention model's log probability of every word, from the ids of texts and their numbers by text and by word."""
+        return np.add.reduceat(self.id_scores(ids, lengths), np.cumsum(sizes) - sizes)
+
     def base_term(self, count) -> np.ndarray:
         return np.log10((count + 0.5) / (self.train_tokens + 0.5 * (self.train_words + 1)))
 
@@ -320,7 +385,7 @@ class LanguageModel:
 
 
 class WordTable(dict):
-    """Numbers of words; their ids and counts stand in flat lists."""
+    """Numbers of words, given as texts or as their UTF-8 bytes; their ids and values in ``head`` stand in flat lists."""
 
     def __init__(self, encoding: tiktoken.Encoding, head: dict[str, int]) -> None:
         super().__init__()
@@ -329,17 +394,19 @@ class WordTable(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.ids, self.ends, self.counts = array("q"), array("q"), array("q")
+        self.ids, self.ends, self.counts, self.words = array("q"), array("q"), array("q"), []
         self[END_WORD]  # noqa: B018 - number 0
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, key: str | bytes) -> int:
+        word = key if isinstance(key, str) else key.decode()
         self.ids.extend([END_ID] if word == END_WORD else self.encoding.encode_ordinary(" " + word))
         self.ends.append(len(self.ids))
         self.counts.append(self.head.get(word, -1))
-        self[word] = number = len(self.counts) - 1
+        self.words.append(word)
+        self[key] = number = len(self.counts) - 1
         return number
 
-    def encode(self, texts: list[list[str]]) -> tuple[np.ndarray, ...]:
+    def encode(self, texts: list[list[str]] | list[list[bytes]]) -> tuple[np.ndarray, ...]:
         """Word numbers (each text ends with the end), word counts by text, ids and ids' counts by word."""
         per_text = np.array([len(w) + 1 for w in texts], np.int64)
         flat_words = chain.from_iterable((*words, END_WORD) for words in texts)
@@ -355,17 +422,102 @@ class WordTable(dict):
         return np.frombuffer(self.counts, np.int64)[numbers]
 
 
-def _lots(batch: pa.RecordBatch, table: WordTable) -> Iterator[tuple[int, list[list[str]]]]:
-    """The words of a batch's texts, some ``LOT_WORDS`` at a time, each lot with the number of its first row."""
-    texts, held, first = [], 0, 0
-    for i, cell in enumerate(batch.column("text")):
-        texts.append(words_of(cell.as_py()))
-        held += len(texts[-1]) + 1
-        if held > LOT_WORDS or i + 1 == batch.num_rows:
-            yield first, texts
-            texts, held, first = [], 0, i + 1
-            if len(table) > KNOWN_WORDS:
-                table.forget()
+def _split(column: pa.Array) -> Iterator[list[bytes]]:
+    """The words of every text, in UTF-8."""
+    for cell in column.cast(pa.binary()):
+        yield (cell.as_py() or b"").lower().split()
+
+
+def _encode(texts: DataFrame, subword_path: str, head: dict[str, int]) -> DataFrame:
+    """Rows of ``texts`` with, instead of the text, its ids, its words' places in the head (-1: not in it) and those outside."""
+    marks = [c for c in texts.columns if c != "text"]
+    kinds = dict(texts.dtypes)
+    shared = texts.sparkSession.sparkContext.broadcast({word: place for place, word in enumerate(head)})
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = WordTable(encoder(subword_path), shared.value)
+        for batch in batches:
+            lot, held, first = [], 0, 0
+            for i, words in enumerate(_split(batch.column("text"))):
+                lot.append(words)
+                held += len(words) + 1
+                if held > LOT_WORDS or i + 1 == batch.num_rows:
+                    yield encoded(table, lot, batch.select(marks).slice(first, len(lot)))
+                    lot, held, first = [], 0, i + 1
+                    if len(table) > KNOWN_WORDS:
+                        table.forget()
+
+    def encoded(table: WordTable, lot: list[list[bytes]], kept: pa.RecordBatch) -> pa.RecordBatch:
+        numbers, per_text, ids, sizes = table.encode(lot)
+        ends = np.append(0, np.cumsum(per_text))
+        places = table.counts_of(numbers).astype(np.int32)
+        outside = np.flatnonzero(places < 0)
+        loose = pa.array([table.words[number] for number in numbers[outside].tolist()], pa.string())
+        columns = [
+            _binary(ids.astype(np.uint16), np.append(0, np.cumsum(sizes))[ends]), _binary(places, ends),
+            pa.ListArray.from_arrays(pa.array(np.searchsorted(outside, ends), pa.int32()), loose),
+        ]
+        return pa.RecordBatch.from_arrays([*kept.columns, *columns], [*marks, "ids", "places", "loose"])
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in marks), "ids binary, places binary, loose array<string>"])
+    return texts.mapInArrow(encode, schema)
+
+
+def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary for each row, from the rows' values in one array."""
+    offsets = (ends * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def _values(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_binary`` has stored: the values of all rows, and where each row's begin (one more at the end)."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    if not len(column) or offsets[0] == offsets[-1]:
+        return np.zeros(0, kind), np.zeros(len(column) + 1, np.int64)
+    held = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return held.view(kind), (offsets - offsets[0]) // np.dtype(kind).itemsize
+
+
+@dataclass
+class Lot:
+    """Encoded texts that follow one another in a batch."""
+
+    first: int  # the number of its first row in the batch
+    ids: np.ndarray
+    lengths: np.ndarray  # ids by text
+    sizes: np.ndarray  # ids by word
+    per_text: np.ndarray  # words by text
+    places: np.ndarray  # words' places in the head
+
+    def before(self) -> np.ndarray:
+        """The id before every id."""
+        out = np.append(END_ID, self.ids[:-1])
+        out[np.cumsum(self.lengths) - self.lengths] = END_ID
+        return out
+
+
+def _lots(batch: pa.RecordBatch, begins_word: np.ndarray) -> Iterator[Lot]:
+    """A batch of ``_encode``, some ``LOT_WORDS`` words at a time."""
+    ids, id_ends = _values(batch.column("ids"), np.uint16)
+    places, word_ends = _values(batch.column("places"), np.int32)
+    first = 0
+    while first < batch.num_rows:
+        last = min(int(np.searchsorted(word_ends, word_ends[first] + LOT_WORDS, side="right")), batch.num_rows)
+        held = ids[id_ends[first] : id_ends[last]].astype(np.int64)
+        begins = np.flatnonzero(begins_word[held])
+        yield Lot(
+            first, held, np.diff(id_ends[first : last + 1]), np.diff(begins, append=len(held)),
+            np.diff(word_ends[first : last + 1]), places[word_ends[first] : word_ends[last]],
+        )
+        first = last
+
+
+def _word_begins(encoding: tiktoken.Encoding) -> np.ndarray:
+    """Whether an id begins a word (or is the end): those with the blank in front, which stands nowhere else in a word."""
+    out = np.zeros(N_IDS, bool)
+    out[[i for i in range(END_ID) if encoding.decode_single_token_bytes(i)[:1] == b" "]] = True
+    out[END_ID] = True
+    return out
 
 
 def _own_classes(counts: np.ndarray, own: int, groups: int) -> np.ndarray:
@@ -416,14 +568,15 @@ def _blocks(values: np.ndarray) -> Iterator[bytes]:
 
 
 def _all_classes(training: DataFrame, counts: np.ndarray, subword_path: str, own: int, groups: int) -> np.ndarray:
-    """The classes of ``_classes`` from all training texts; tasks count neighbours, blocks of ids are added up apart."""
+    """The classes of ``_classes`` from all training texts, encoded or not; tasks count neighbours, blocks of ids are added up apart."""
     class_of, width = _own_classes(counts, own, groups), 2 * (own + 1)
+    encoded = training if "ids" in training.columns else _encode(training.select("text"), subword_path, {})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, total = WordTable(encoder(subword_path), {}), np.zeros((N_IDS, width), np.int32)
+        begins_word, total = _word_begins(encoder(subword_path)), np.zeros((N_IDS, width), np.int32)
         for batch in batches:
-            for _, texts in _lots(batch, table):
-                _neighbours(class_of, own, table.encode(texts)[2], total)
+            for lot in _lots(batch, begins_word):
+                _neighbours(class_of, own, lot.ids, total)
         for number, held in enumerate(_blocks(total)):
             if any(held):
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([held], pa.binary())], ["block", "held"])
@@ -432,7 +585,7 @@ def _all_classes(training: DataFrame, counts: np.ndarray, subword_path: str, own
         total = sum(np.frombuffer(held, np.int32).astype(np.int64) for held in rows["held"])
         return pd.DataFrame({"block": rows["block"].iloc[:1], "held": [total.astype(np.float32).tobytes()]})
 
-    parts = training.select("text").mapInArrow(count, "block int, held binary")
+    parts = encoded.select("ids", "places").mapInArrow(count, "block int, held binary")
     shown, profiles = [], []
     # A row for each block of ids, whatever the corpus.
     for row in parts.groupBy("block").applyInPandas(add, "block int, held binary").orderBy("block").toLocalIterator():
@@ -449,15 +602,15 @@ def word_counts(documents: DataFrame) -> DataFrame:
     """word and n of every token, the end among them as ``END_WORD``; partial counts are formed in the scan."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[str] = Counter()
+        found: Counter[bytes] = Counter()
 
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(found.values(), pa.int64())], ["word", "n"])
 
         for batch in batches:
-            for text in batch.column("text"):
-                found.update(words_of(text.as_py()))
-            found[END_WORD] += batch.num_rows
+            for words in _split(batch.column("text")):
+                found.update(words)
+            found[END_WORD.encode()] += batch.num_rows
             if len(found) > KNOWN_WORDS:
                 yield flush()
                 found.clear()
@@ -473,8 +626,10 @@ def _id_counts(words: DataFrame, subword_path: str) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, total = encoder(subword_path), np.zeros(N_IDS, np.int64)
         for batch in batches:
-            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
-                np.add.at(total, [END_ID] if word == END_WORD else encoding.encode_ordinary(" " + word), n)
+            words = batch.column("word").to_pylist()
+            ids = [[END_ID] if word == END_WORD else encoding.encode_ordinary(" " + word) for word in words]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            np.add.at(total, np.fromiter(chain.from_iterable(ids), np.int64, sizes.sum()), np.repeat(batch.column("n").to_numpy(), sizes))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], ["id", "n"])
 
@@ -516,7 +671,7 @@ def _spread(windows: np.ndarray, budget: int) -> np.ndarray:
 
 def fit_language_model(
     training: DataFrame, words: DataFrame, subword_path: str, sample_texts: int = 1000, sample_ids: int = 400_000,
-    steps: int = 500, own_classes: int = 96, groups: int = 32, head_words: int = 100_000,
+    steps: int = 500, own_classes: int = 96, groups: int = 32, head_words: int = HEAD_WORDS,
 ) -> LanguageModel:
     """Fit on all training texts and their counts (``words``).
 
@@ -525,9 +680,23 @@ def fit_language_model(
     Then it learns from all training texts. Without any, all ids are equally likely in their classes and the attention
     model stays as it was drawn.
     """
+    head = _head(words, head_words)
+    encoded = _encode(training.select("text"), subword_path, head)
+    return _fit(training, encoded, words, head, subword_path, sample_texts, sample_ids, steps, own_classes, groups)
+
+
+def _head(words: DataFrame, n: int = HEAD_WORDS) -> dict[str, int]:
+    """The most frequent words and their counts."""
+    frequent = words.orderBy(F.desc("n"), "word").limit(n).toArrow()
+    return dict(zip(frequent.column("word").to_pylist(), frequent.column("n").to_pylist()))
+
+
+def _fit(
+    training: DataFrame, encoded: DataFrame, words: DataFrame, head: dict[str, int], subword_path: str, sample_texts: int = 1000,
+    sample_ids: int = 400_000, steps: int = 500, own_classes: int = 96, groups: int = 32,
+) -> LanguageModel:
+    """``fit_language_model`` on training texts that are at hand in ``encoded`` form, too."""
     tokens, distinct = words.agg(F.sum("n"), F.count(F.lit(1))).first()
-    frequent = words.orderBy(F.desc("n"), "word").limit(head_words).toArrow()
-    head = dict(zip(frequent.column("word").to_pylist(), frequent.column("n").to_pylist()))
     counts = _id_counts(words, subword_path)
     growth = max(1.0, (tokens or 0) / SMALL_CORPUS) ** 0.5
     sample_texts, sample_ids, steps = (int(growth * n) for n in (sample_texts, sample_ids, steps))
@@ -538,7 +707,7 @@ def fit_language_model(
     _, per_text, ids, sizes = table.encode(texts)
     attention = Attention(own_classes + groups, np.flatnonzero(counts))
     lengths = np.bincount(np.repeat(np.repeat(np.arange(len(texts)), per_text), sizes), minlength=len(texts))
-    class_of = _all_classes(training, counts, subword_path, own_classes, groups) if tokens else _own_classes(counts, own_classes, groups)
+    class_of = _all_classes(encoded, counts, subword_path, own_classes, groups) if tokens else _own_classes(counts, own_classes, groups)
     smooth = counts + 0.5
     in_class = np.bincount(class_of, smooth, own_classes + groups)
     log_share = np.log(smooth / in_class[class_of])
@@ -557,39 +726,36 @@ def fit_language_model(
         unseen = np.setdiff1d(np.arange(len(attention.p["ids"])), known)
         attention.p["ids"][unseen] = attention.p["ids"][known].mean(axis=0)
     if tokens:
-        _learn_all(model, training, words, subword_path)
+        _learn_all(model, encoded, words, subword_path)
     return model
 
 
-def _learn_all(model: LanguageModel, training: DataFrame, words: DataFrame, subword_path: str) -> None:
-    """Take the attention model through all training texts, and fit the mixture to the probabilities met on the way.
+def _learn_all(model: LanguageModel, encoded: DataFrame, words: DataFrame, subword_path: str) -> None:
+    """Take the attention model through all (encoded) training texts, and fit the mixture to the probabilities met on the way.
 
     Every task starts from the same weights and learns its own texts once; a weight's value is the mean over the tasks, by
     their ids. Its blocks are averaged apart, so no task or driver holds all tasks' weights.
     """
-    shared = training.sparkSession.sparkContext.broadcast(model)
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
     shapes = {name: value.shape for name, value in model.attention.p.items()}
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        course, table = Course(model.attention.copy()), WordTable(encoder(subword_path), model.head)
-        seen, ratios = 0, Counter()
+        course, begins_word = Course(model.attention.copy()), _word_begins(encoder(subword_path))
+        seen, ratios, head = 0, Counter(), model.head_counts()
         for batch in batches:
-            for _, texts in _lots(batch, table):
-                numbers, per_text, ids, sizes = table.encode(texts)
-                seen += len(ids)
-                lengths = np.add.reduceat(sizes, np.cumsum(per_text) - per_text)
-                before = np.append(END_ID, ids[:-1])
-                before[np.cumsum(lengths) - lengths] = END_ID
-                log_p = course.learn(before, model.class_of[ids], lengths) + model.log_share[ids]
-                log_p = np.add.reduceat(log_p, np.cumsum(sizes) - sizes)
-                count = table.counts_of(numbers)
-                inside = count >= 0
-                met, n = np.unique(_ratio_steps(log_p[inside], count[inside]), return_counts=True)
+            loose = batch.column("loose").flatten()
+            used = 0
+            for lot in _lots(batch, begins_word):
+                seen += len(lot.ids)
+                log_p = course.learn(lot.before(), model.class_of[lot.ids], lot.lengths) + model.log_share[lot.ids]
+                log_p = np.add.reduceat(log_p, np.cumsum(lot.sizes) - lot.sizes)
+                inside = lot.places >= 0
+                met, n = np.unique(_ratio_steps(log_p[inside], head[lot.places[inside]]), return_counts=True)
                 ratios.update(dict(zip(met.tolist(), n.tolist())))
-                outside = np.flatnonzero(~inside)
-                flat = [w for some in texts for w in (*some, END_WORD)]
-                yield _learned(word=[flat[i] for i in outside.tolist()], log_p=log_p[outside])
+                outside = log_p[~inside]
+                yield _learned(word=loose.slice(used, len(outside)), log_p=outside)
+                used += len(outside)
         yield _learned(step=list(ratios), n=list(ratios.values()))
         if seen:
             for name, value in course.attention.p.items():
@@ -606,7 +772,7 @@ def _learn_all(model: LanguageModel, training: DataFrame, words: DataFrame, subw
             met, n = np.unique(_ratio_steps(batch.column("log_p").to_numpy(), batch.column("n").to_numpy()), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array(n, pa.int64())], ["step", "n"])
 
-    learned = materialise(training.select("text").mapInArrow(learn, _LEARNED), "learned")
+    learned = materialise(encoded.select("ids", "places", "loose").mapInArrow(learn, _LEARNED), "learned")
     kept = learned.filter("held is not null").select("name", "block", "n", "held")
     blocks = kept.groupBy("name", "block").applyInPandas(average, "name string, block int, held binary").orderBy("name", "block")
     found = {name: [] for name in shapes}
@@ -620,6 +786,7 @@ def _learn_all(model: LanguageModel, training: DataFrame, words: DataFrame, subw
     rows = ratios.groupBy("step").agg(F.sum("n").alias("n")).orderBy("step").collect()  # bounded by the range of steps
     model.mixture = _fit_mixture(np.array([r.step for r in rows]), np.array([r.n for r in rows], float), model.train_tokens)
     shared.unpersist()
+    release(learned)
 
 
 _LEARNED = "word string, log_p double, step int, n long, name string, block int, held binary"
@@ -659,10 +826,8 @@ def _fit_mixture(steps: np.ndarray, n: np.ndarray, tokens: int) -> float:
 def word_scores(model: LanguageModel, table: WordTable, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The attention model's log probability and the head's count (-1: not in it) of every word, and words by text."""
     numbers, per_text, ids, sizes = table.encode(texts)
-    word_ends = np.cumsum(sizes)
     lengths = np.add.reduceat(sizes, np.cumsum(per_text) - per_text)
-    log_p = np.add.reduceat(model.id_scores(ids, lengths), word_ends - sizes)
-    return log_p, table.counts_of(numbers), per_text
+    return model.word_log_p(ids, lengths, sizes), table.counts_of(numbers), per_text
 
 
 _SCAN = (
@@ -671,41 +836,38 @@ _SCAN = (
 )
 
 
-def _scan(documents: DataFrame, model: LanguageModel, subword_path: str) -> DataFrame:
+def _scan(encoded: DataFrame, model: LanguageModel, subword_path: str) -> DataFrame:
     """Each text's sums over words in the head; other words are handed on."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        table = WordTable(encoder(subword_path), model.head)
+        model, begins_word = shared.value, _word_begins(encoder(subword_path))
+        head = model.head_counts()
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            docs = batch.column("doc_id").to_pylist()
-            for first, texts in _lots(batch, table):
-                yield _scored(model, table, texts, docs[first : first + len(texts)], row)
-                row += len(texts)
+            for lot in _lots(batch, begins_word):
+                yield _scored(model, head, lot, batch.slice(lot.first, len(lot.lengths)), row)
+                row += len(lot.lengths)
 
-    return documents.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(scan, _SCAN)
+    return encoded.select("doc_id", "ids", "places", "loose").mapInArrow(scan, _SCAN)
 
 
-def _scored(model: LanguageModel, table: WordTable, texts: list[list[str]], docs: list, row: int) -> pa.RecordBatch:
-    log_p, count, per_text = word_scores(model, table, texts)
-    if model.whole_vocabulary:
-        count = np.maximum(count, 0)
+def _scored(model: LanguageModel, head: np.ndarray, lot: Lot, texts: pa.RecordBatch, row: int) -> pa.RecordBatch:
+    log_p, count = model.word_log_p(lot.ids, lot.lengths, lot.sizes), head[lot.places]
     inside = count >= 0
-    begins = np.cumsum(per_text) - per_text
+    known = inside | model.whole_vocabulary
+    begins = np.cumsum(lot.per_text) - lot.per_text
+    count = np.maximum(count, 0)
     sums = [
-        np.add.reduceat(np.where(inside, values, 0.0), begins)
-        for values in (count > 0, model.base_term(np.maximum(count, 0)), model.mixed_term(log_p, np.maximum(count, 0)))
+        np.add.reduceat(np.where(known, values, 0.0), begins) for values in (count > 0, model.base_term(count), model.mixed_term(log_p, count))
     ]
-    outside = np.flatnonzero(~inside)
-    flat = [w for words in texts for w in (*words, END_WORD)]
-    loose = pa.StructArray.from_arrays(
-        [pa.array([flat[i] for i in outside.tolist()], pa.string()), pa.array(log_p[outside])], ["word", "log_p"]
-    )
-    rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(outside, np.append(begins, len(flat))), pa.int32()), loose)
+    # With the whole vocabulary in the head, no other word has a count to look for.
+    outside = np.flatnonzero(~known)
+    words = texts.column("loose").flatten() if len(outside) else pa.array([], pa.string())
+    loose = pa.StructArray.from_arrays([words, pa.array(log_p[outside])], ["word", "log_p"])
+    rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(outside, np.append(begins, len(count))), pa.int32()), loose)
     columns = [
-        pa.array(np.arange(row, row + len(texts))), pa.array(docs, pa.int64()), pa.array(per_text),
+        pa.array(np.arange(row, row + len(begins))), texts.column("doc_id"), pa.array(lot.per_text),
         pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), rest,
     ]
     return pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "rest"])
@@ -717,7 +879,13 @@ def language_scores(documents: DataFrame, model: LanguageModel, words: DataFrame
     A null or empty text is the end alone. Repeated rows are scored alike; no documents give no rows. Columns besides
     doc_id and text are not read. The order of additions may differ between runs in the last digits.
     """
-    scanned = materialise(_scan(documents, model, subword_path), "scored")
+    texts = documents.selectExpr("cast(doc_id as long) doc_id", "text")
+    return _sums(_scan(_encode(texts, subword_path, model.head), model, subword_path), model, words)
+
+
+def _sums(scan: DataFrame, model: LanguageModel, words: DataFrame) -> DataFrame:
+    """The scores of ``_scan``, with the words outside the head added to them."""
+    scanned = materialise(scan, "scored")
     loose = scanned.select("row", F.inline("rest")).join(words, "word", "left")
     count = F.coalesce(F.col("n"), F.lit(0))
     total = float(model.train_tokens + 0.5 * (model.train_words + 1))
@@ -734,8 +902,22 @@ def language_scores(documents: DataFrame, model: LanguageModel, words: DataFrame
     )
 
 
-def score_with_training(documents: DataFrame, training: DataFrame, subword_path: str) -> DataFrame:
-    """Fit on ``training`` and score ``documents``."""
+def score_with_training(documents: DataFrame, training: DataFrame | Column, subword_path: str) -> DataFrame:
+    """Fit on ``training`` and score ``documents``.
+
+    Training texts are a table of their own, or those rows of ``documents`` for which a condition holds. All texts are
+    encoded once; the ids are stored for the fit and for the scores.
+    """
+    columns = lambda doc_id, scored, learned: (doc_id.cast("long").alias("doc_id"), "text", scored.alias("scored"), learned.alias("learned"))
+    yes, no = F.lit(True), F.lit(False)
+    if isinstance(training, Column):
+        texts, training = documents.select(*columns(F.col("doc_id"), yes, F.coalesce(training, no))), documents.filter(training)
+    else:
+        texts = documents.select(*columns(F.col("doc_id"), yes, no)).unionAll(training.select(*columns(F.lit(None), no, yes)))
     words = materialise(word_counts(training), "words")
-    model = fit_language_model(training, words, subword_path)
-    return language_scores(documents, model, words, subword_path)
+    head = _head(words)
+    encoded = materialise(_encode(texts, subword_path, head), "encoded", codec="zstd")
+    model = _fit(training, encoded.filter("learned"), words, head, subword_path)
+    scored = _sums(_scan(encoded.filter("scored"), model, subword_path), model, words)
+    release(encoded)
+    return scored

@@ -105,8 +105,7 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
-    training = documents.filter(_remainder("doc_id") != 1)
-    scored = score_with_training(documents, training, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    scored = score_with_training(documents, _remainder("doc_id") != 1, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return scored.withColumn("held_out", _remainder("doc_id") == 1)
 
 

@@ -216,3 +216,46 @@ def test_scores_far_below_are_probabilities():
     model.p["bias"] -= 200
     assert np.allclose(model.log_probabilities(ids, wanted, targets), usual, atol=1e-3)
     assert np.allclose(model._backward(ids, wanted, targets)[0], usual, atol=1e-3)
+
+
+def test_stored_ids_are_those_of_the_texts(documents_of, odd_texts):
+    texts = corpus(20, 10) + odd_texts + ["no　break no break", "a ﻿ b", "A\x1cB"]
+    head = {"river": 5, "the": 3, lm.END_WORD: 2}
+    stored = lm._encode(documents_of(texts).select("doc_id", "text"), PATH, head).toArrow().combine_chunks().to_batches()[0]
+    table, begins = lm.WordTable(lm.encoder(PATH), head), lm._word_begins(lm.encoder(PATH))
+    loose, seen = stored.column("loose").to_pylist(), []
+    for lot in lm._lots(stored, begins):
+        docs = stored.column("doc_id").to_pylist()[lot.first : lot.first + len(lot.lengths)]
+        words = [lm.words_of(texts[d]) for d in docs]
+        numbers, per_text, ids, sizes = table.encode(words)
+        assert lot.ids.tolist() == ids.tolist() and lot.sizes.tolist() == sizes.tolist() and lot.per_text.tolist() == per_text.tolist()
+        assert [list(head.get(w, -1) for w in (*some, lm.END_WORD)) for some in words] == [
+            [head[list(head)[p]] if p >= 0 else -1 for p in part] for part in np.split(lot.places, np.cumsum(per_text)[:-1])
+        ]
+        assert loose[lot.first : lot.first + len(docs)] == [[w for w in some if w not in head] for some in words]
+        seen += docs
+    assert sorted(seen) == list(range(len(texts)))
+
+
+def test_training_rows_as_a_condition_or_as_a_table(documents_of):
+    documents = documents_of(corpus(40, 11))
+    learned = F.when(F.col("doc_id") != 7, F.col("doc_id") % 5 != 1)
+    results = []
+    for training in (learned, documents.filter(learned)):
+        rows = lm.score_with_training(documents, training, PATH).collect()
+        results.append({r.doc_id: (r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in rows})
+        assert all(r.score <= 0 for r in rows)
+    assert results[0] == results[1] and len(results[0]) == 40
+
+
+def test_room_that_is_used_again_changes_nothing():
+    rng = np.random.default_rng(4)
+    used = lm.Attention(9, np.arange(40), length=16)
+    for b, n in ((5, 16), (2, 16), (3, 7), (5, 16)):
+        fresh = lm.Attention(9, np.arange(40), length=16)
+        ids, wanted = rng.integers(0, 41, (b, n)), rng.random((b, n)) < 0.8
+        targets = rng.integers(0, 9, wanted.sum())
+        assert np.array_equal(used.log_probabilities(ids, wanted, targets), fresh.log_probabilities(ids, wanted, targets))
+        for mine, other in zip(used.gradients(ids, wanted, targets)[1].values(), fresh.gradients(ids, wanted, targets)[1].values()):
+            assert np.array_equal(mine, other)
+    assert used.spaces and not used.__getstate__()["spaces"] and not used.copy().spaces
