@@ -272,16 +272,26 @@ class Attention:
         rng = np.random.default_rng(2)
         first = {n: np.zeros_like(v) for n, v in self.p.items()}
         second = {n: np.zeros_like(v) for n, v in self.p.items()}
+        room = {n: np.empty_like(v) for n, v in self.p.items()}
         loss = float("nan")
         for step in range(1, steps + 1):
             some = rng.integers(0, len(windows), batch)
             loss, g = self.gradients(windows[some], wanted[some], targets[some][wanted[some]])
             now = rate * min(1.0, step / 20) * (1 - 0.95 * step / steps)
             for name, value in g.items():
-                first[name] = 0.9 * first[name] + 0.1 * value
-                second[name] = 0.99 * second[name] + 0.01 * value * value
-                fair = (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)
-                self.p[name] -= (now * fair).astype(np.float32)
+                # In place: the table of ids is large, and fresh pages cost more than the sums.
+                first[name] *= 0.9
+                first[name] += np.multiply(value, 0.1, out=room[name])
+                second[name] *= 0.99
+                value *= value
+                value *= 0.01
+                second[name] += value
+                fair = np.divide(second[name], 1 - 0.99**step, out=room[name])
+                np.sqrt(fair, out=fair)
+                fair += 1e-8
+                np.divide(first[name], fair, out=fair)
+                fair *= now / (1 - 0.9**step)
+                self.p[name] -= fair
         return loss
 
     def copy(self) -> Attention:
@@ -317,10 +327,14 @@ class Course:
         now = RATE * min(1.0, self.steps / 20) / np.sqrt(1 + self.steps / 200) * min(1.0, size)
         fair = np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
         for name, value in g.items():
-            moved = rows if name == "ids" else slice(None)
-            first = self.first[name][moved] = 0.9 * self.first[name][moved] + 0.1 * value
-            second = self.second[name][moved] = 0.99 * self.second[name][moved] + 0.01 * value * value
-            self.attention.p[name][moved] -= np.float32(now * fair) * first / (np.sqrt(second) + np.float32(1e-8))
+            moved = rows if name == "ids" else np.arange(len(value))
+            first, second, p = (kept[name].take(moved, axis=0) for kept in (self.first, self.second, self.attention.p))
+            first *= 0.9
+            first += 0.1 * value
+            second *= 0.99
+            second += 0.01 * value * value
+            self.first[name][moved], self.second[name][moved] = first, second
+            self.attention.p[name][moved] = p - np.float32(now * fair) * first / (np.sqrt(second) + np.float32(1e-8))
 
 
 def window_places(lengths: np.ndarray, length: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
@@ -543,8 +557,9 @@ def _grouped(class_of: np.ndarray, own: int, groups: int, shown: np.ndarray, pro
     weight = profile.sum(1)
     profile = np.sqrt(profile / np.maximum(weight, 1)[:, None])
     centres = profile[np.argsort(-weight, kind="stable")[: groups - 1]]
+    squares, twice = (profile**2).sum(1)[:, None], 2 * profile
     for _ in range(12):
-        nearest = ((profile**2).sum(1)[:, None] - 2 * profile @ centres.T + (centres**2).sum(1)).argmin(1)
+        nearest = (squares - twice @ centres.T + (centres**2).sum(1)).argmin(1)
         for g in range(len(centres)):
             if (nearest == g).any():
                 centres[g] = np.average(profile[nearest == g], axis=0, weights=weight[nearest == g] + 1e-9)
@@ -571,9 +586,10 @@ def _all_classes(training: DataFrame, counts: np.ndarray, subword_path: str, own
     """The classes of ``_classes`` from all training texts, encoded or not; tasks count neighbours, blocks of ids are added up apart."""
     class_of, width = _own_classes(counts, own, groups), 2 * (own + 1)
     encoded = training if "ids" in training.columns else _encode(training.select("text"), subword_path, {})
+    begins_word = _word_begins(encoder(subword_path))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begins_word, total = _word_begins(encoder(subword_path)), np.zeros((N_IDS, width), np.int32)
+        total = np.zeros((N_IDS, width), np.int32)
         for batch in batches:
             for lot in _lots(batch, begins_word):
                 _neighbours(class_of, own, lot.ids, total)
@@ -738,11 +754,12 @@ def _learn_all(model: LanguageModel, encoded: DataFrame, words: DataFrame, subwo
     """
     shared = encoded.sparkSession.sparkContext.broadcast(model)
     shapes = {name: value.shape for name, value in model.attention.p.items()}
+    begins_word = _word_begins(encoder(subword_path))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        course, begins_word = Course(model.attention.copy()), _word_begins(encoder(subword_path))
-        seen, ratios, head = 0, Counter(), model.head_counts()
+        course, head = Course(model.attention.copy()), model.head_counts()
+        seen, ratios = 0, Counter()
         for batch in batches:
             loose = batch.column("loose").flatten()
             used = 0
@@ -838,10 +855,11 @@ _SCAN = (
 
 def _scan(encoded: DataFrame, model: LanguageModel, subword_path: str) -> DataFrame:
     """Each text's sums over words in the head; other words are handed on."""
+    begins_word = _word_begins(encoder(subword_path))
     shared = encoded.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, begins_word = shared.value, _word_begins(encoder(subword_path))
+        model = shared.value
         head = model.head_counts()
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
