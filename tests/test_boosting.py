@@ -187,3 +187,62 @@ def test_pushes_of_a_deep_path_equal_all_coalitions():
                     worth = np.prod([held[i] if i in known else shares[i] for i in others])
                     total += factorial(size) * factorial(d - size - 1) / factorial(d) * worth
             assert got[row, j] == pytest.approx(2.5 * (held[j] - shares[j]) * total, abs=1e-12)
+
+
+def test_processes_of_one_task_grow_the_trees_of_one(spark, monkeypatch):
+    """Rows and inputs shared out among processes, joint cells and small exchanges change no bit of a tree."""
+    x, y = generated(900, 12)
+    growth, asked = bo.Growth(max_leaves=12, min_rows=5), []
+    members = bo._members
+    monkeypatch.setattr(bo, "_members", lambda *a: asked.append(a) or members(*a))
+    plan = [(i, chosen) for i, chosen in enumerate(([0, 1, 2], [1, 2], [0, 2]))]
+    rows = bo.binned_rows(table(spark, x, y).coalesce(1), INPUTS, -1.0).toArrow().to_batches()
+
+    class Task:
+        def coalesce(self, tasks):
+            return self
+
+        def mapInArrow(self, work, schema):
+            return [r for batch in work(iter(rows)) for r in batch.to_pylist()]
+
+    one = bo._grow_in_one_task(Task(), INPUTS, growth, plan, 0.3, 0.8)
+    monkeypatch.setattr(bo, "MEMBER_ROWS", 100)
+    monkeypatch.setattr(bo, "_CELLS", 40)
+    monkeypatch.setattr(bo, "_BLOCK", 70)
+    monkeypatch.setattr(bo, "_EXCHANGED", 2)
+    monkeypatch.setattr(bo.os, "sched_getaffinity", lambda _: set(range(3)))
+    for cores in (1, 3):
+        assert bo._grow_in_one_task(Task(), INPUTS, growth, plan, 0.3, 0.8, cores) == one
+    assert bo._grow_in_one_task(Task(), INPUTS, growth, plan[:1], 0.3, 0.8, 3) == one[:1]
+    assert len(one) == 3 and [members(*a) for a in asked[1:]] == [1, 2, 3]
+
+
+def test_a_process_that_ends_ends_its_task(monkeypatch):
+    def work():
+        if team.place == 1:
+            raise ValueError("in a helper")
+        team.meet()
+        return []
+
+    team = bo._Team(3)
+    with pytest.raises(RuntimeError, match="has ended"):
+        team.run(work)
+
+
+def test_many_rounds_grow_in_one_job_and_end_where_single_stretches_end(spark, monkeypatch):
+    """As many rounds as patience asks for go together; the course is cut where it would have been ended stretch by stretch."""
+    monkeypatch.setattr(bo, "STRETCH", 2)
+    x, y = generated(900, 6)
+    rows = table(spark, x, y)
+    fit, judged, jobs = rows.filter("id % 3 > 0"), rows.filter("id % 3 = 0"), []
+    in_one = bo._grow_in_one_task
+    monkeypatch.setattr(bo, "_grow_in_one_task", lambda *a: jobs.append(a) or in_one(*a))
+    ask = lambda: bo.fit_boosting(fit, judged, INPUTS, bo.Growth(max_leaves=6, min_rows=20), 40, 0.3, 9, 0.8)
+    model, course = ask()
+    together = len(jobs)
+    monkeypatch.setattr(bo, "HELD_ROUNDS", 1)
+    alone, expected = ask()
+    assert course == expected and len(model.trees) == len(alone.trees)
+    assert len(jobs) - together == -(-len(course) // 2) and together == -(-len(course) // 8)
+    for a, b in zip(model.trees, alone.trees):
+        assert (a.feature == b.feature).all() and (a.left == b.left).all() and (a.value == b.value).all()
