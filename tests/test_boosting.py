@@ -8,9 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from creditloom.operators import attribution
 from creditloom.operators import boosting as bo
 from creditloom.operators.attribution import leaf_pushes
 from creditloom.operators.evaluation import average_precision
+from creditloom.operators.trees import Condition, Path
 
 LABELS = ["a", "b", "c", "d"]
 
@@ -246,3 +248,43 @@ def test_many_rounds_grow_in_one_job_and_end_where_single_stretches_end(spark, m
     assert len(jobs) - together == -(-len(course) // 2) and together == -(-len(course) // 8)
     for a, b in zip(model.trees, alone.trees):
         assert (a.feature == b.feature).all() and (a.left == b.left).all() and (a.value == b.value).all()
+
+
+def test_a_path_is_worked_out_once_for_all_rows(monkeypatch):
+    """Whatever the rows are cut into, and also for paths too long to lay out all their patterns."""
+    rng = np.random.default_rng(4)
+    bins = rng.integers(0, 6, (5, 300)).astype(np.uint8)
+    path = Path(3, 1.5, [Condition(f, rng.random(6) < 0.6, s) for f, s in ((4, 0.3), (0, 0.9), (2, 0.0), (3, 0.5))])
+    features = [c.feature for c in path.conditions]
+    holds = np.stack([c.passes[bins[c.feature]] for c in path.conditions], axis=1).astype(float)
+    expected = np.zeros(bins.shape)
+    expected[features] = leaf_pushes(path.value, np.array([c.share for c in path.conditions]), holds).T
+    worked_out = []
+    monkeypatch.setattr(attribution, "leaf_pushes", lambda *a: worked_out.append(a) or leaf_pushes(*a))
+    monkeypatch.setattr(attribution, "_BLOCK", 70)
+    for laid_out, times in ((12, 1), (3, 5)):
+        monkeypatch.setattr(attribution, "_LAID_OUT", laid_out)
+        worked_out.clear()
+        out = np.zeros(bins.shape)
+        attribution._add_pushes(path, bins, out)
+        assert out == pytest.approx(expected, abs=1e-15) and len(worked_out) == times
+
+
+def test_contributions_of_rows_do_not_depend_on_batches(spark):
+    x, y = generated(900, 13)
+    rows = table(spark, x, y).coalesce(1)
+    model, _ = bo.fit_boosting(rows, None, INPUTS, bo.Growth(max_leaves=8, min_rows=10), 6, 0.3, 5)
+
+    def pushes():
+        found, _ = attribution.tree_contributions(rows, model, "id")
+        return {r["id"]: [(c["feature"], c["value"], c["contribution"]) for c in r["contributions"]] for r in found.collect()}
+
+    expected = pushes()
+    margins = {r["id"]: r["margin"] for r in model.margins(rows, ["id"]).collect()}
+    base = attribution.tree_contributions(rows, model, "id")[1]
+    assert {i: base + sum(c for *_, c in found) for i, found in expected.items()} == pytest.approx(margins, abs=1e-9)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        assert pushes() == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
