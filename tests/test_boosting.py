@@ -288,3 +288,17 @@ def test_contributions_of_rows_do_not_depend_on_batches(spark):
         assert pushes() == expected
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_fits_that_remain_share_the_cores(spark, monkeypatch):
+    """Fits that grow side by side leave one another's cores alone, and take those of fits that have ended."""
+    monkeypatch.setattr(bo, "STRETCH", 4)
+    monkeypatch.setattr(bo, "_cores", lambda _: 6)
+    given, in_one = [], bo._grow_in_one_task
+    monkeypatch.setattr(bo, "_grow_in_one_task", lambda *a: given.append(a[-1]) or in_one(*a))
+    tables = [table(spark, *generated(n, seed)) for n, seed in ((600, 6), (900, 7), (300, 9))]
+    fits = [bo.Fit(t.filter("id % 3 > 0"), t.filter("id % 3 = 0"), INPUTS) for t in tables]
+    found = bo.fit_side_by_side(fits, bo.Growth(max_leaves=6, min_rows=20), 30, 0.3, 3, 0.8, 0.7)
+    stretches = [-(-len(course) // 4) for _, course in found]
+    going = [sum(s > i for s in stretches) for i in range(max(stretches))]
+    assert len(set(going)) > 1 and given == [6 // n for n in going for _ in range(n)]
